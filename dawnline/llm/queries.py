@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dawnline.llm import bpe, langid, tokencount, tokenstore
+from dawnline.llm import bpe, langid, neardup, tokencount, tokenstore
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -39,6 +39,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.with_token_counts(docs, PIECE_BPE, 4096).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), k=5, percent=85)
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     stored = tokenstore.read_shards(tokenstore.write_shards(docs, WORD_BPE, end_id=1))
@@ -46,5 +50,5 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_language_id, op6_token_counts, op10_token_store)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_language_id, op6_token_counts, op9_minhash, op10_token_store)}
 ORACLE_SQL: dict[str, str] = {}
