@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dawnline.llm.components import components
-from dawnline.llm.shared import ready, stored
+from dawnline.llm.shared import grouped, ready, stored
 
 BINS, BANDS, ROWS = 256, 16, 4
 BLOCK = 512
@@ -192,22 +192,7 @@ def rest_pairs(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame
             columns = [pa.array([int(ids[i]) for i, _ in ends]), pa.array([int(ids[j]) for _, j in ends]), pa.array([keys[i] for i, _ in ends]), pa.array([keys[j] for _, j in ends])]
             return pa.RecordBatch.from_arrays(columns, names=["a", "b", "a_key", "b_key"])
 
-        def groups() -> Iterator[pa.Table]:
-            left: pa.Table | None = None  # the last group so far, which may go on in the next batch
-            for batch in batches:
-                table = pa.Table.from_batches([batch])
-                table = pa.concat_tables([left, table]) if left is not None else table
-                if not len(table):
-                    continue
-                key = np.stack([table["bucket"].to_numpy(), table["block"].to_numpy()])
-                starts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1)]
-                for s, e in zip(starts, starts[1:], strict=False):
-                    yield table.slice(s, e - s)
-                left = table.slice(starts[-1])
-            if left is not None:
-                yield left
-
-        for group in groups():
+        for group in grouped(batches, ["bucket", "block"]):
             if (out := pairs(group)) is not None:
                 yield out
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import SparkSession
 
 #: Entries that a per-worker cache holds before it starts anew; results never depend on it.
@@ -61,3 +63,20 @@ class Memo(dict):
             self.clear()
         value = self[key] = self.make(key)
         return value
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each key of batches that are sorted by integer keys, one table a key."""
+    left: pa.Table | None = None  # the last key's rows so far, which may go on in the next batch
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([left, table]) if left is not None else table
+        columns = np.stack([table[k].to_numpy() for k in keys])
+        starts = [0, *(np.flatnonzero((columns[:, 1:] != columns[:, :-1]).any(axis=0)) + 1)]
+        for s, e in zip(starts, starts[1:], strict=False):
+            yield table.slice(s, e - s)
+        left = table.slice(starts[-1])
+    if left is not None:
+        yield left
