@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dawnline.llm import ann, bpe, chat, langid, neardup, tokencount, tokenstore, urlfilter
+from dawnline.llm import ann, bpe, chat, decontaminate, langid, neardup, tokencount, tokenstore, toxicity, urlfilter
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -34,6 +34,21 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", in_fold("doc_id", 4, 2).alias("held_out"), "language.lang_pred", "language.score")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = decontaminate.build_index(table(spark, sf_dir, "benchmark"))
+    found = decontaminate.with_items(table(spark, sf_dir, "documents").select("doc_id", "text"), index)
+    ids = F.transform("items", lambda x: x["item_id"])
+    return found.select("doc_id", F.size("items").cast("long").alias("n_items"), ids.alias("item_ids"), (F.size("items") == 0).alias("kept"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents").select("doc_id", "text"), in_fold("doc_id", 3, 1)
+    labels = table(spark, sf_dir, "labels").where(~in_fold("doc_id", 3, 1)).select("doc_id", "toxic")
+    scorer = toxicity.fit(docs.join(labels, "doc_id"), "doc_id", "text", "toxic")
+    scored = toxicity.scored(docs, scorer, score_col="score")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 #: (verdict, host and path)
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
@@ -80,5 +95,5 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_language_id, op5_url_filter, op6_token_counts, op7_nearest, op8_chat, op9_minhash, op10_token_store)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_language_id, op3_decontaminate, op4_toxicity, op5_url_filter, op6_token_counts, op7_nearest, op8_chat, op9_minhash, op10_token_store)}
 ORACLE_SQL: dict[str, str] = {}
