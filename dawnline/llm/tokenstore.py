@@ -1,6 +1,6 @@
 """Token ids in sorted-string-table shards.
 
-A shard holds documents ordered by identifier: data blocks with prefix-compressed keys, a sparse index of the blocks'
+A shard holds documents ordered by identifier: packed data blocks with prefix-compressed keys, a sparse index of the blocks'
 last keys, a Bloom filter over the keys, and a fixed-size footer. lookup() finds a document by one filter probe, one
 binary search in the index and the reading of one block. Spark range-partitions and sorts the documents, so that shards
 are in order among themselves; each task encodes and writes its own range, block by block, and leaves one manifest row
@@ -24,6 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -91,9 +92,10 @@ class ShardWriter:
 
     def _flush(self) -> None:
         if self.block:
-            self.out.write(bytes(self.block))
-            self.index.append((self.last, self.at, len(self.block)))
-            self.at += len(self.block)
+            packed = zstandard.compress(bytes(self.block), 1)
+            self.out.write(packed)
+            self.index.append((self.last, self.at, len(packed)))
+            self.at += len(packed)
             self.block = bytearray()
 
     def close(self) -> tuple:
@@ -135,7 +137,7 @@ class ShardReader:
         return self.file.read_at(n, at)
 
     def _block(self, at: int, n: int) -> Iterator[tuple[bytes, bytes]]:
-        raw, i, key = self._read(at, n), 0, b""
+        raw, i, key = zstandard.decompress(self._read(at, n)), 0, b""
         while i < len(raw):
             sizes = []
             for _ in range(3):
