@@ -1,10 +1,10 @@
 """Toxicity: gradient-boosted trees over dense features of the text, with isotonic calibration.
 
-The lexicon is learned from the labelled rows: words and word beginnings that are far more frequent, by documents, in toxic
-than in other texts; callers may add words of their own. The features of a text are densities and weights of lexicon
+The lexicon is learned from the labelled rows: words and word beginnings that are far more frequent in toxic than in
+other texts, where a text counts a term TERM_CAP times at most; callers may add words of their own. The features of a text are densities and weights of lexicon
 words, how near they are to second-person words, and the rates of capitals, punctuation and obfuscated words (letters
-mixed with digits or symbols). Trees are fitted on three quarters of the labelled rows and an isotonic regression on the
-rest turns their score into the share of toxic rows.
+mixed with digits or symbols). Two fifths of the labelled rows name the lexicon, two fifths fit the trees, and on the last
+fifth an isotonic regression turns the trees' score into the share of toxic rows.
 
 Fitting uses a sample of at most about max_rows labelled rows of each label, picked by hash.
 
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -31,15 +32,15 @@ from pyspark.sql import functions as F
 from dawnline.llm.shared import Memo, ready, stored
 
 MAX_ROWS, MAX_LEXICON = 6_000, 4_000
-STEMS = (4, 5, 6)
-MIN_DOCS, MIN_ODDS = 4, 2.5
+STEMS = (4, 5, 6, 7, 8)
+MIN_DOCS, MIN_ODDS, MIN_DEVIATION, TERM_CAP = 5, 1.8, 4.0, 3
 TREES, DEPTH = 20, 4
 #: Second-person words of English, German, French and Spanish.
 SECOND_PERSON = frozenset(
     "you your yours yourself u ur du dich dir dein deine deinen deiner ihr euch euer eure tu te toi ton ta tes vous votre vos "
     "tú ti usted ustedes vos vosotros tuyo tuya su sus".split()
 )
-FEATURES = ("words", "hits", "hit_share", "top_weight", "weight_share", "hit_per_sentence", "near_second", "second_share", "capitals", "exclamations", "punctuation", "obfuscated", "obfuscated_hits")
+FEATURES = ("words", "hits", "hit_share", "top_weight", "weight_share", "weight_sum", "near_second", "second_share", "capitals", "exclamations", "punctuation", "obfuscated", "obfuscated_hits")
 _WORD = re.compile(r"[^\W_]+(?:[*@$!|0-9+._-]+[^\W_]+)*[*@$]*")
 _LEET = str.maketrans("013457@$!|+", "oieastasiit")
 _SIGNS = re.compile(r"[^\w\s]")
@@ -48,11 +49,16 @@ _NO_HIT = 99.0
 
 @dataclass(frozen=True)
 class Lexicon:
-    """Weights (log odds) of whole words and of beginnings of 4 to 6 letters."""
+    """Weights (log odds) of short whole words (marked =) and of beginnings (marked ~)."""
 
     weights: tuple[tuple[str, float], ...]
 
 
+def terms(word: str) -> list[str]:
+    whole = [f"={word}"] if 1 < len(word) <= STEMS[-1] else []
+    return whole + [f"{word[:n]}~" for n in STEMS if len(word) >= n]
+
+
 class Reader:
     """Features of texts under a lexicon; what is known of a word is looked up once."""
 
@@ -61,8 +67,7 @@ class Reader:
         self.known = Memo(self._look, 300_000)
 
     def _weight(self, word: str) -> float:
-        marks = (f"={word}", *(f"{word[:n]}~" for n in STEMS if len(word) >= n))
-        return max((self.weights.get(m, 0.0) for m in marks), default=0.0)
+        return max((self.weights.get(t, 0.0) for t in terms(word)), default=0.0)
 
     def _look(self, word: str) -> bytes:
         low = word.lower()
@@ -87,10 +92,9 @@ class Reader:
             right = second[np.minimum(at, len(second) - 1)]
             left = second[np.maximum(at - 1, 0)]
             near = float(min(_NO_HIT, np.minimum(abs(right - hits), abs(left - hits)).min()))
-        sentences = 1 + text.count(".") + text.count("!") + text.count("?")
         marks = text.count("!") + text.count("?")
         return [
-            math.log1p(n), math.log1p(len(hits)), len(hits) / n, float(weight.max()), float(weight.sum()) / n, len(hits) / sentences, near,
+            math.log1p(n), math.log1p(len(hits)), len(hits) / n, float(weight.max()), float(weight.sum()) / n, math.log1p(float(weight.sum())), near,
             len(second) / n, float(seen[:, 2].sum()) / n, marks / n, len(_SIGNS.findall(text)) / n, float(seen[:, 3].sum()) / n, float((seen[:, 3] * (weight > 0)).sum()),
         ]
 
@@ -113,16 +117,24 @@ def features(text: Column | str, lexicon: Lexicon) -> Column:
 
 def learn_lexicon(labelled: DataFrame, text_col: str, label_col: str, added: dict[str, float] | None = None) -> Lexicon:
     """At most MAX_LEXICON words and beginnings, by log odds of their document frequencies in toxic and other rows."""
-    rows = labelled.select(F.lower(text_col).alias("t"), F.col(label_col).cast("int").alias("y")).where("t is not null")
-    words = F.array_distinct(F.split("t", r"[^\p{L}\p{M}]+"))
-    stems = [F.transform(F.filter(words, lambda w, n=n: F.length(w) >= n), lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit("~"))) for n in STEMS]
-    whole = F.transform(F.filter(words, lambda w: F.length(w) > 1), lambda w: F.concat(F.lit("="), w))
-    terms = rows.select("y", F.explode(F.array_distinct(F.concat(whole, *stems))).alias("term"))
-    counts = terms.groupBy("term").agg(F.sum("y").alias("toxic"), F.count("*").alias("docs")).where(F.col("toxic") >= MIN_DOCS)
-    size = rows.agg(F.sum("y").alias("toxic"), F.count("*").alias("docs"))
-    total = size.first()
-    odds = F.log((F.col("toxic") + 0.5) / (total["toxic"] + 1)) - F.log((F.col("docs") - F.col("toxic") + 0.5) / (total["docs"] - total["toxic"] + 1))
-    best = counts.withColumn("odds", F.round(odds, 6)).where(F.col("odds") >= MIN_ODDS)
+    kind = pa.list_(pa.struct([("term", pa.string()), ("n", pa.int64())]))
+
+    @F.arrow_udf("array<struct<term: string, n: bigint>>")
+    def counted(texts: pa.Array) -> pa.Array:
+        out = []
+        for text in texts:
+            counts = Counter(t for w in _WORD.findall((text.as_py() or "").lower()) for t in terms(w))
+            out.append([{"term": t, "n": min(n, TERM_CAP)} for t, n in counts.items()])
+        return pa.array(out, kind)
+
+    rows = labelled.select(F.col(label_col).cast("int").alias("y"), F.explode(counted(F.col(text_col))).alias("t")).select("y", "t.term", "t.n")
+    total = labelled.agg(F.sum(label_col).alias("toxic"), F.count("*").alias("docs")).first()
+    counts = rows.groupBy("term").agg(F.sum("y").alias("docs"), F.sum(F.col("y") * F.col("n")).alias("toxic"), F.sum((1 - F.col("y")) * F.col("n")).alias("other"))
+    t, o = float(total["toxic"] or 0), float(total["docs"] - (total["toxic"] or 0))
+    odds = F.log((F.col("toxic") + 0.5) / (t + 1)) - F.log((F.col("other") + 0.5) / (o + 1))
+    expected = F.col("other") * (t / max(o, 1.0))
+    best = counts.where((F.col("docs") >= MIN_DOCS) & ((F.col("toxic") - expected) / F.sqrt(expected + 1) >= MIN_DEVIATION))
+    best = best.withColumn("odds", F.round(odds, 6)).where(F.col("odds") >= MIN_ODDS)
     best = best.orderBy(F.desc("odds"), F.desc("toxic"), "term").limit(MAX_LEXICON).collect()
     return Lexicon(tuple(sorted({**{r["term"]: r["odds"] for r in best}, **{f"={w}": x for w, x in (added or {}).items()}}.items())))
 
@@ -149,19 +161,19 @@ def fit(labelled: DataFrame, key_col: str, text_col: str, label_col: str, max_ro
         return Scorer(Lexicon(()), None, None, float(next(iter(counts), 0)))
     parts = [_by_hash(rows.where(F.col("y") == y), "key", min(1.0, max_rows / n)) for y, n in counts.items()]
     sample = stored(spark, parts[0].union(parts[1]), "labelled")
-    # one half of the sample names the lexicon's words and the other shows how they do on rows that did not
-    fold = F.pmod(F.xxhash64("key", F.lit(13)), F.lit(4))
+    # how the lexicon does is seen on rows that did not name it
+    fold = F.pmod(F.xxhash64("key", F.lit(13)), F.lit(5))
     lexicon = learn_lexicon(sample.where(fold < 2), "text", "y", added)
     seen = sample.where(fold >= 2).select("key", fold.alias("fold"), F.col("y").cast("double").alias("label"), features(F.col("text"), lexicon).alias("f"))
     # every row counts as many as it stands for, so that scores keep the labels' true shares
     weight = F.when(F.col("label") == 1, max(1.0, counts[1] / max_rows)).otherwise(max(1.0, counts[0] / max_rows))
     seen = stored(spark, seen.withColumn("weight", weight), "features").withColumn("features", array_to_vector("f"))
     share = counts[1] / (counts[0] + counts[1])
-    train = seen.where("fold = 2")
+    train = seen.where("fold < 4")
     if train.select("label").distinct().count() < 2:
         return Scorer(lexicon, None, None, share)
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, weightCol="weight", seed=1).fit(train)
-    held = trees.transform(seen.where("fold = 3")).withColumn("p", vector_to_array("probability")[1]).select("label", "weight", "p")
+    held = trees.transform(seen.where("fold = 4")).withColumn("p", vector_to_array("probability")[1]).select("label", "weight", "p")
     if held.isEmpty():
         return Scorer(lexicon, trees, None, share)
     calibration = IsotonicRegression(featuresCol="p", labelCol="label", weightCol="weight").fit(held)
