@@ -11,7 +11,7 @@ there can be no pivot and the search ends before it begins. All other passages a
 contaminated if enough of the question's word n-grams, and of the answer's, occur in the passage. An item's question is
 all but its last sentence, its answer the last one; an item of one sentence is a question without an answer.
 
-Words are runs of letters and digits, lower-cased. Defined results: null or empty text has no passages and no items; items
+Words are runs of letters, digits and underscores, lower-cased. Defined results: null or empty text has no passages and no items; items
 without words are ignored; with an empty benchmark nothing is found; repeated items are reported under each id; repeated
 rows are searched one by one; extra columns pass unchanged and an existing column named like the output is replaced.
 """
@@ -20,21 +20,22 @@ from __future__ import annotations
 
 import heapq
 import math
+import re
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dawnline.llm.shared import Memo, ready
+from dawnline.llm.shared import ready
 
 MAX_ITEMS = 200_000
-K1, B, SHARE, COMMON, GRAM, QUESTION, ANSWER, BLOCK = 1.2, 0.75, 0.6, 0.5, 3, 0.7, 0.5, 64
-_WORDS = regex.compile(r"[\p{L}\p{M}\p{N}]+").findall
-_SENTENCES = regex.compile(r"(?<=[.?!])\s+|\n+").split
+K1, B, SHARE, COMMON, GRAM, QUESTION, ANSWER, BLOCK = 1.2, 0.75, 0.7, 0.5, 3, 0.7, 0.5, 64
+_WORDS = re.compile(r"\w+").findall
+_SENTENCES = re.compile(r"(?<=[.?!])\s+|\n+").split
 
 
 def words(text: str | None) -> list[str]:
@@ -98,18 +99,6 @@ class Index:
         self.first[-1] = self.first[-2]  # -1, an unknown word, has none
         self.rows = np.array([i for t in range(len(names)) for i, _ in essential[t]], dtype=np.int64)
         self.impacts = np.array([x for t in range(len(names)) for _, x in essential[t]])
-        self.known = Memo(self._terms)
-
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "known"}
-
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__ |= state
-        self.known = Memo(self._terms)
-
-    def _terms(self, word: str) -> bytes:
-        """The terms of what stands between two spaces."""
-        return np.array([self.vocabulary.get(w, -1) for w in words(word)], dtype=np.int64).tobytes()
 
     def _candidates(self, tokens: np.ndarray, step: int) -> list[int]:
         """The passages in which some item's score may reach 1."""
@@ -177,7 +166,8 @@ class Index:
         """(item_id, score, question overlap, answer overlap) of each item in text, at its best passage, in order of items."""
         if not text or not self.items:
             return []
-        tokens = np.frombuffer(b"".join(map(self.known.__getitem__, text.lower().split())), dtype=np.int64)
+        found = words(text)
+        tokens = np.fromiter(map(self.vocabulary.get, found, repeat(-1)), np.int64, len(found))
         step = self.longest
         best: dict[int, tuple[float, float, float]] = {}
         for p in self._candidates(tokens, step):
