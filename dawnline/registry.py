@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from dawnline.plans import text_queries
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+for _module in (text_queries,):
+    QUERIES |= _module.R.queries
+    ORACLE_SQL |= _module.R.sql
