@@ -17,6 +17,8 @@ are kept, ordered by their text; an empty table gives no shards and an empty man
 from __future__ import annotations
 
 import bisect
+import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -29,9 +31,12 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
-from dawnline.llm.shared import Memo, ready, shared_path
+from dawnline.llm.shared import ready, shared_path
+
+# tasks are Spark's parallelism; the library's own threads would compete with them
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+from tokenizers import Tokenizer  # noqa: E402
 
 MAGIC = b"dawnsst1"
 FOOTER = struct.Struct("<QQQQQQ8s")  # index at, its bytes, filter at, its bytes, documents, ids, magic
@@ -39,6 +44,7 @@ KEY = struct.Struct(">BQI")
 BLOCK_BYTES, SHARD_BYTES, FILTER_BITS, FILTER_PROBES = 64 << 10, 64 << 20, 10, 7
 MANIFEST = "path string, first_key binary, docs long, ids long, bytes long"
 _SIGN = 1 << 63
+_LETTERS_AND_SIGNS = re.compile(r"([^\W\d_]+)([.,;:!?()\[\]#$%&*]*)").fullmatch
 
 
 def pack_key(doc_id: int | None, number: int = 0) -> bytes:
@@ -175,27 +181,43 @@ class ShardReader:
 class WordEncoder:
     """Encodes with the tokenizers library; text between spaces is encoded once and remembered.
 
-    Exact where the tokenizer drops white space and splits at it, as its normalizer and pre-tokenizer here do.
+    Exact where the tokenizer drops white space, splits at it and between letters and signs, and lower-cases, as its
+    normalizer and pre-tokenizer here do. A word of letters with signs after it is looked up by its letters, lower-cased
+    (but for sigma, whose lower case depends on its place); everything else as it stands. What is new in a text goes to
+    the library in one call, and the offsets tell the words' ids apart.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = 1_000_000):
         self.library = Tokenizer.from_file(path)
-        self.words = Memo(self._word)
-
-    def _word(self, word: str) -> bytes:
-        ids = self.library.encode(word, add_special_tokens=False).ids if word else []
-        return np.array(ids, dtype="<u4").tobytes()
+        self.words: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {}
+        self.limit = limit
+
+    def _learn(self, words: list[str]) -> None:
+        split = []
+        for word in words:
+            m = _LETTERS_AND_SIGNS(word)
+            plain = m and m[1].isalpha() and m[1].lower().isalpha() and "\u03a3" not in word
+            split.append((word, m[1].lower(), m[2]) if plain else (word, word, ""))
+        if new := list({p for _, *ps in split for p in ps if p and p not in self.parts}):
+            found = self.library.encode(" ".join(new), add_special_tokens=False)
+            starts = np.array([at for at, _ in found.offsets], dtype=np.int64)
+            cuts = np.searchsorted(starts, np.cumsum([len(p) + 1 for p in new])) * 4
+            raw, before = np.array(found.ids, dtype="<u4").tobytes(), 0
+            for part, cut in zip(new, cuts.tolist(), strict=True):
+                self.parts[part] = raw[before:cut]
+                before = cut
+        for word, letters, signs in split:
+            self.words[word] = self.parts[letters] + (self.parts[signs] if signs else b"")
 
     def encode(self, text: str) -> bytes:
-        known = self.words
         parts = text.replace("\n", " ").split(" ")
-        if new := [w for w in dict.fromkeys(parts) if w not in known]:
-            if len(known) + len(new) > known.limit:
-                known.clear()
-                new = list(dict.fromkeys(parts))
-            for word, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[word] = np.array(found.ids, dtype="<u4").tobytes()
-        return b"".join(map(known.__getitem__, parts))
+        if new := [w for w in set(parts) if w not in self.words]:
+            if len(self.words) + len(self.parts) + len(new) > self.limit:
+                self.words, self.parts = {"": b""}, {}
+                new = [w for w in set(parts) if w]
+            self._learn(new)
+        return b"".join(map(self.words.__getitem__, parts))
 
 
 @lru_cache(maxsize=4)
