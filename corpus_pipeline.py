@@ -29,7 +29,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score TOXIC_FROM or more go."""
     labels = table(spark, sf_dir, "labels").where(~in_fold("doc_id", 3, 1)).select("doc_id", "toxic")
-    scorer = toxicity.fit(docs.select("doc_id", "text").join(labels, "doc_id"), "doc_id", "text", "toxic")
+    scorer = toxicity.fit(docs, labels, "doc_id", "text", "toxic")
     return toxicity.scored(docs, scorer, score_col="_toxicity").where(F.col("_toxicity") < TOXIC_FROM).select(*docs.columns)
 
 

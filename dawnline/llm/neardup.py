@@ -29,8 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dawnline.llm.components import components
 from dawnline.llm.shared import grouped, ready, stored
+from dawnline.operators.graph import components
 
 BINS, BANDS, ROWS = 256, 16, 4
 BLOCK = 512

@@ -44,7 +44,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents").select("doc_id", "text"), in_fold("doc_id", 3, 1)
     labels = table(spark, sf_dir, "labels").where(~in_fold("doc_id", 3, 1)).select("doc_id", "toxic")
-    scorer = toxicity.fit(docs.join(labels, "doc_id"), "doc_id", "text", "toxic")
+    scorer = toxicity.fit(docs, labels, "doc_id", "text", "toxic")
     scored = toxicity.scored(docs, scorer, score_col="score")
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 

@@ -1,54 +1,18 @@
-"""Helpers of the subpackage: the cluster's shared folder, bounded caches and importable workers."""
+"""Helpers of the subpackage: bounded caches and groups of sorted batches."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
 
-#: Entries that a per-worker cache holds before it starts anew; results never depend on it.
-CACHE_ENTRIES = 400_000
-
-_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir, which driver and executors share.
-
-    Where the setting is absent, a local session (tests) gets a temporary folder; any other master is refused,
-    for executors could not read what the driver or another executor wrote.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="dawnline-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from dawnline.workspace import ready, shared_path, stored
 
+__all__ = ["Memo", "grouped", "ready", "shared_path", "stored"]
 
-def ready(spark: SparkSession) -> None:
-    """Let Python workers on this machine import the package, also where it isn't installed.
-
-    On a cluster, install the package on the nodes or ship it with --py-files.
-    """
-    env = spark.sparkContext.environment
-    parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if _ROOT not in parts:
-        env["PYTHONPATH"] = os.pathsep.join([_ROOT, *parts])
-
-
-def stored(spark: SparkSession, df, name: str):
-    """df written as a table in the shared folder and read again: cuts lineage, and survives lost executors."""
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Entries that a per-worker cache holds before it starts anew; results never depend on it.
+CACHE_ENTRIES = 400_000
 
 
 class Memo(dict):

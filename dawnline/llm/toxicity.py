@@ -151,16 +151,18 @@ def _by_hash(df: DataFrame, key_col: str, share: float) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(key_col, F.lit(11)), F.lit(1 << 20)) < int(share * (1 << 20)))
 
 
-def fit(labelled: DataFrame, key_col: str, text_col: str, label_col: str, max_rows: int = MAX_ROWS, added: dict[str, float] | None = None) -> Scorer:
-    """A scorer from rows with text and a 0/1 label."""
-    spark = labelled.sparkSession
+def fit(docs: DataFrame, labels: DataFrame, key_col: str, text_col: str, label_col: str, max_rows: int = MAX_ROWS, added: dict[str, float] | None = None) -> Scorer:
+    """A scorer from docs' texts and labels' 0/1 labels, joined on key_col."""
+    spark = docs.sparkSession
     ready(spark)
-    rows = labelled.where(F.col(label_col).isin(0, 1)).select(F.col(key_col).alias("key"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y"))
-    counts = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(key_col).alias("key"), F.col(label_col).cast("int").alias("y"))
+    counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     if len(counts) < 2:
         return Scorer(Lexicon(()), None, None, float(next(iter(counts), 0)))
-    parts = [_by_hash(rows.where(F.col("y") == y), "key", min(1.0, max_rows / n)) for y, n in counts.items()]
-    sample = stored(spark, parts[0].union(parts[1]), "labelled")
+    parts = [_by_hash(known.where(F.col("y") == y), "key", min(1.0, max_rows / n)) for y, n in counts.items()]
+    # the labels are sampled before any text is read: about 2 * max_rows keys are broadcast
+    texts = docs.select(F.col(key_col).alias("key"), F.col(text_col).alias("text"))
+    sample = stored(spark, texts.join(F.broadcast(parts[0].union(parts[1])), "key"), "labelled")
     # how the lexicon does is seen on rows that did not name it
     fold = F.pmod(F.xxhash64("key", F.lit(13)), F.lit(5))
     lexicon = learn_lexicon(sample.where(fold < 2), "text", "y", added)
