@@ -58,8 +58,11 @@ def best_paths(messages: DataFrame, best: int = 1, score_col: str | None = None)
     state, jumps = stored(spark, rows, "jumps"), []
     while not state.where("up is not null").isEmpty():
         jumps.append(state.where("up is not null").select("node", "up"))
+        # only branches that go on above take part
         above = state.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("score").alias("more"), F.col("depth").alias("steps"))
-        state = state.join(above, "up", "left").select("conv_id", "node", F.col("next").alias("up"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"), (F.col("depth") + F.coalesce("steps", F.lit(0))).alias("depth"))
+        longer = state.where("up is not null").join(above, "up")
+        longer = longer.select("conv_id", "node", F.col("next").alias("up"), (F.col("score") + F.col("more")).alias("score"), (F.col("depth") + F.col("steps")).alias("depth"))
+        state = state.where("up is null").union(longer)
         state = stored(spark, state, "jumps")
         if len(jumps) > 40:
             raise ValueError("the replies form a circle")

@@ -12,7 +12,9 @@ agree on a band share a bucket. Then, in two steps:
    against every member. Only pairs within reach of the threshold are emitted, once each, and confirmed like the others.
 
 So within the buckets no link between components is lost; a pair at Jaccard 0.85 shares none of 16 buckets with a
-probability of 7e-6, and signatures rule out pairs only at 4.5 standard errors below the threshold.
+probability of 7e-6, and signatures rule out pairs only at 4.5 standard errors below the threshold. A second filter is
+exact: each set also has a bitmap with one bit per hash; the common bits, and the hashes that share a bit within the set,
+bound the intersection from above.
 
 Defined results: a document without words has an empty set and is linked with nothing; one with fewer words than a
 shingle is the whole sequence as one shingle; a null identifier can't be named, so such rows are kept, with a null
@@ -34,7 +36,8 @@ from dawnline.operators.graph import components
 
 BINS, BANDS, ROWS = 256, 16, 4
 BLOCK = 512
-SIGNED = "doc_id long, n_shingles long, set_key binary, bands array<long>, sig binary"
+BITS = 4096
+SIGNED = "doc_id long, n_shingles long, set_key binary, bands array<long>, sig binary, bits binary"
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1)
 _TRIES = np.random.default_rng(9).integers(0, BINS, (BINS, 4 * BINS))
@@ -85,7 +88,7 @@ def signed(df: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text"
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys, band_keys, sigs = [], [], [], []
+            sizes, keys, band_keys, sigs, bitmaps = [], [], [], [], []
             for text in batch.column(1):
                 hashes = shingle_set(text.as_py(), k)
                 sizes.append(len(hashes))
@@ -94,12 +97,16 @@ def signed(df: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text"
                     keys.append(xxhash.xxh3_128_digest(hashes.tobytes()))
                     band_keys.append(bands(sig).view(np.int64))
                     sigs.append(_mixed(sig).astype(np.uint8).tobytes())
+                    bits = np.zeros(BITS, dtype=bool)
+                    bits[hashes & np.uint64(BITS - 1)] = True
+                    bitmaps.append(np.packbits(bits).tobytes())
                 else:
                     keys.append(None)
                     band_keys.append(None)
                     sigs.append(None)
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(band_keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_key", "bands", "sig"])
+                    bitmaps.append(None)
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(band_keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary()), pa.array(bitmaps, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_key", "bands", "sig", "bits"])
 
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(sign, SIGNED)
 
@@ -120,9 +127,16 @@ def _reach(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return np.where(100 * np.minimum(n, m) < percent * np.maximum(n, m), BINS + 1, np.floor((t - 4.5 * error) * BINS))
 
 
-def _agree(a: pa.Array, b: pa.Array) -> np.ndarray:
-    x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, BINS) for c in (a, b))
-    return (x == y).sum(axis=1)
+def _rows(c: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    values = c.to_pylist()
+    return np.frombuffer(b"".join(values), np.uint8).reshape(len(values), -1)
+
+
+def _common(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Whether bitmaps x and y of sets of n and m hashes leave room for 100 * intersection >= percent * union."""
+    lost = np.minimum(n - np.bitwise_count(x).sum(axis=-1, dtype=np.int64), m - np.bitwise_count(y).sum(axis=-1, dtype=np.int64))
+    most = np.bitwise_count(x & y).sum(axis=-1, dtype=np.int64) + lost
+    return 100 * most >= percent * (n + m - most)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -143,28 +157,28 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(near("a_set", "b_set")).select("a", "b")
 
 
-def star_pairs(members: DataFrame, percent: int) -> DataFrame:
+def star_pairs(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Each bucket's members with its smallest, where the signatures allow a link: a, b, a_key, b_key, distinct."""
 
     @F.arrow_udf("boolean")
-    def possible(n: pa.Array, m: pa.Array, x: pa.Array, y: pa.Array) -> pa.Array:
-        return pa.array(_agree(x, y) >= _reach(n.to_numpy(False), m.to_numpy(False), percent))
+    def possible(n: pa.Array, m: pa.Array, x: pa.Array, y: pa.Array, p: pa.Array, q: pa.Array) -> pa.Array:
+        n, m = n.to_numpy(False), m.to_numpy(False)
+        return pa.array(((_rows(x) == _rows(y)).sum(axis=1) >= _reach(n, m, percent)) & _common(n, m, _rows(p), _rows(q), percent))
 
-    nodes = members.select("doc_id", "set_key", "n_shingles", "sig").dropDuplicates(["doc_id", "set_key"])
     pairs = members.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"), F.col("set_key").alias("b_key")).distinct()
-    a = nodes.select(F.col("doc_id").alias("a"), F.col("set_key").alias("a_key"), F.col("n_shingles").alias("n"), F.col("sig").alias("x"))
-    b = nodes.select(F.col("set_key").alias("b_key"), F.col("n_shingles").alias("m"), F.col("sig").alias("y"))
-    return pairs.join(b, "b_key").join(a, "a").where(possible("n", "m", "x", "y")).select("a", "b", "a_key", "b_key")
+    a = nodes.select(F.col("doc_id").alias("a"), F.col("set_key").alias("a_key"), F.col("n_shingles").alias("n"), F.col("sig").alias("x"), F.col("bits").alias("p"))
+    b = nodes.select(F.col("set_key").alias("b_key"), F.col("n_shingles").alias("m"), F.col("sig").alias("y"), F.col("bits").alias("q"))
+    return pairs.join(b, "b_key").join(a, "a").where(possible("n", "m", "x", "y", "p", "q")).select("a", "b", "a_key", "b_key")
 
 
-def rest_pairs(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def rest_pairs(members: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """The pairs of one bucket in different components that the signatures allow, each once: a, b, a_key, b_key."""
     labelled = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     by_label = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     mixed = by_label.groupBy("bucket").agg(F.count("*").alias("labels"), F.sum("n").alias("size"), F.max_by("label", F.struct("n", "label")).alias("largest")).where("labels > 1")
     rows = labelled.join(mixed, "bucket")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    columns = ["bucket", "doc_id", "label", "set_key", "n_shingles", "sig", "bands", "largest"]
+    columns = ["bucket", "doc_id", "label", "set_key", "largest"]
     held = rows.select(F.pmod(F.xxhash64("set_key", "doc_id"), blocks).cast("int").alias("block"), *columns, F.lit(False).alias("probe"))
     probes = rows.where("label <> largest").select(F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), *columns, F.lit(True).alias("probe"))
 
@@ -174,7 +188,7 @@ def rest_pairs(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame
             if not probe.any() or probe.all():
                 return None
             ids, label, n, largest = (group[c].to_numpy() for c in ("doc_id", "label", "n_shingles", "largest"))
-            sig = np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint8).reshape(-1, BINS)
+            sig, bits = _rows(group["sig"]), _rows(group["bits"])
             band = np.array(group["bands"].to_pylist(), dtype=np.int64)
             bucket = group["bucket"][0].as_py()
             keys = group["set_key"].to_pylist()
@@ -182,6 +196,8 @@ def rest_pairs(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame
             for i in np.flatnonzero(probe):
                 js = held[(label[held] != label[i]) & ((ids[held] > ids[i]) | (label[held] == largest[i]))]
                 js = js[(sig[js] == sig[i]).sum(axis=1) >= _reach(n[js], n[i], percent)]
+                if len(js):
+                    js = js[_common(n[js], n[i], bits[js], bits[i], percent)]
                 if len(js):
                     # of the buckets that both share, the first one tells of the pair
                     first = band[i][(band[js] == band[i]).argmax(axis=1)]
@@ -196,7 +212,7 @@ def rest_pairs(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame
             if (out := pairs(group)) is not None:
                 yield out
 
-    dealt = held.union(probes).repartition("bucket", "block").sortWithinPartitions("bucket", "block")
+    dealt = held.union(probes).join(nodes, ["set_key", "doc_id"]).repartition("bucket", "block").sortWithinPartitions("bucket", "block")
     return dealt.mapInArrow(compare, "a long, b long, a_key binary, b_key binary").distinct()
 
 
@@ -208,18 +224,19 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 85, id_col: str =
     copies = known.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     reps = known.join(copies.withColumnRenamed("rep", "doc_id"), ["set_key", "doc_id"], "left_semi").dropDuplicates(["doc_id", "set_key"])
 
-    buckets = reps.select("doc_id", F.explode("bands").alias("bucket"))
+    buckets = reps.select("doc_id", "set_key", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("size"), F.min("doc_id").alias("hub")).where("size > 1").select("bucket", "hub")
-    members = reps.select("*", F.explode("bands").alias("bucket")).join(shared, "bucket")
-    members = stored(spark, members, "members")
+    members = stored(spark, buckets.join(shared, "bucket"), "members")
+    # what is wide is kept once a node, and joined to pairs and blocks when it is needed
+    nodes = stored(spark, reps.join(members.select("set_key", "doc_id").distinct(), ["set_key", "doc_id"], "left_semi"), "nodes")
 
     ids = members.select("doc_id").distinct()
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text")).join(ids, "doc_id", "left_semi")
     sets = stored(spark, _sets(texts, k, "doc_id", "_text").dropDuplicates(["set_key"]), "sets")
 
-    star = stored(spark, confirmed(star_pairs(members, percent), sets, percent), "links")
+    star = stored(spark, confirmed(star_pairs(members, nodes, percent), sets, percent), "links")
     labels = components(star)
-    rest = stored(spark, confirmed(rest_pairs(members, labels, percent), sets, percent), "links")
+    rest = stored(spark, confirmed(rest_pairs(members, nodes, labels, percent), sets, percent), "links")
     if not rest.isEmpty():
         labels = components(star.union(rest))
 
