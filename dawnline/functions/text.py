@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -33,12 +34,16 @@ _TURKISH, _TURKISH_BASES = "ışğüöçâîû", "isguocaiu"
 _STABLE = "".join(chr(c) for c in range(0xA1, 0x250) if unicodedata.normalize("NFKD", chr(c)) == chr(c))
 
 
-@F.arrow_udf("string")
-def _decompose(texts: pa.Array) -> pa.Array:
-    def fold_one(text):
-        return None if text is None else "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+@lru_cache(maxsize=1)
+def _decompose():
+    @F.arrow_udf("string")
+    def decompose(texts: pa.Array) -> pa.Array:
+        def fold_one(text):
+            return None if text is None else "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
 
-    return pa.array([fold_one(t.as_py()) for t in texts], pa.string())
+        return pa.array([fold_one(t.as_py()) for t in texts], pa.string())
+
+    return decompose
 
 
 def _text(c: Column | str) -> Column:
@@ -56,7 +61,7 @@ def fold(c: Column | str, exotic: bool = True) -> Column:
     if not exotic:
         return simple
     rest = F.translate(simple, _STABLE, "").rlike(r"[^\x00-\x7f]")
-    return F.coalesce(_decompose(F.when(rest, simple)), simple)
+    return F.coalesce(_decompose()(F.when(rest, simple)), simple)
 
 
 def norm_space(c: Column | str) -> Column:
