@@ -285,8 +285,8 @@ def locale_number(c: Column | str) -> Column:
 def quoted(quote: Column, evidence: Column) -> Column:
     """Whether a quote stands in a text: as a folded string of 8 characters up, or by 90 % of at least 3 tokens."""
     q, e = norm_space(fold(quote)), norm_space(fold(evidence))
-    words = tokens(q, folded=True)
-    share = F.size(F.filter(words, lambda w: F.array_contains(tokens(e, folded=True), w))) / F.size(words)
+    words = F.array_distinct(tokens(q, folded=True))
+    share = F.size(F.array_intersect(words, tokens(e, folded=True))) / F.size(words)
     return ((F.length(q) >= 8) & (F.instr(e, q) > 0)) | F.coalesce((F.size(words) >= 3) & (share >= 0.9), F.lit(False))
 
 

@@ -50,7 +50,7 @@ class Page(HTMLParser):
             self.open_cell = [self.table, self.row, self.col, tag == "th", []]
             if self.col:
                 self.text.append(" | ")
-        elif tag == "a" and at.get("href") and not self.skip:
+        elif tag == "a" and at.get("href"):
             self.open_link = [at["href"], []]
 
     def handle_endtag(self, tag):
@@ -71,11 +71,13 @@ class Page(HTMLParser):
     def handle_data(self, data):
         if self.in_title:
             self.title += data
-        elif not self.skip:
+            return
+        if self.open_link:  # links of menus count, their text doesn't
+            self.open_link[-1].append(data)
+        if not self.skip:
             self.text.append(data)
-            for part in (self.open_link, self.open_cell):
-                if part:
-                    part[-1].append(data)
+            if self.open_cell:
+                self.open_cell[-1].append(data)
 
 
 def parse(html: str | None, url: str | None) -> tuple:
