@@ -228,9 +228,10 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 85, id_col: str =
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("size"), F.min("doc_id").alias("hub")).where("size > 1").select("bucket", "hub")
     members = stored(spark, buckets.join(shared, "bucket"), "members")
     # what is wide is kept once a node, and joined to pairs and blocks when it is needed
-    nodes = stored(spark, reps.join(members.select("set_key", "doc_id").distinct(), ["set_key", "doc_id"], "left_semi"), "nodes")
+    nodes = stored(spark, reps.join(members.select("set_key", "doc_id").distinct().hint("merge"), ["set_key", "doc_id"], "left_semi"), "nodes")
 
-    ids = members.select("doc_id").distinct()
+    # a sort-merge join at every size: the ids are a share of the documents, never known to be few
+    ids = members.select("doc_id").distinct().hint("merge")
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text")).join(ids, "doc_id", "left_semi")
     sets = stored(spark, _sets(texts, k, "doc_id", "_text").dropDuplicates(["set_key"]), "sets")
 
