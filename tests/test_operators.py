@@ -1,0 +1,111 @@
+"""Operators against row-at-a-time versions on random rows, and the scenarios they are for."""
+
+import random
+
+from pyspark.sql import functions as F
+
+from dawnline.operators import changes, fusion, linking, similarity
+from dawnline.operators.graph import components
+from dawnline.sources import feeds, html, markdown
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)]
+    label = {}
+    for a, b in edges:
+        label.setdefault(a, a), label.setdefault(b, b)
+    for _ in range(200):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: x for n, x in label.items() if any(n in e and e[0] != e[1] for e in edges)}
+
+
+def test_set_pairs_lose_nothing(spark):
+    rng = random.Random(2)
+    base = [rng.sample(range(40), rng.randrange(1, 12)) for _ in range(30)]
+    sets = {i: set(s) | ({rng.randrange(40)} if rng.random() < 0.5 else set()) for i, s in enumerate(base * 2)}
+    want = set()
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a < b and (both / len(sets[a] | sets[b]) >= 0.6 or both / min(len(sets[a]), len(sets[b])) >= 0.8):
+                want.add((a, b))
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id long, items array<long>")
+    assert {(r["a"], r["b"]) for r in similarity.near_duplicate_pairs(df).collect()} == want
+
+
+def test_replay_matches_one_pass(spark):
+    rng = random.Random(3)
+    ids = list(range(40))
+    scores = {(a, b): round(rng.random(), 3) for a in ids for b in ids if a < b and rng.random() < 0.08}
+    items = spark.createDataFrame([(i, 40 - i) for i in ids], "id long, place long")
+    pairs = spark.createDataFrame([(a, b, s) for (a, b), s in scores.items()], "a long, b long, score double")
+    want = linking.replay(sorted(ids, key=lambda i: 40 - i), scores, 0.5)
+    assert {r["id"]: r["cluster"] for r in linking.replayed(items, pairs).collect()} == want
+
+
+def test_capture_twice_changes_nothing(spark):
+    current = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
+    batch = spark.createDataFrame([(2, "c", 1), (2, "d", 2), (3, "e", 1), (1, None, 1)], "k long, v string, n long")
+    first = changes.capture(current, batch, ["k"], ["v"], [F.col("n")])
+    assert {r["k"]: (r["change"], r["v"]) for r in first.collect()} == {1: ("unchanged", "a"), 2: ("changed", "c"), 3: ("inserted", "e")}
+    again = changes.capture(first.select("k", "v"), batch, ["k"], ["v"], [F.col("n")])
+    assert {r["change"] for r in again.collect()} == {"unchanged"}
+
+
+def test_independent_sources(spark):
+    rows = [(1, 1, "a.com", True, None), (1, 2, "a.com", True, None), (1, 3, "b.com", False, "x"), (1, 4, "b.com", False, "y")]
+    items = spark.createDataFrame(rows, "event long, id long, domain string, press boolean, author string")
+    near = spark.createDataFrame([], "a long, b long")
+    assert similarity.independent_sources(items, near).first()["independent"] == 3
+
+
+def test_versions_compare_with_the_last_version(spark):
+    rows = [("e", i, v) for i, v in enumerate("aabbba")]
+    got = fusion.versions(spark.createDataFrame(rows, "k string, t long, v string"), "k", ["t"], ["v"]).orderBy("t").collect()
+    assert [(r["t"], r["version"]) for r in got] == [(0, 1), (2, 2), (5, 3)]
+
+
+def test_issue_links(spark):
+    schema = "id long, at timestamp, tokens array<string>, tags array<string>, kbs array<string>, products array<string>"
+    at = "2026-09-01 00:00:00"
+    make = lambda rows: spark.createDataFrame([(i, t, g, k, p) for i, t, g, k, p in rows], "id long, tokens array<string>, tags array<string>, kbs array<string>, products array<string>").withColumn("at", F.lit(at).cast("timestamp")).select(*[c.split()[0] for c in schema.split(", ")])
+    events = make([(1, ["smart", "card", "login"], ["auth"], ["5000001"], []), (2, ["remot", "deskt", "black"], ["rds"], ["5000001"], [])])
+    reports = make([(10, ["black", "deskt", "after"], ["rds"], ["5000001"], []), (11, ["nothi", "else"], ["audio"], [], [])])
+    assert [(r["id"], r["event"]) for r in linking.issue_links(reports, events).collect()] == [(10, 2)]
+
+
+def test_html_page():
+    title, text, updated, links, cells = html.parse(
+        '<title>T x</title><meta name="date" content="2026-01-02"><nav><a href="/n">nav</a></nav><p>one<br>two</p><ul><li>b</li></ul>'
+        '<table><tr><th>H</th><th>I</th></tr><tr><td>1</td><td>2</td></tr></table><script>x</script>',
+        "https://a.org/p",
+    )
+    assert (title, updated, links) == ("T x", "2026-01-02", [("https://a.org/n", "nav")])
+    assert text.split("\n")[:3] == ["one", "two", "• b"] and "x" not in text.split("\n")
+    assert cells == [(0, 0, 0, True, "H"), (0, 0, 1, True, "I"), (0, 1, 0, False, "1"), (0, 1, 1, False, "2")]
+    assert html.parse(None, None)[1] == ""
+
+
+def test_markdown(spark):
+    md = "---\ntitle: A b\n---\n# One\ntext\n```\n# no\n```\n## Two\nmore\n# Three\n| a | b |\n|---|---|\n| 1 | 2 |"
+    df = spark.createDataFrame([(1, md)], "id long, md string").select("id", markdown.front_matter(F.col("md")).alias("f")).select("id", "f.meta", F.col("f.body").alias("md"))
+    assert df.first()["meta"] == {"title": "A b"}
+    got = markdown.section_ends(markdown.heading_sections(df, "id", "md"), "id").orderBy("section").collect()
+    assert [(r["level"], r["title"], r["ends"]) for r in got] == [(1, "One", 3), (2, "Two", 3), (1, "Three", None)]
+    assert df.select(markdown.table_rows(F.col("md"))).first()[0] == [["a", "b"], ["1", "2"]]
+
+
+def test_feed_file(spark, tmp_path):
+    (tmp_path / "f.xml").write_text('<rss><channel><item><title> A  b </title><link>https://a.org/x?utm_source=f</link><description>&lt;p&gt;hi&lt;/p&gt;</description></item><item><title></title></item></channel></rss>')
+    items = feeds.read_feed(spark, str(tmp_path / "f.xml")).withColumns({"source": F.lit("s"), "t": F.current_timestamp()})
+    got = feeds.entries(items, "source", F.col("t"), F.lit("2000-01-01").cast("timestamp")).collect()
+    assert [(r["title"], r["link"], r["summary"]) for r in got] == [("A b", "https://a.org/x", "hi")]
+
+
+def test_rates_file(spark, tmp_path):
+    (tmp_path / "r.xml").write_text('<D><Currency CurrencyCode="JPY"><Unit>100</Unit><ForexBuying>30</ForexBuying><ForexSelling>31</ForexSelling></Currency></D>')
+    row = feeds.reference_rates(spark, str(tmp_path / "r.xml")).first()
+    assert (row["code"], row["ForexBuying"]) == ("JPY", 0.3)
