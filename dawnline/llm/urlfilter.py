@@ -57,11 +57,12 @@ def with_rule(df: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
 
 def _grams(text: Column, mark: str) -> Column:
     whole = F.concat(F.lit("^"), text, F.lit("$"))
-    parts = []
-    for n in SIZES:
+
+    def of_size(n: int) -> Column:
         starts = F.when(F.length(whole) >= n, F.sequence(F.lit(1), F.length(whole) - n + 1)).otherwise(F.array().cast("array<int>"))
-        parts.append(F.transform(starts, lambda i, n=n: F.concat(F.lit(f"{mark}{n}"), F.substring(whole, i, F.lit(n)))))
-    return F.array_distinct(F.concat(*parts))
+        return F.transform(starts, lambda i: F.concat(F.lit(f"{mark}{n}"), F.substring(whole, i, F.lit(n))))
+
+    return F.array_distinct(F.concat(*map(of_size, SIZES)))
 
 
 def with_features(df: DataFrame) -> DataFrame:
