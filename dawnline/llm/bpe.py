@@ -13,7 +13,6 @@ one by one; rows and other columns pass unchanged. An existing column named like
 from __future__ import annotations
 
 import base64
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -22,7 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dawnline.llm.shared import Memo, ready
+from dawnline.llm.shared import Memo, held, ready
 
 #: A fixed value: the public pattern whose matches hold a space at their start only, so that a single space between
 #: other characters always begins a match and words can be looked up whole.
@@ -112,9 +111,8 @@ class Codec:
         return b"".join(map(self.bytes.__getitem__, ids))
 
 
-@lru_cache(maxsize=4)
 def codec(path: str, pattern: str) -> Codec:
-    return Codec(path, pattern)
+    return held(Codec, path, pattern)
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:

@@ -15,7 +15,6 @@ labelled rows everything is 'und'; repeated rows are judged one by one; an exist
 
 from __future__ import annotations
 
-from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
@@ -24,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dawnline.llm.shared import Memo, ready
+from dawnline.llm.shared import Memo, held, ready
 
 UNKNOWN = "und"
 SAMPLE_ROWS, SAMPLE_CHARS = 64, 30_000
@@ -105,9 +104,8 @@ class Model:
         return self.langs[best], float(score), float(totals[best] / chars)
 
 
-@lru_cache(maxsize=2)
 def _model(samples: tuple[tuple[str, str], ...]) -> Model:
-    return Model(samples)
+    return held(Model, samples)
 
 
 def fit_samples(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> tuple[tuple[str, str], ...]:

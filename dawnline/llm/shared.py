@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,10 +10,22 @@ import pyarrow as pa
 
 from dawnline.workspace import ready, shared_path, stored
 
-__all__ = ["Memo", "grouped", "ready", "shared_path", "stored"]
+__all__ = ["Memo", "grouped", "held", "ready", "shared_path", "stored"]
 
 #: Entries that a per-worker cache holds before it starts anew; results never depend on it.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 300_000
+
+
+_held: list = []
+
+
+def held(make: Callable, *args):
+    """make(*args), kept in this worker until something else is asked for: one model and its caches at a time."""
+    if not _held or _held[0] != (make, args):
+        _held.clear()
+        gc.collect()
+        _held[:] = [(make, args), make(*args)]
+    return _held[1]
 
 
 class Memo(dict):

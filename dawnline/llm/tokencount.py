@@ -12,7 +12,6 @@ and an existing column named like the output is replaced.
 
 from __future__ import annotations
 
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -22,7 +21,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dawnline.llm.shared import Memo, ready
+from dawnline.llm.shared import Memo, held, ready
 
 MARK = "▁"
 _SEGMENTS = regex.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
@@ -92,9 +91,8 @@ class PrefixCounter:
         return np.array(out, dtype=np.int32)
 
 
-@lru_cache(maxsize=4)
 def counter(path: str) -> PrefixCounter:
-    return PrefixCounter(path)
+    return held(PrefixCounter, path)
 
 
 def token_count(text: Column | str, path: str) -> Column:

@@ -22,7 +22,6 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dawnline.llm.shared import ready, shared_path
+from dawnline.llm.shared import held, ready, shared_path
 
 # tasks are Spark's parallelism; the library's own threads would compete with them
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -220,9 +219,8 @@ class WordEncoder:
         return b"".join(map(self.words.__getitem__, parts))
 
 
-@lru_cache(maxsize=4)
 def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+    return held(WordEncoder, path)
 
 
 def write_shards(df: DataFrame, tokenizer_path: str, end_id: int, root: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

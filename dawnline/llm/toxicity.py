@@ -18,8 +18,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dawnline.llm.shared import Memo, ready, stored
+from dawnline.llm.shared import Memo, held, ready, stored
 
 MAX_ROWS, MAX_LEXICON = 6_000, 4_000
 STEMS = (4, 5, 6, 7, 8)
@@ -99,9 +99,8 @@ class Reader:
         ]
 
 
-@lru_cache(maxsize=2)
 def reader(lexicon: Lexicon) -> Reader:
-    return Reader(lexicon)
+    return held(Reader, lexicon)
 
 
 def features(text: Column | str, lexicon: Lexicon) -> Column:
@@ -117,17 +116,20 @@ def features(text: Column | str, lexicon: Lexicon) -> Column:
 
 def learn_lexicon(labelled: DataFrame, text_col: str, label_col: str, added: dict[str, float] | None = None) -> Lexicon:
     """At most MAX_LEXICON words and beginnings, by log odds of their document frequencies in toxic and other rows."""
-    kind = pa.list_(pa.struct([("term", pa.string()), ("n", pa.int64())]))
-
-    @F.arrow_udf("array<struct<term: string, n: bigint>>")
-    def counted(texts: pa.Array) -> pa.Array:
-        out = []
-        for text in texts:
-            counts = Counter(t for w in _WORD.findall((text.as_py() or "").lower()) for t in terms(w))
-            out.append([{"term": t, "n": min(n, TERM_CAP)} for t, n in counts.items()])
-        return pa.array(out, kind)
-
-    rows = labelled.select(F.col(label_col).cast("int").alias("y"), F.explode(counted(F.col(text_col))).alias("t")).select("y", "t.term", "t.n")
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(y, term, n) of each text, a few texts at a time."""
+        for batch in batches:
+            for at in range(0, batch.num_rows, 32):
+                ys, found, ns = [], [], []
+                part = batch.slice(at, 32)
+                for y, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                    counts = Counter(t for w in _WORD.findall((text.as_py() or "").lower()) for t in terms(w))
+                    ys += [y] * len(counts)
+                    found += counts
+                    ns += [min(n, TERM_CAP) for n in counts.values()]
+                yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(found, pa.string()), pa.array(ns, pa.int64())], names=["y", "term", "n"])
+
+    rows = labelled.select(F.col(label_col).cast("int").alias("y"), text_col).mapInArrow(counted, "y int, term string, n long")
     total = labelled.agg(F.sum(label_col).alias("toxic"), F.count("*").alias("docs")).first()
     counts = rows.groupBy("term").agg(F.sum("y").alias("docs"), F.sum(F.col("y") * F.col("n")).alias("toxic"), F.sum((1 - F.col("y")) * F.col("n")).alias("other"))
     t, o = float(total["toxic"] or 0), float(total["docs"] - (total["toxic"] or 0))
