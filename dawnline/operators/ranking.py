@@ -46,6 +46,8 @@ def capped_sections(df: DataFrame, section: str, order: list[Column], caps: dict
     place = F.create_map(*(x for i, s in enumerate(names) for x in (F.lit(s), F.lit(i))))
     cap = F.coalesce(F.create_map(*(x for s, c in caps.items() for x in (F.lit(s), F.lit(c))))[F.col(section)], F.lit(default_cap))
     ranked = df.where(F.col(section).isin(names)).withColumn("section_rank", F.row_number().over(Window.partitionBy(section).orderBy(*order)))
+    # the literal bound lets Spark cut each section within every partition before the shuffle
+    ranked = ranked.where(F.col("section_rank") <= max(*caps.values(), default_cap))
     within = ranked.where(F.col("section_rank") <= cap).withColumn("_place", place[F.col(section)])
     overall = within.withColumn("position", F.row_number().over(Window.orderBy("_place", "section_rank")))
     return overall.where((F.col("position") <= total) | (F.col(section) == first)).drop("_place")

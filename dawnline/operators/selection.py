@@ -64,8 +64,9 @@ def retained(rows: DataFrame, at: str, since: Column, referenced: DataFrame, key
 def carried_forward(listed: DataFrame, known: DataFrame, key: str, detail: str, order: Column, first: int) -> DataFrame:
     """listed with known details; of rows still without, the first ones in order are queued."""
     rows = listed.join(known.select(key, detail), key, "left").withColumn("missing", F.col(detail).isNull())
-    n = F.row_number().over(Window.partitionBy("missing").orderBy(order))
-    return rows.withColumn("queued", F.col("missing") & (n <= first))
+    # the first few by a take-ordered plan, so that no window sees all missing rows
+    few = rows.where("missing").orderBy(order).limit(first).select(key, F.lit(True).alias("queued"))
+    return rows.join(F.broadcast(few), key, "left").withColumn("queued", F.coalesce("queued", F.lit(False)))
 
 
 def write_slot(rows: DataFrame, path: str, slot: str, done: DataFrame) -> None:
