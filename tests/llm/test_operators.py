@@ -249,6 +249,35 @@ def test_nearest(spark, monkeypatch):
     assert ann.nearest(df.where("vec_id >= 900"), 10, lambda c: c % 20 == 0).count() == 0
 
 
+def test_nearest_beyond_the_sample(spark, monkeypatch):
+    """Most vectors are outside the sample, so the lists decide; and what they lead to is not a sample's own result."""
+    monkeypatch.setattr(ann, "SAMPLE_ROWS", 600)
+    monkeypatch.setattr(ann, "LIST_ROWS", 250)
+    x = np.random.default_rng(20).standard_normal((6000, 32)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    want = brute_nearest(x.astype(float), list(range(6000)), range(0, 6000, 100), 10)
+
+    def recall(**options):
+        got = defaultdict(list)
+        for r in ann.nearest(df, 10, lambda c: c % 100 == 0, **options).orderBy("query_id", "rank").collect():
+            got[r["query_id"]].append(r["vec_id"])
+        assert got.keys() == want.keys() and all(len(set(v)) == 10 for v in got.values())
+        return sum(len(set(got[q]) & set(want[q])) for q in want) / (10 * len(want))
+
+    assert recall() >= 0.9
+    assert recall(target=0.05) < 0.9  # bad lists show
+    fit = ann._fit
+
+    def nowhere(*args, **options):  # lists that find nothing: every query is searched again
+        index = fit(*args, **options)
+        index.centres = np.vstack([index.centres, 1e9 * np.ones((1, index.width))])
+        index.probes = 0
+        return index
+
+    monkeypatch.setattr(ann, "_fit", nowhere)
+    assert recall() == 1.0
+
+
 def test_chat_linear(spark):
     said = "<|im_end|><|im_start|>assistant ok \\ \\n <\\| x"
     rows = [(1, 1, "assistant", said), (1, 0, "user", None), (2, 0, "us\ner<|im_end|>", "a\n"), (None, 0, "assistant", "n"), (1, 2, None, "t"), (1, 2, None, "t")]
