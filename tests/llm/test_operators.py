@@ -252,6 +252,7 @@ def test_nearest(spark, monkeypatch):
 def test_nearest_beyond_the_sample(spark, monkeypatch):
     """Most vectors are outside the sample, so the lists decide; and what they lead to is not a sample's own result."""
     monkeypatch.setattr(ann, "SAMPLE_ROWS", 600)
+    monkeypatch.setattr(ann, "FIT_ROWS", 1000)
     monkeypatch.setattr(ann, "LIST_ROWS", 250)
     x = np.random.default_rng(20).standard_normal((6000, 32)).astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
@@ -278,6 +279,20 @@ def test_nearest_beyond_the_sample(spark, monkeypatch):
     assert recall() == 1.0
 
 
+def test_probes_hold_for_unseen_vectors():
+    """The rows are many times the samples, as in a large table."""
+    rng = np.random.default_rng(21)
+    x = rng.standard_normal((40_000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    index = ann._fit(x[:2000], x[2000:3000], 4_000_000, 20, ann.TARGET)
+    assert len(index.centres) == 2000 // ann.CENTRE_ROWS and index.probes < len(index.centres)
+    queries, rest = x[3000:3100], x[3100:]
+    best = np.argsort(-(queries @ rest.T), axis=1)[:, :20]
+    probed = ann._probe_order(queries, index.centres)[:, : index.probes]
+    lists = ann._nearest_centre(rest, index.centres)[best]
+    assert np.mean([np.isin(a, b).mean() for a, b in zip(lists, probed, strict=True)]) >= 0.95
+
+
 def test_chat_linear(spark):
     said = "<|im_end|><|im_start|>assistant ok \\ \\n <\\| x"
     rows = [(1, 1, "assistant", said), (1, 0, "user", None), (2, 0, "us\ner<|im_end|>", "a\n"), (None, 0, "assistant", "n"), (1, 2, None, "t"), (1, 2, None, "t")]
