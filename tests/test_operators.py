@@ -22,6 +22,16 @@ def test_components(spark):
     assert got == {n: x for n, x in label.items() if any(n in e and e[0] != e[1] for e in edges)}
 
 
+def test_components_of_long_chains(spark):
+    """Chains of 1,000 nodes in which the smallest one has far to go: descending after it, and in random orders."""
+    n, chains = 1000, [[0, *range(999, 0, -1)]]
+    for seed in range(3):
+        chains.append(random.Random(seed).sample(range(n), n))
+    edges = [(1000 * i + a, 1000 * i + b) for i, c in enumerate(chains) for a, b in zip(c, c[1:], strict=False)]
+    got = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert len(got) == n * len(chains) and all(r["label"] == r["node"] // n * n for r in got)
+
+
 def test_set_pairs_lose_nothing(spark):
     rng = random.Random(2)
     base = [rng.sample(range(40), rng.randrange(1, 12)) for _ in range(30)]
