@@ -16,7 +16,7 @@ from dawnline.llm.queries import BYTE_BPE, in_fold, table
 from dawnline.llm.shared import shared_path
 
 TOXIC_FROM = 0.7
-DUPLICATE_PERCENT = 85
+DUPLICATE_PERCENT, DUPLICATE_BANDS = 80, 24
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document of the smallest doc_id stays."""
-    gone = neardup.near_duplicates(docs.select("doc_id", "text"), k=5, percent=DUPLICATE_PERCENT).where("not kept").select("doc_id")
+    gone = neardup.near_duplicates(docs.select("doc_id", "text"), k=5, percent=DUPLICATE_PERCENT, count=DUPLICATE_BANDS).where("not kept").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -12,7 +12,7 @@ agree on a band share a bucket. Then, in two steps:
    against every member. Only pairs within reach of the threshold are emitted, once each, and confirmed like the others.
 
 So within the buckets no link between components is lost; a pair at Jaccard 0.85 shares none of 16 buckets with a
-probability of 7e-6, and signatures rule out pairs only at 4.5 standard errors below the threshold. A second filter is
+probability of 7e-6, one at 0.8 none of 24 with 3e-6, and signatures rule out pairs only at 4.5 standard errors below the threshold. A second filter is
 exact: each set also has a bitmap with one bit per hash; the common bits, and the hashes that share a bit within the set,
 bound the intersection from above.
 
@@ -75,14 +75,14 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def bands(sig: np.ndarray) -> np.ndarray:
-    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+def bands(sig: np.ndarray, count: int = BANDS) -> np.ndarray:
+    keys = np.arange(1, count + 1, dtype=np.uint64)
     for i in range(ROWS):
-        keys = _mixed(keys * _P + sig[i : BANDS * ROWS : ROWS])
+        keys = _mixed(keys * _P + sig[i : count * ROWS : ROWS])
     return keys
 
 
-def signed(df: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def signed(df: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", count: int = BANDS) -> DataFrame:
     """Each document's set size, set key (a 128-bit hash of the set), band keys and 8-bit signature; nulls for an empty set."""
     ready(df.sparkSession)
 
@@ -95,7 +95,7 @@ def signed(df: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text"
                 if len(hashes):
                     sig = signature(hashes)
                     keys.append(xxhash.xxh3_128_digest(hashes.tobytes()))
-                    band_keys.append(bands(sig).view(np.int64))
+                    band_keys.append(bands(sig, count).view(np.int64))
                     sigs.append(_mixed(sig).astype(np.uint8).tobytes())
                     bits = np.zeros(BITS, dtype=bool)
                     bits[hashes & np.uint64(BITS - 1)] = True
@@ -216,10 +216,10 @@ def rest_pairs(members: DataFrame, nodes: DataFrame, labels: DataFrame, percent:
     return dealt.mapInArrow(compare, "a long, b long, a_key binary, b_key binary").distinct()
 
 
-def near_duplicates(df: DataFrame, k: int = 5, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, k: int = 5, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", count: int = BANDS) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept, for each row of df."""
     spark = df.sparkSession
-    rows = stored(spark, signed(df, k, id_col, text_col), "signed")
+    rows = stored(spark, signed(df, k, id_col, text_col, count), "signed")
     known = rows.where("doc_id is not null and set_key is not null")
     copies = known.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     reps = known.join(copies.withColumnRenamed("rep", "doc_id"), ["set_key", "doc_id"], "left_semi").dropDuplicates(["doc_id", "set_key"])
