@@ -1,4 +1,4 @@
-"""Feeds and payloads: XML items, mapped JSON, rates, forecasts, fallbacks."""
+"""Feeds and payloads: XML items, mapped JSON, rates, fallbacks."""
 
 from __future__ import annotations
 
