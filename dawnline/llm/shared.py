@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Callable, Iterator
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +13,8 @@ from dawnline.workspace import ready, shared_path, stored
 
 __all__ = ["Memo", "grouped", "held", "ready", "shared_path", "stored"]
 
-#: Entries that a per-worker cache holds before it starts anew; results never depend on it.
-CACHE_ENTRIES = 300_000
+#: What a per-worker cache holds before it starts anew, and the largest entry that it keeps; results depend on neither.
+CACHE_BYTES, ENTRY_BYTES, SLOT_BYTES = 64 << 20, 2 << 10, 104
 
 
 _held: list = []
@@ -29,16 +30,22 @@ def held(make: Callable, *args):
 
 
 class Memo(dict):
-    """A dict that fills itself through make(key) and starts anew when it is full."""
+    """A dict that fills itself through make(key) and starts anew when limit bytes are full; large entries are not kept."""
 
-    def __init__(self, make: Callable, limit: int = CACHE_ENTRIES):
+    def __init__(self, make: Callable, limit: int = CACHE_BYTES):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.size = make, limit, 0
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
+        value = self.make(key)
+        size = SLOT_BYTES + getsizeof(key) + getsizeof(value)
+        if size > ENTRY_BYTES:
+            return value
+        self.size += size
+        if self.size > self.limit:
             self.clear()
-        value = self[key] = self.make(key)
+            self.size = size
+        self[key] = value
         return value
 
 

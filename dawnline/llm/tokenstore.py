@@ -7,20 +7,23 @@ are in order among themselves; each task encodes and writes its own range, block
 per shard. A shard appears under its name by a rename after it is complete, and its content depends on its rows only,
 so a task that runs again after a lost executor replaces it by the same bytes.
 
-Keys are 13 bytes: 0 for a null identifier or 1, the identifier (big-endian, sign bit flipped), a number that tells
-repeated identifiers apart. Values are little-endian unsigned 32-bit ids.
-
-Defined results: null or empty text is stored with its end id alone; null identifiers come first; repeated identifiers
-are kept, ordered by their text; an empty table gives no shards and an empty manifest; other columns are ignored.
+Keys are 21 bytes: 0 for a null identifier or 1, the identifier (big-endian, sign bit flipped), the hash of the text in
+the same form, a number that tells equal rows apart. Ranges are cut by identifier and hash, so that rows that share an
+identifier, or have none, spread over tasks and shards. Values are little-endian unsigned 32-bit ids.
+
+Defined results: null or empty text is stored with its end id alone; null identifiers come first; rows that share an
+identifier are all kept, ordered by their texts' hashes, and equal rows as often as they come (equal rows are the only
+ones that always meet in one task, which writes them block by block); a very long text is one value, encoded whole, and
+a block holds at least one; an empty table gives no shards and an empty manifest; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import bisect
 import os
-import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dawnline.llm.shared import held, ready, shared_path
+from dawnline.llm.shared import Memo, held, ready, shared_path
 
 # tasks are Spark's parallelism; the library's own threads would compete with them
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -39,20 +42,36 @@ from tokenizers import Tokenizer  # noqa: E402
 
 MAGIC = b"dawnsst1"
 FOOTER = struct.Struct("<QQQQQQ8s")  # index at, its bytes, filter at, its bytes, documents, ids, magic
-KEY = struct.Struct(">BQI")
+KEY = struct.Struct(">BQQI")
+PREFIX = struct.Struct(">BQ")
 BLOCK_BYTES, SHARD_BYTES, FILTER_BITS, FILTER_PROBES = 64 << 10, 64 << 20, 10, 7
 MANIFEST = "path string, first_key binary, docs long, ids long, bytes long"
 _SIGN = 1 << 63
-_LETTERS_AND_SIGNS = re.compile(r"([^\W\d_]+)([.,;:!?()\[\]#$%&*]*)").fullmatch
+_SIGNS = ".,;:!?()[]#$%&*"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies: itself if it is visible, else the next from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
 
+_BYTE_LETTERS = _byte_letters()
 
-def pack_key(doc_id: int | None, number: int = 0) -> bytes:
-    return KEY.pack(0, 0, number) if doc_id is None else KEY.pack(1, doc_id + _SIGN, number)
 
+def prefix(doc_id: int | None) -> bytes:
+    """What all keys of an identifier begin with; the Bloom filter holds these."""
+    return PREFIX.pack(0, 0) if doc_id is None else PREFIX.pack(1, doc_id + _SIGN)
 
-def unpack_key(key: bytes) -> tuple[int | None, int]:
-    known, doc_id, number = KEY.unpack(key)
-    return (doc_id - _SIGN if known else None), number
+
+def pack_key(doc_id: int | None, text_hash: int, number: int) -> bytes:
+    return prefix(doc_id) + struct.pack(">QI", text_hash + _SIGN, number)
+
+
+def unpack_id(key: bytes) -> int | None:
+    known, doc_id = PREFIX.unpack_from(key)
+    return doc_id - _SIGN if known else None
 
 
 def _varint(n: int) -> bytes:
@@ -81,7 +100,8 @@ class ShardWriter:
         self.files, self.final = _open(path)
         self.draft = f"{self.final}.draft-{attempt}"
         self.out = self.files.open_output_stream(self.draft)
-        self.block, self.index, self.keys, self.last, self.at, self.ids = bytearray(), [], [], b"", 0, 0
+        self.block, self.index, self.known, self.last, self.at = bytearray(), [], [], b"", 0
+        self.first, self.docs, self.ids = b"", 0, 0
 
     def add(self, key: bytes, value: bytes) -> None:
         same = 0
@@ -89,8 +109,13 @@ class ShardWriter:
             while same < len(key) and key[same] == self.last[same]:
                 same += 1
         self.block += _varint(same) + _varint(len(key) - same) + _varint(len(value)) + key[same:] + value
+        if not self.docs:
+            self.first = key
+        start = key[: PREFIX.size]
+        if not self.known or self.known[-1] != start:
+            self.known.append(start)
         self.last = key
-        self.keys.append(key)
+        self.docs += 1
         self.ids += len(value) // 4
         if len(self.block) >= BLOCK_BYTES:
             self._flush()
@@ -106,16 +131,16 @@ class ShardWriter:
     def close(self) -> tuple:
         self._flush()
         index = b"".join(struct.pack("<B", len(k)) + k + struct.pack("<QQ", at, n) for k, at, n in self.index)
-        bits = max(64, FILTER_BITS * len(self.keys))
+        bits = max(64, FILTER_BITS * len(self.known))
         bloom = bytearray((bits + 7) // 8)
-        for key in self.keys:
+        for key in self.known:
             for p in _probes(key, len(bloom) * 8):
                 bloom[p >> 3] |= 1 << (p & 7)
-        foot = FOOTER.pack(self.at, len(index), self.at + len(index), len(bloom), len(self.keys), self.ids, MAGIC)
+        foot = FOOTER.pack(self.at, len(index), self.at + len(index), len(bloom), self.docs, self.ids, MAGIC)
         self.out.write(index + bytes(bloom) + foot)
         self.out.close()
         self.files.move(self.draft, self.final)
-        return self.path, self.keys[0], len(self.keys), self.ids, self.at + len(index) + len(bloom) + len(foot)
+        return self.path, self.first, self.docs, self.ids, self.at + len(index) + len(bloom) + len(foot)
 
 
 class ShardReader:
@@ -164,14 +189,18 @@ class ShardReader:
         for _, at, n in self.index:
             yield from self._block(at, n)
 
-    def lookup(self, doc_id: int | None, number: int = 0) -> np.ndarray | None:
-        key = pack_key(doc_id, number)
+    def lookup(self, doc_id: int | None) -> list[np.ndarray]:
+        """The ids of every document of this identifier in the shard."""
+        key, found = prefix(doc_id), []
         if not all(self.bloom[p >> 3] >> (p & 7) & 1 for p in _probes(key, len(self.bloom) * 8)):
-            return None
-        i = bisect.bisect_left(self.lasts, key)
-        if i == len(self.index):
-            return None
-        return next((np.frombuffer(v, dtype="<u4") for k, v in self._block(*self.index[i][1:]) if k == key), None)
+            return found
+        for _, at, n in self.index[bisect.bisect_left(self.lasts, key) :]:
+            for k, v in self._block(at, n):
+                if k.startswith(key):
+                    found.append(np.frombuffer(v, dtype="<u4"))
+                elif k > key:
+                    return found
+        return found
 
     def close(self) -> None:
         self.file.close()
@@ -182,41 +211,33 @@ class WordEncoder:
 
     Exact where the tokenizer drops white space, splits at it and between letters and signs, and lower-cases, as its
     normalizer and pre-tokenizer here do. A word of letters with signs after it is looked up by its letters, lower-cased
-    (but for sigma, whose lower case depends on its place); everything else as it stands. What is new in a text goes to
-    the library in one call, and the offsets tell the words' ids apart.
+    (but for sigma, whose lower case depends on its place), and a run of Latin letters goes to the library's merges
+    without another split; everything else is given to the library as it stands.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {}
-        self.limit = limit
-
-    def _learn(self, words: list[str]) -> None:
-        split = []
-        for word in words:
-            m = _LETTERS_AND_SIGNS(word)
-            plain = m and m[1].isalpha() and m[1].lower().isalpha() and "\u03a3" not in word
-            split.append((word, m[1].lower(), m[2]) if plain else (word, word, ""))
-        if new := list({p for _, *ps in split for p in ps if p and p not in self.parts}):
-            found = self.library.encode(" ".join(new), add_special_tokens=False)
-            starts = np.array([at for at, _ in found.offsets], dtype=np.int64)
-            cuts = np.searchsorted(starts, np.cumsum([len(p) + 1 for p in new])) * 4
-            raw, before = np.array(found.ids, dtype="<u4").tobytes(), 0
-            for part, cut in zip(new, cuts.tolist(), strict=True):
-                self.parts[part] = raw[before:cut]
-                before = cut
-        for word, letters, signs in split:
-            self.words[word] = self.parts[letters] + (self.parts[signs] if signs else b"")
+        self.merges = self.library.model
+        self.parts = Memo(self._part, 96 << 20)
+        self.words = Memo(self._word, 128 << 20)
+
+    def _part(self, part: str) -> bytes:
+        if part.isalpha() and max(part) < "\u0250" and part == part.lower():  # one run of Latin letters, which no normalization changes
+            ids = [token.id for token in self.merges.tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_LETTERS))]
+        else:
+            ids = self.library.encode(part, add_special_tokens=False).ids
+        return array("I", ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        low = word.lower()
+        letters = low.rstrip(_SIGNS)
+        if letters.isalpha() and "\u03a3" not in word:
+            signs = low[len(letters) :]
+            return self.parts[letters] + self.parts[signs] if signs else self.parts[letters]
+        return self.parts[word] if word else b""
 
     def encode(self, text: str) -> bytes:
-        parts = text.replace("\n", " ").split(" ")
-        if new := [w for w in set(parts) if w not in self.words]:
-            if len(self.words) + len(self.parts) + len(new) > self.limit:
-                self.words, self.parts = {"": b""}, {}
-                new = [w for w in set(parts) if w]
-            self._learn(new)
-        return b"".join(map(self.words.__getitem__, parts))
+        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 def encoder(path: str) -> WordEncoder:
@@ -234,22 +255,23 @@ def write_shards(df: DataFrame, tokenizer_path: str, end_id: int, root: str | No
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, task = encoder(tokenizer_path).encode, TaskContext.get()
         end = struct.pack("<I", end_id)
-        shard, rows, n, before, number = None, [], 0, object(), 0
+        shard, rows, n, before, number = None, [], 0, None, 0
 
         def done():
             rows.append(shard.close())
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                number = number + 1 if doc_id == before else 0
-                before = doc_id
+            keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            for key, text in zip(keys, batch.column(2), strict=True):
+                number = number + 1 if key == before else 0
+                before = key
                 if shard is not None and shard.at >= SHARD_BYTES:
                     done()
                     shard = None
                 if shard is None:
                     shard = ShardWriter(f"{root}/shard-{task.partitionId():06d}-{n:04d}.sst", task.taskAttemptId())
                     n += 1
-                shard.add(pack_key(doc_id, number), encode(text.as_py() or "") + end)
+                shard.add(pack_key(*key, number), encode(text.as_py() or "") + end)
         if shard is not None:
             done()
         names = ["path", "first_key", "docs", "ids", "bytes"]
@@ -257,14 +279,15 @@ def write_shards(df: DataFrame, tokenizer_path: str, end_id: int, root: str | No
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=t) for i, t in enumerate(types)], names=names)
 
     columns = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    columns = columns.select("id", F.xxhash64("text").alias("hash"), "text")
     # nulls sort first in Spark as in the keys
-    ordered = columns.repartitionByRange("id").sortWithinPartitions("id", "text")
+    ordered = columns.repartitionByRange("id", "hash").sortWithinPartitions("id", "hash", "text")
     ordered.mapInArrow(write, MANIFEST).write.parquet(f"{root}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{root}/manifest")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
-    """Every stored document: doc_id, number, start (ids of all documents before it) and its ids (unsigned 32-bit, as bytes)."""
+    """Every stored document: doc_id, start (ids of all documents before it) and its ids (unsigned 32-bit, as bytes)."""
     spark: SparkSession = manifest.sparkSession
     ready(spark)
     # one short row per shard: the running sum over them is small at any size of the corpus
@@ -274,15 +297,14 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows):
             columns = list(zip(*rows, strict=True))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "number", "start", "ids"])
+            types = [pa.int64(), pa.int64(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "start", "ids"])
 
         for batch in batches:
             for path, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 shard, rows, held = ShardReader(path), [], 0
                 for key, value in shard:
-                    doc_id, number = unpack_key(key)
-                    rows.append((doc_id, number, start, value))
+                    rows.append((unpack_id(key), start, value))
                     start += len(value) // 4
                     held += len(value)
                     if held > 4 << 20:
@@ -292,5 +314,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield out(rows)
 
-    spread = starts.repartition(F.col("path"))
-    return spread.mapInArrow(read, "doc_id long, number long, start long, ids binary")
+    # a given number of tasks, which are not merged again: up to 16 shards each once there are enough for all
+    shards = manifest.count()
+    tasks = max(1, min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards // 16)))
+    return starts.repartition(tasks).mapInArrow(read, "doc_id long, start long, ids binary")

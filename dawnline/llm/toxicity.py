@@ -64,7 +64,7 @@ class Reader:
 
     def __init__(self, lexicon: Lexicon):
         self.weights = dict(lexicon.weights)
-        self.known = Memo(self._look, 300_000)
+        self.known = Memo(self._look)
 
     def _weight(self, word: str) -> float:
         return max((self.weights.get(t, 0.0) for t in terms(word)), default=0.0)

@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from dawnline.llm import ann, bpe, chat, decontaminate, langid, neardup, tokencount, tokenstore, toxicity, urlfilter
+from dawnline.llm.shared import Memo
 from dawnline.llm.queries import BYTE_BPE, PIECE_BPE, URL_RULES, WORD_BPE
 
-ODD = ["", None, "   \n\n  x", "日本語 🙂", "a" * 3000, "it's  don't\tx", "<|endoftext|> <s> ▁▁ x", "é ß ﬁ İ ΣΑΣ", " lead", "trail ", "x" * 40 + " y" * 400, "no,signs;here (ok)!"]
+ODD = ["ŁÓDŹ Straße, ŉ ǅ façade! ÀÈ.", "", None, "   \n\n  x", "日本語 🙂", "a" * 3000, "it's  don't\tx", "<|endoftext|> <s> ▁▁ x", "é ß ﬁ İ ΣΑΣ", " lead", "trail ", "x" * 40 + " y" * 400, "no,signs;here (ok)!"]
 
 
 def texts(spark, values, start=0):
@@ -83,19 +84,44 @@ def test_token_store_round_trip(spark, monkeypatch):
     df = df.union(df.where("doc_id = 2")).union(texts(spark, ["no id"]).withColumn("doc_id", F.lit(None).cast("long")))
     manifest = tokenstore.write_shards(df, WORD_BPE, end_id=1)
     got = sorted(tokenstore.read_shards(manifest).collect(), key=lambda r: r["start"])
-    want = sorted(((r["doc_id"], r["text"] or "") for r in df.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
-    assert [r["doc_id"] for r in got] == [i for i, _ in want]
+    rows = df.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
+    want = sorted(((r["doc_id"], r["h"], r["text"] or "") for r in rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    assert [r["doc_id"] for r in got] == [i for i, _, _ in want]
     start = 0
-    for r, (_, text) in zip(got, want, strict=True):
+    for r, (_, _, text) in zip(got, want, strict=True):
         ids = [*library.encode(text, add_special_tokens=False).ids, 1]
         assert np.frombuffer(bytes(r["ids"]), dtype="<u4").tolist() == ids and r["start"] == start
         start += len(ids)
-    shard = tokenstore.ShardReader(manifest.orderBy("first_key").first()["path"])
-    key, value = list(shard)[1]
-    assert shard.lookup(*tokenstore.unpack_key(key)).tobytes() == value and shard.lookup(10**12) is None
+    shards = [tokenstore.ShardReader(r["path"]) for r in manifest.orderBy("first_key").collect()]
+    for i in (-5, 2, None):  # alone, twice, without identifier
+        found = [ids.tobytes() for shard in shards for ids in shard.lookup(i)]
+        assert found == [bytes(r["ids"]) for r in got if r["doc_id"] == i] and found
+    assert not any(shard.lookup(10**12) for shard in shards)
     assert tokenstore.read_shards(tokenstore.write_shards(df.limit(0), WORD_BPE, end_id=1)).count() == 0
 
 
+def test_store_spreads_one_identifier_and_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(tokenstore, "SHARD_BYTES", 2_000)
+    monkeypatch.setattr(tokenstore, "BLOCK_BYTES", 500)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    df = texts(spark, [f"text number {i} of one source" for i in range(3000)]).withColumn("doc_id", F.when(F.col("doc_id") % 3 > 0, F.lit(7)))
+    manifest = tokenstore.write_shards(df, WORD_BPE, end_id=1).collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    tasks = {r["path"].split("shard-")[1][:6] for r in manifest}
+    assert len(manifest) > 8 and len(tasks) == 4 and sum(r["docs"] for r in manifest) == 3000
+    read = tokenstore.read_shards(spark.createDataFrame(manifest, tokenstore.MANIFEST))
+    assert read.rdd.getNumPartitions() > 1 and read.where("doc_id = 7").count() == 2000
+    starts = sorted((r["start"], r["n"]) for r in read.select("start", (F.octet_length("ids") / 4).cast("long").alias("n")).collect())
+    assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:], strict=False))
+
+
+def test_memo_is_bounded_by_bytes():
+    memo = Memo(lambda k: k * 2, limit=10_000)
+    for i in range(1000):
+        assert memo[f"{i}"] == f"{i}" * 2 and memo.size <= 10_000
+    assert memo["x" * 5000] == "x" * 10_000 and "x" * 5000 not in memo
+
+
 def test_language(spark):
     en, de = "the house and the garden are with this man", "das haus und der garten sind bei diesem mann"
     rows = [(i, t, lang) for i, (t, lang) in enumerate([(en, "en"), (de, "de"), (None, "en"), ("x", None)] * 3)]
