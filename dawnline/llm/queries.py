@@ -55,7 +55,7 @@ URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = urlfilter.with_parts(table(spark, sf_dir, "pages").select("page_id", "url"))
-    model = urlfilter.fit(urlfilter.with_rule(pages, URL_RULES), "rule_verdict")
+    model = urlfilter.fit(urlfilter.labelled_urls(pages, URL_RULES))
     return urlfilter.judged(pages, URL_RULES, model).select("page_id", "host", "path", "rule", "verdict", "score")
 
 

@@ -8,10 +8,11 @@ from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 from dawnline.workspace import ready, shared_path, stored
 
-__all__ = ["Memo", "grouped", "held", "ready", "shared_path", "stored"]
+__all__ = ["Memo", "grouped", "held", "ready", "shared_path", "stored", "unused"]
 
 #: What a per-worker cache holds before it starts anew, and the largest entry that it keeps; results depend on neither.
 CACHE_BYTES, ENTRY_BYTES, SLOT_BYTES = 64 << 20, 2 << 10, 104
@@ -49,6 +50,18 @@ class Memo(dict):
         return value
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """These names, each with as many underscores before it as make it differ from all of df's columns."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        name = f"_{name}"
+        while name in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """The rows of each key of batches that are sorted by integer keys, one table a key."""
     left: pa.Table | None = None  # the last key's rows so far, which may go on in the next batch
