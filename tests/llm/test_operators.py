@@ -133,18 +133,50 @@ def test_language(spark):
     assert langid.with_language(texts(spark, ["a b"]), ()).first()["language"]["lang_pred"] == "und"
 
 
+def cross_parsed(text, sample):
+    """Phrases by the definition: from each place the longest part of the sample, or one character."""
+    at = phrases = 0
+    while at < len(text):
+        n = max((k for k in range(len(text) - at + 1) if text[at : at + k] in sample), default=0)
+        at += max(1, n)
+        phrases += 1
+    return phrases
+
+
 def test_longest_matches():
     rng = random.Random(5)
     sample = "".join(rng.choice("abc") for _ in range(60))
     automaton = langid.SuffixAutomaton(sample)
     for _ in range(200):
         text = "".join(rng.choice("abcd") for _ in range(rng.randrange(15)))
-        at = phrases = 0
-        while at < len(text):
-            n = max((k for k in range(len(text) - at + 1) if text[at : at + k] in sample), default=0)
-            at += max(1, n)
-            phrases += 1
-        assert automaton.phrases(text) == phrases
+        assert automaton.phrases(text) == cross_parsed(text, sample)
+
+
+def test_language_is_that_of_the_fewest_phrases(spark):
+    """Against the definition, on whole texts: phrases run on over words."""
+    rng = random.Random(15)
+    syllables = {"aa": "ba be bi la".split(), "bb": "ba bo bu lo".split(), "cc": "ka ke bi lo".split()}
+    say = lambda lang, n: " ".join("".join(rng.choices(syllables[lang], k=rng.randrange(1, 4))) for _ in range(n))
+    rows = [(i, say(lang, 30), lang) for i, lang in enumerate(sorted(syllables) * 20)]
+    samples = langid.fit_samples(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_rows=8, piece_chars=50)
+    assert all(50 < len(sample) <= 8 * 55 for _, sample in samples)
+    values = [say(rng.choice(sorted(syllables)), rng.randrange(1, 25)).replace(" ", rng.choice([" ", ", ", "! 1 ", "\n"])) for _ in range(150)] + ["Ba-BE 12", "ça"]
+    for r in langid.with_language(texts(spark, values), samples).collect():
+        parsed = langid.letters(values[r["doc_id"]])
+        counts = {lang: cross_parsed(parsed, sample) for lang, sample in samples}
+        best = min(counts, key=lambda lang: (counts[lang], lang))
+        assert r["language"]["lang_pred"] == best and abs(r["language"]["phrases_per_char"] - counts[best] / len(parsed)) < 1e-12
+    held_out = [(lang, say(lang, 20)) for lang in sorted(syllables) * 20]
+    got = langid.with_language(texts(spark, [t for _, t in held_out]), samples).orderBy("doc_id").collect()
+    assert sum(r["language"]["lang_pred"] == lang for r, (lang, _) in zip(got, held_out, strict=True)) >= 58
+
+
+def test_language_fits_within_its_bounds(spark):
+    """Rows that share a key, long texts and an empty table."""
+    rows = spark.range(500).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.repeat(F.lit("word "), 1000), F.col("id")).alias("text"), F.lit("en").alias("lang"))
+    ((lang, sample),) = langid.fit_samples(rows)
+    assert lang == "en" and len(sample) <= langid.PIECE_CHARS + 1
+    assert langid.fit_samples(rows.limit(0)) == () and langid.with_language(rows.limit(0), ()).count() == 0
 
 
 def test_toxicity(spark):
@@ -216,35 +248,129 @@ def test_decontamination(spark):
     flat = [" ".join(decontaminate.words(t)) for t in values]
     want = {d: {i for i, t in items if t and " ".join(decontaminate.words(t)) in x} for d, x in enumerate(flat)}
     assert got == want
+    # in several parts, and with equal items and equal texts under two ids
+    more = bench.union(bench.where("item_id = 5")).union(bench.where("item_id = 6").withColumn("item_id", F.lit(106).cast("long")))
+    parts = decontaminate.build_index(more, part_items=8)
+    out = decontaminate.with_items(texts(spark, values), parts)
+    assert parts.count == 6 and out.columns == ["doc_id", "text", "prediction", "score", "items"]
+    found = {r["doc_id"]: [x["item_id"] for x in r["items"]] for r in out.collect()}
+    assert found == {d: sorted(x | ({106} if 6 in x else set())) for d, x in want.items()}
     assert decontaminate.with_items(texts(spark, values[:2]), decontaminate.build_index(bench.limit(0))).first()["items"] == []
-    with pytest.raises(ValueError):
-        decontaminate.build_index(bench, max_items=3)
+    assert decontaminate.with_items(texts(spark, values[:2]).limit(0), index).count() == 0
+
+
+def overlaps(text, item):
+    """Shares of the question's and of the answer's word trigrams that stand in a text; by the definition."""
+    found = decontaminate.words(text)
+    parts = [decontaminate.words(x) for x in item.strip().split(". ")]
+    out = []
+    for part in ([w for x in parts[:-1] for w in x], parts[-1]):
+        grams = {tuple(part[i : i + 3]) for i in range(len(part) - 2)}
+        out.append(len(grams & {tuple(found[i : i + 3]) for i in range(len(found) - 2)}) / len(grams))
+    return out
 
 
-def test_block_max_wand_finds_all():
+def test_gate_lets_through_what_the_overlap_confirms():
+    """Items with a few changed words, the rarest ones too: all that pass the overlap test are found, and no others."""
+    rng = random.Random(18)
+    common, rare = ["the", "of", "in", "to"], [f"w{i}" for i in range(900)]
+    say = lambda n: [rng.choice(common if rng.random() < 0.4 else rare) for _ in range(n)]
+    items = [f"{' '.join(say(rng.randrange(9, 30)))}. {' '.join(say(rng.randrange(6, 20)))}." for _ in range(60)]
+    index = decontaminate.Index(list(enumerate(items)))
+    passed = 0
+    for trial in range(400):
+        i = trial % 60
+        words = items[i].split(" ")
+        for at in rng.sample(range(len(words)), rng.randrange(0, 6)):
+            words[at] = "changed" + "." * words[at].endswith(".")
+        text = " ".join([*say(150), *words, *say(80)])
+        question, answer = overlaps(text, items[i])
+        near = question >= decontaminate.QUESTION and answer >= decontaminate.ANSWER
+        passed += near
+        assert (i in {x for x, *_ in index.contained(text)}) == near
+    assert 100 < passed < 390
+
+
+def test_items_of_many_lengths():
+    rng = random.Random(19)
+    items = [(i, " ".join(f"v{rng.randrange(3000)}" for _ in range(n))) for i, n in enumerate([3, 20, 64, 65, 200, 700, 2000])]
+    index = decontaminate.Index(items)
+    assert len(index.lists) == 5
+    text = " ".join(["zz"] * 500 + items[2][1].split() + ["zz"] * 77 + items[6][1].split() + items[0][1].split())
+    assert [i for i, *_ in index.contained(text)] == [0, 2, 6]
+
+
+def test_block_max_wand_finds_all_and_skips(monkeypatch):
     rng = random.Random(9)
-    items = [(i, " ".join(rng.choices([f"w{j}" for j in range(30)], k=8))) for i in range(200)]
+    items = [(i, " ".join(rng.choices([f"w{j}" for j in range(30 * (i % 4), 30 * (i % 4) + 30)] + ["the"], k=8))) for i in range(1200)]
+    searched = {}
+    for block in (10_000, 16, 4):
+        monkeypatch.setattr(decontaminate, "BLOCK", block)
+        (lists,) = decontaminate.Index(items, share=0.7).lists
+        some, ranges = random.Random(1), 0
+        for _ in range(50):
+            terms = some.sample(range(len(lists.first) - 1), 20)
+            want = {i: sum(x for t, x in item.terms.items() if t in terms) for i, item in enumerate(lists.items)}
+            want = {i: s for i, s in want.items() if s >= 1 - 1e-9}
+            live = lists.live(np.array(terms[: 4 * lists.longest]))[1].tolist()
+            got = dict(x for r in live for x in lists.search(set(terms), r))
+            ranges += len(live) * min(block, len(items))
+            assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in got)
+        searched[block] = ranges
+    assert searched[4] < searched[16] < searched[10_000]  # the maxima of blocks pass over more than those of whole lists
+
+
+def test_passages_hold_every_run_of_the_longest_item():
+    rng = random.Random(17)
+    items = [(i, " ".join(f"x{i}y{j}" for j in range(n))) for i, n in enumerate([10, 7, 5])]
     index = decontaminate.Index(items)
-    for _ in range(50):
-        terms = set(rng.sample(range(len(index.vocabulary)), 12))
-        want = {i: sum(x for t, x in item.terms.items() if t in terms) for i, item in enumerate(index.items)}
-        want = {i: s for i, s in want.items() if s >= 1 - 1e-9}
-        got = dict(index.search(terms))
-        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in got)
+    for at in range(130):
+        words = ["zz"] * 130
+        item = rng.randrange(3)
+        words[at:at] = items[item][1].split()
+        assert [i for i, *_ in index.contained(" ".join(words))] == [item]
 
 
 def test_url_rules_and_model(spark):
     rows = ["http://A.Example.org/es/1", "http://example.org/en/1", "http://x.com/de/5", "http://x.com/fr/5", "http://fr.com/zz", "no url", None, "http://a.org", "http://b.net/de/7?q#f", "http://org/x"]
     rng = random.Random(13)
     rows = rows + [f"http://h{rng.randrange(999)}.com/{rng.choice(('de', 'fr'))}/{rng.randrange(999)}" for _ in range(200)]
-    df = urlfilter.with_parts(spark.createDataFrame([(i, u, "x") for i, u in enumerate(rows)], "page_id long, url string, features string").drop("features"))
-    out = {r["page_id"]: r for r in urlfilter.judged(df, URL_RULES, urlfilter.fit(urlfilter.with_rule(df, URL_RULES), "rule_verdict")).collect()}
+    clashing = ["features", "label", "verdict", "rawPrediction", "probability", "_probability", "prediction", "_grams"]
+    df = urlfilter.with_parts(spark.createDataFrame([(i, u, *clashing) for i, u in enumerate(rows)], ["page_id", "url", *clashing]))
+    labelled = urlfilter.labelled_urls(df, URL_RULES)
+    model = urlfilter.fit(labelled)
+    judged = urlfilter.judged(df, URL_RULES, model)
+    out = {r["page_id"]: r for r in judged.collect()}
+    assert all(out[0][c] == c for c in clashing if c != "verdict") and sorted(judged.columns) == sorted(["page_id", "url", "host", "path", "rule", "score", *clashing])
     assert [(out[i]["host"], out[i]["path"], out[i]["rule"]) for i in range(10)] == [
         ("a.example.org", "/es/1", "example.org/es/"), ("example.org", "/en/1", "example.org/en/1"), ("x.com", "/de/5", "com/de/"), ("x.com", "/fr/5", "com/fr/"), ("fr.com", "/zz", None),
         ("", "", None), ("", "", None), ("a.org", "", None), ("b.net", "/de/7", None), ("org", "/x", "org/"),
     ]
     assert [out[i]["verdict"] for i in (0, 1, 2, 3, 9)] == ["block", "block", "block", "allow", "allow"] and out[8]["verdict"] == "block"
-    assert urlfilter.fit(urlfilter.with_rule(df.limit(0), URL_RULES), "rule_verdict") == "allow"
+    assert urlfilter.fit(urlfilter.labelled_urls(df.limit(0), URL_RULES)) == "allow" and urlfilter.judged(df.limit(0), URL_RULES, model).count() == 0
+    # the regression by hand: distinct n-grams of host and path, hashed, weighed, summed
+    hashing = urlfilter.hashing("grams", "features")
+    for i in (2, 4, 5, 8, 60):
+        grams = set()
+        for mark, part in (("h", out[i]["host"]), ("p", out[i]["path"])):
+            whole = f"^{part}$"
+            grams |= {f"{mark}{n}{whole[j : j + n]}" for n in urlfilter.SIZES for j in range(len(whole) - n + 1)}
+        z = model.intercept + sum(model.coefficients[j] for j in {hashing.indexOf(g) for g in grams})
+        assert abs(out[i]["score"] - 1 / (1 + np.exp(-z))) < 1e-9
+        assert out[i]["rule"] or out[i]["verdict"] == ("block" if out[i]["score"] >= 0.5 else "allow")
+    rates = urlfilter.held_out_rates(labelled)
+    assert rates["rows"] > 10 and rates["right"] > 0.9
+
+
+def test_any_number_of_url_rules(spark):
+    rules = [("block" if i % 2 else "allow", f"h{i}.com/{'x' * (i % 3)}") for i in range(2_000)] + [("block", "h7.com/y"), ("allow", "h7.com/y")]
+    urls = [(i, f"http://a.h{i}.com/xy") for i in range(0, 3000, 7)] + [(9000, "http://h7.com/yes"), (9001, "http://xh7.com/y")]
+    df = urlfilter.with_parts(spark.createDataFrame(urls, "page_id long, url string"))
+    got = {r["page_id"]: (r["rule"], r["rule_verdict"]) for r in urlfilter.with_rule(df, rules).collect()}
+    for i, _ in urls[:-2]:
+        fits = i < 2000 and i % 3 < 2
+        assert got[i] == ((f"h{i}.com/{'x' * (i % 3)}", "block" if i % 2 else "allow") if fits else (None, None))
+    assert got[9000] == ("h7.com/y", "block") and got[9001] == (None, None)
 
 
 def brute_nearest(vectors, ids, queries, k):
@@ -275,6 +401,18 @@ def test_nearest(spark, monkeypatch):
     assert ann.nearest(df.where("vec_id >= 900"), 10, lambda c: c % 20 == 0).count() == 0
 
 
+def test_nearest_ties_go_to_the_smaller_id(spark):
+    """400 different vectors with one product, more than a query's k and dealt over lists; and many ids of one vector."""
+    rows = [(i, [1.0, float((i * 37) % 400), 1.0]) for i in range(1, 400)] + [(0, [1.0, 0.0, 0.0])] + [(1000 + i, [-1.0, 2.0, 5.0]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.nearest(df.repartition(7), 20, lambda c: c.isin(0, 1001)).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert got[0] == [(i, 1.0) for i in range(1, 21)]
+    x = np.array([v for _, v in rows])
+    assert [i for i, _ in got[1001]] == brute_nearest(x, [i for i, _ in rows], [1001], 20)[1001]
+
+
 def test_nearest_beyond_the_sample(spark, monkeypatch):
     """Most vectors are outside the sample, so the lists decide; and what they lead to is not a sample's own result."""
     monkeypatch.setattr(ann, "SAMPLE_ROWS", 600)
