@@ -111,6 +111,7 @@ SCOPE_WORDS = ["windows", "server 20", "intune", "configmgr", "configuration man
 #: Partial fixes, negated statements, the standard warning about the registry.
 PARTIAL_FIX = r"(?i)\bpartial(?:ly)?\b|\binitial (?:solution|fix)\b|\bresolved some\b"
 NEGATED = r"(?i)\b(?:does not|doesn't|do not|don't|is not|isn't|are not|aren't|will not|won't|not)\s+(?:\w+\s+){0,2}(?:affect|affected|impact|impacted|apply|applies|occur)\b|etkilemez|etkilenmez"
+NEGATED_STEMS = ["affect", "impact", "appl", "occur", "etkilemez", "etkilenmez"]  # one of which every negated sentence holds
 REGISTRY_WARNING = r"(?is)Important:\s*This section[^.]*modifying the registry\..*?(?:how to back up and restore the registry[^.\n]*\.?|$)"
 
 #: Patterns of community and official pages, official blog boards, press domains.
@@ -140,3 +141,54 @@ RISKS = ["low", "medium", "high", "critical"]
 EVIDENCES = ["field", "ms_official", "ms_known_issue"]
 RESOLVED = ["resolved", "resolved_external"]
 MONTHS_EN = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
+MITIGATED = ["mitigated", "mitigated_external"]
+
+#: How much a tag counts for the risk of an issue, by the first group that it is in; any other tag, no tag;
+#: what a server product adds, what a resolved state and a mitigated one or a workaround take away; levels from a sum up.
+TAG_IMPACTS = [
+    (["security"], 3.5),
+    (["dc", "auth", "boot", "bitlocker"], 3.0),
+    (["rds", "vpn", "network", "hyperv", "avd"], 2.75),
+    (["update_install", "printing", "storage", "adcs", "gpo", "configmgr", "intune", "iis"], 2.0),
+]
+OTHER_TAG_IMPACT, NO_TAG_IMPACT, SERVER_IMPACT, RESOLVED_RELIEF, MITIGATED_RELIEF = 1.5, 1.25, 0.25, 1.5, 0.25
+RISK_FROM = [(3.25, "critical"), (2.5, "high"), (1.75, "medium")]
+
+#: The risk of other kinds of events by a field of theirs; all else is low.
+RELEASE_RISKS = {"oob": "high", "security": "medium", "hotpatch": "medium"}
+SUPPORT_RISKS = {"ended": "high", "<=7": "high", "<=30": "high", "<=90": "medium"}
+HOTFIX_RISKS = {"security": "high", "rollup": "medium", "hotfix": "medium"}
+
+#: The names under which a market payload may hold an item, the first one present wins; the last is its label, too.
+MARKET_NAMES = {
+    "USDTRY": ["USD", "usd", "ABD DOLARI"],
+    "EURTRY": ["EUR", "eur", "EURO"],
+    "GRAM24": ["gram-altin", "GRA", "gram_altin", "Gram Altın"],
+    "BILEZIK22": ["22-ayar-bilezik", "YIA", "22_ayar_bilezik", "22 Ayar Bilezik"],
+}
+RATE_ITEMS = {"USD": "USDTRY", "EUR": "EURTRY"}
+
+#: What weather codes mean, and what any other code is called.
+WEATHER = {
+    0: "Açık", 1: "Çoğunlukla açık", 2: "Parçalı bulutlu", 3: "Kapalı", 45: "Sisli", 48: "Kırağılı sis", 51: "Hafif çisenti", 53: "Çisenti", 55: "Yoğun çisenti", 56: "Donan çisenti",
+    57: "Yoğun donan çisenti", 61: "Hafif yağmur", 63: "Yağmur", 65: "Kuvvetli yağmur", 66: "Donan yağmur", 67: "Kuvvetli donan yağmur", 71: "Hafif kar", 73: "Kar", 75: "Yoğun kar", 77: "Kar taneleri",
+    80: "Hafif sağanak", 81: "Sağanak", 82: "Şiddetli sağanak", 85: "Kar sağanağı", 86: "Yoğun kar sağanağı", 95: "Gök gürültülü fırtına", 96: "Dolu ile fırtına", 99: "Şiddetli dolu ile fırtına",
+}
+WEATHER_UNKNOWN = "Bilinmiyor"
+
+#: How a text names the publication that it follows; the name comes after.
+ATTRIBUTION = r"(?i)(?:via|according to|reported by|kaynak:?)\s+\S*"
+
+#: Patterns of the lines and parts of pages. The groups of a release line: date, hotpatch, KB, builds, the rest.
+RELEASE_LINE = r"(?i)([A-Z][a-z]+\.? \d{1,2},? \d{4})\s*[—–-]+\s*(Hotpatch\s+)?KB\s?(\d{6,8})\s*(?:[^()—–]{0,80}?\s*)?\((OS Builds?[^)]*)\)\s*([^|]*)"
+CONTENTS_NAME = r"^\s*-\s*name:\s*(.+)$"
+CONTENTS_LINK = r"^\s*href:\s*\S+\.md\s*$"
+CONTENTS_VERSION = r"(?i)^Version\s+(\d{4})"
+WEEK = r"(?i)Week of ([A-Z][a-z]+ \d{1,2}, \d{4})(?:\s*\(Service release (\d{4})\))?"
+APPLIES_TO_VERSIONS = r"(?i)Applies to:?\s*versions?\s*([\d,\sand]+)"
+RESOLUTION = r"(?is)resolution:?(.*)"
+WORKAROUND = r"(?is)workaround:?\s*(.*?)(?=\n\s*(?:next steps|resolution):|$)"
+
+#: The fields whose change means something, and the two kinds of advice in generated texts.
+SEMANTIC_FIELDS = ["status", "originating_kbs", "resolving_kbs", "partial_fix_kbs", "products", "tags", "kir", "stage", "change_kind", "platforms", "release_type", "builds", "versions", "support_end", "hotfix_type", "admin_action"]
+FROM_SOURCE, INFERRED = "kaynak", "ai_cikarim"

@@ -1,49 +1,50 @@
 """Text normalisation, extraction and similarity as column expressions.
 
-All stay in the JVM but for one helper: compatibility decomposition (NFKD), which Spark lacks, and which sees only texts
-that still need it after the Latin letters were translated. Null text counts as empty, except where a result is said to be
-null.
+All stay in the JVM: what Spark lacks, compatibility decomposition (NFKD), is a translation by character, made here from
+the Unicode tables. Null text counts as empty, except where a result is said to be null.
 """
 
 from __future__ import annotations
 
-import re
+import json
+import sys
 import unicodedata
-from functools import lru_cache
+from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from dawnline.functions import fixed
 
-
-def _pairs() -> tuple[str, str]:
-    """Letters of the Latin blocks with a one-letter base, and their bases: what decomposition and dropping of marks gives."""
-    found = {}
-    for code in range(0xC0, 0x250):
-        base = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
-        if len(base) == 1 and base != chr(code):
-            found[chr(code)] = base.lower() if chr(code).islower() else base
-    return "".join(found), "".join(found.values())
-
-
-_LATIN, _BASES = _pairs()
-_TURKISH, _TURKISH_BASES = "ışğüöçâîû", "isguocaiu"
-#: Letters of the same blocks that decomposition leaves alone.
-_STABLE = "".join(chr(c) for c in range(0xA1, 0x250) if unicodedata.normalize("NFKD", chr(c)) == chr(c))
-
-
-@lru_cache(maxsize=1)
-def _decompose():
-    @F.arrow_udf("string")
-    def decompose(texts: pa.Array) -> pa.Array:
-        def fold_one(text):
-            return None if text is None else "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
-
-        return pa.array([fold_one(t.as_py()) for t in texts], pa.string())
-
-    return decompose
+_HANGUL = range(0xAC00, 0xD7A4)
+
+
+def _decompositions() -> tuple[str, str, list[dict[str, str]]]:
+    """What NFKD without combining marks makes of single characters: those of one base, their bases, then the marks, which
+    have none; and those of several, of which Hangul syllables are left out."""
+    one, marks, more = {"ı": "i"}, [], []
+    for code in range(0xA0, sys.maxunicode + 1):
+        char = chr(code)
+        if code in _HANGUL or 0xD800 <= code < 0xE000:
+            continue
+        if unicodedata.combining(char):
+            marks.append(char)
+        elif (plain := unicodedata.normalize("NFKD", char)) != char:
+            base = "".join(c for c in plain if not unicodedata.combining(c))
+            if len(base) == 1:
+                one[char] = base
+            else:
+                more.append({"c": char, "d": base})
+    return "".join(one) + "".join(marks), "".join(one.values()), more
+
+
+_FROM, _TO, _SEVERAL = _decompositions()
+_PARTED = "".join(p["c"] for p in _SEVERAL)
+_SYLLABLES = "".join(map(chr, _HANGUL))
+_JAMO = ["".join(chr(first + (i // below % count)) for i in range(len(_HANGUL))) for first, below, count in ((0x1100, 588, 19), (0x1161, 28, 21))]
+# the third part: syllables without one come last, where translate() finds no partner and drops them
+_CLOSED, _OPEN = [c for c in _SYLLABLES if (ord(c) - 0xAC00) % 28], [c for c in _SYLLABLES if not (ord(c) - 0xAC00) % 28]
+_FINALS = "".join(chr(0x11A7 + (ord(c) - 0xAC00) % 28) for c in _CLOSED)
 
 
 def _text(c: Column | str) -> Column:
@@ -55,13 +56,24 @@ def tr_lower(c: Column | str) -> Column:
     return F.lower(F.translate(_text(c), "Iİ", "ıi"))
 
 
-def fold(c: Column | str, exotic: bool = True) -> Column:
-    """Turkish-aware lower case without accents. exotic=False leaves out what only the helper can decompose."""
-    simple = F.translate(F.translate(tr_lower(c), _TURKISH, _TURKISH_BASES), _LATIN, _BASES)
-    if not exotic:
-        return simple
-    rest = F.translate(simple, _STABLE, "").rlike(r"[^\x00-\x7f]")
-    return F.coalesce(_decompose()(F.when(rest, simple)), simple)
+def _several(c: Column) -> Column:
+    """Ligatures, fractions, squared words and the like, and Hangul syllables, as their parts; only for texts that hold any."""
+    pairs = F.from_json(F.lit(json.dumps(_SEVERAL)), "array<struct<c: string, d: string>>")
+    ligatures = F.aggregate(F.filter(pairs, lambda p: F.contains(c, p["c"])), c, lambda text, p: F.replace(text, p["c"], p["d"]))
+    # a class of so many characters is slow in a pattern; translate() looks each character up once
+    parted = F.when(F.length(F.translate(c, _PARTED, "")) < F.length(c), ligatures).otherwise(c)
+
+    def jamo(char: Column) -> Column:
+        parts = [F.translate(char, _SYLLABLES, by) for by in _JAMO] + [F.translate(char, "".join(_CLOSED + _OPEN), _FINALS)]
+        return F.when(char.between(_SYLLABLES[0], _SYLLABLES[-1]), F.concat(*parts)).otherwise(char)
+
+    return F.when(parted.rlike("[\uac00-\ud7a3]"), F.array_join(F.transform(F.split(parted, ""), jamo), "")).otherwise(parted)
+
+
+def fold(c: Column | str) -> Column:
+    """Lower case without accents: Turkish I, ı and İ are i, compatibility characters their plain parts, marks are gone."""
+    low = F.lower(_text(c))
+    return F.when(low.rlike(r"[^\x00-\x7f]"), _several(F.translate(low, _FROM, _TO))).otherwise(low)
 
 
 def norm_space(c: Column | str) -> Column:
@@ -76,19 +88,15 @@ def norm_block(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(text, r"\n{3,}", "\n\n"))
 
 
-def _token_pattern(noise: list[str]) -> str:
-    words = "|".join(sorted(set(fixed.STOPWORDS) | set(noise), key=lambda w: (-len(w), w)))
-    return rf"(?<![a-z0-9])(?!(?:{words})(?![a-z0-9]))(?:[0-9]{{3,}}(?![a-z0-9])|(?=[0-9]*[a-z])[a-z0-9]{{2,}})"
-
-
 def tokens(c: Column | str, stem: int = 5, noise: list[str] | None = None, folded: bool = False) -> Column:
     """Words of the folded text without stop words and noise, numbers of 3 digits up, words of 2 letters up, cut to stem."""
     text = c if folded else fold(c)
-    found = F.regexp_extract_all(text, F.lit(_token_pattern(noise or [])), F.lit(0))
+    dropped = sorted({*fixed.STOPWORDS, *(noise or [])})
+    words = F.regexp_extract_all(text, F.lit("[a-z0-9]{2,}"), F.lit(0))
+    words = F.filter(words, lambda w: ~w.isin(dropped) & ((F.length(w) > 2) | w.rlike("[a-z]")))
     if not stem:
-        return found
-    digits = r"^[0-9]+$"
-    return F.transform(found, lambda w: F.when(w.rlike(digits), w).otherwise(F.substring(w, 1, stem)))
+        return words
+    return F.transform(words, lambda w: F.when((F.length(w) > stem) & w.rlike("[a-z]"), F.substring(w, 1, stem)).otherwise(w))
 
 
 def token_set(c: Column | str, noise: list[str] | None = None) -> Column:
@@ -133,7 +141,7 @@ def key_tokens(title: Column | str) -> Column:
     text = _text(title)
     numbers = F.transform(F.regexp_extract_all(text, F.lit(r"\d+(?:[.,]\d+)?"), F.lit(0)), lambda n: F.replace(n, F.lit(","), F.lit(".")))
     names = F.regexp_extract_all(text, F.lit(r"[A-ZÇĞİÖŞÜ][\w\u00c0-\u024f]*"), F.lit(0))
-    first = F.transform(names, lambda w: F.element_at(F.concat(tokens(fold(w, exotic=False), folded=True), F.array(F.lit(""))), 1))
+    first = F.transform(names, lambda w: F.element_at(F.concat(tokens(w), F.array(F.lit(""))), 1))
     return F.array_distinct(F.concat(numbers, F.filter(first, lambda t: t != "")))
 
 
@@ -191,22 +199,31 @@ def padded(c: Column | str) -> Column:
     return F.concat(F.lit(" "), F.regexp_replace(fold(c), r"\s+", " "), F.lit(" "))
 
 
-def tag_pattern(keys: list[str]) -> str:
-    """Keys of up to 4 characters as words of their own, longer ones anywhere."""
-    short = [re.escape(k.strip()) for k in keys if len(k.strip()) <= 4]
-    long = [re.escape(k) for k in keys if len(k.strip()) > 4]
-    return "|".join([*(f"(?<![a-z0-9])(?:{'|'.join(short)})(?![a-z0-9])" for _ in short[:1]), *long]).replace(r"\ ", " ").replace(r"\-", "-")
-
-
 def _once(c: Column, use) -> Column:
     """use(c) with c computed once, however often use names it."""
     return F.element_at(F.transform(F.array(c), use), 1)
 
 
+def _any_of(c: Column, words: list[str]) -> Column:
+    """Whether the text holds one of these strings."""
+    return reduce(Column.__or__, [F.contains(c, F.lit(w)) for w in words])
+
+
+def has_key(text: Column, spaced: Column, keys: list[str]) -> Column:
+    """Keys of up to 4 characters as words of their own, longer ones anywhere. spaced is the text with its words between single spaces."""
+    short = [k.strip() for k in keys if len(k.strip()) <= 4]
+    found = [F.contains(spaced, F.lit(f" {k} ")) for k in short] + [F.contains(text, F.lit(k)) for k in keys if k.strip() not in short]
+    return reduce(Column.__or__, found)
+
+
 def symptom_tags(c: Column | str) -> Column:
-    tags = fixed.SYMPTOM_TAGS.items()
-    found = _once(padded(without_negations(c)), lambda t: F.array(*(F.when(t.rlike(tag_pattern(keys)), F.lit(tag)) for tag, keys in tags)))
-    return F.array_compact(found)
+    """Tags, in their order, of which the text holds a key outside of negated sentences."""
+    text = _text(c)
+    # a sentence without one of these can't be a negated one
+    told = F.when(_any_of(F.lower(text), fixed.NEGATED_STEMS), without_negations(text)).otherwise(text)
+    both = F.transform(F.array(padded(told)), lambda t: F.struct(t.alias("t"), F.regexp_replace(t, "[^a-z0-9]+", " ").alias("w")))
+    tags = F.transform(both, lambda x: F.array(*(F.when(has_key(x["t"], x["w"], keys), F.lit(tag)) for tag, keys in fixed.SYMPTOM_TAGS.items())))
+    return F.array_compact(F.element_at(tags, 1))
 
 
 def _lits(values: list[str]) -> Column:
@@ -234,11 +251,11 @@ def tags_compatible(a: Column, b: Column) -> Column:
 
 
 def looks_like_issue(c: Column | str) -> Column:
-    return padded(c).rlike("|".join(map(re.escape, fixed.ISSUE_WORDS)).replace(r"\ ", " "))
+    return _once(padded(c), lambda t: _any_of(t, fixed.ISSUE_WORDS))
 
 
 def in_scope(c: Column | str) -> Column:
-    return padded(c).rlike("|".join(map(re.escape, fixed.SCOPE_WORDS)).replace(r"\ ", " "))
+    return _once(padded(c), lambda t: _any_of(t, fixed.SCOPE_WORDS))
 
 
 def truncate(c: Column | str, n: int) -> Column:
@@ -283,11 +300,13 @@ def locale_number(c: Column | str) -> Column:
 
 
 def quoted(quote: Column, evidence: Column) -> Column:
-    """Whether a quote stands in a text: as a folded string of 8 characters up, or by 90 % of at least 3 tokens."""
-    q, e = norm_space(fold(quote)), norm_space(fold(evidence))
-    words = F.array_distinct(tokens(q, folded=True))
-    share = F.size(F.array_intersect(words, tokens(e, folded=True))) / F.size(words)
-    return ((F.length(q) >= 8) & (F.instr(e, q) > 0)) | F.coalesce((F.size(words) >= 3) & (share >= 0.9), F.lit(False))
+    """Whether a quote of 8 characters up stands in a text: as a folded string, or by 90 % of its words, if it has 3."""
+    marks = " .\"'“”"
+    q, e = F.regexp_replace(norm_space(fold(quote)), f"^[{marks}]+|[{marks}]+$", ""), norm_space(fold(evidence))
+    words = F.regexp_extract_all(q, F.lit("[a-z0-9]+"), F.lit(0))
+    known = F.array_distinct(F.regexp_extract_all(e, F.lit("[a-z0-9]+"), F.lit(0)))
+    found = F.size(F.filter(words, lambda w: F.array_contains(known, w)))
+    return (F.length(q) >= 8) & ((F.instr(e, q) > 0) | ((F.size(words) >= 3) & (found >= 0.9 * F.size(words))))
 
 
 def content_hash(*columns: Column | str) -> Column:
@@ -295,13 +314,12 @@ def content_hash(*columns: Column | str) -> Column:
     return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
 
 
-def stage(c: Column | str) -> Column:
-    """Release stage of a feature text: private or public preview, in development, deprecated, else available."""
-    t = F.lower(_text(c))
-    return (
-        F.when(t.rlike("private preview"), "private_preview")
-        .when(t.rlike("public preview"), "public_preview")
-        .when(t.rlike("in development"), "in_development")
-        .when(t.rlike("deprecat|end of support|retire"), "deprecation")
-        .otherwise("available")
-    )
+def semantic_hash(fields: dict[str, Column], workaround: Column) -> Column:
+    """sha256 of the fields that carry meaning (those of fixed.SEMANTIC_FIELDS that are given) and of whether there is a workaround."""
+    told = [fields[name].alias(name) for name in sorted(fields) if name in fixed.SEMANTIC_FIELDS]
+    return content_hash(F.struct(*told, (F.trim(_text(workaround)) != "").alias("_wa")))
+
+
+def state_hash(state: dict[str, Column]) -> Column:
+    """sha256 of a state without what is only told of it (meta)."""
+    return content_hash(F.struct(*(state[name].alias(name) for name in sorted(state) if name != "meta")))

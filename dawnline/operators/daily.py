@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dawnline.operators.ordered import with_previous
+
 
 def compared(quotes: DataFrame, keys: list[str], at: str, tie: str, price: str) -> DataFrame:
     """Each quote with the one before of its keys: difference (4 digits) and percent (2), null at equal times or from 0."""
-    w = Window.partitionBy(*keys).orderBy(at, tie)
-    rows = quotes.withColumns({"previous": F.lag(price).over(w), "_at": F.lag(at).over(w)})
-    usable = (F.col("_at") != F.col(at)) & (F.col("previous") != 0)
-    diff = F.when(usable, F.col(price) - F.col("previous"))
-    return rows.withColumns({"diff": F.round(diff, 4), "pct": F.round(diff / F.col("previous") * 100, 2)}).drop("_at")
+    rows = with_previous(quotes, keys, [F.col(at), F.col(tie)], [price, at], "_p_")
+    before, was = F.col(f"_p_{price}"), F.col(f"_p_{at}")
+    diff = F.when((was != F.col(at)) & (before != 0), F.col(price) - before)
+    return rows.withColumns({"previous": before, "diff": F.round(diff, 4), "pct": F.round(diff / before * 100, 2)}).drop(f"_p_{price}", f"_p_{at}")
 
 
 def previous_used(sets: DataFrame, used: DataFrame, key: str, order: str) -> DataFrame:

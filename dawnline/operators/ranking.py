@@ -37,9 +37,9 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column], previous: list
 
 
 def capped_sections(df: DataFrame, section: str, order: list[Column], caps: dict[str, int], default_cap: int, first: str, total: int) -> DataFrame:
-    """df with section_rank, position and kept: each section's cap, then the total over sections in the caps' order.
+    """df with section_rank, position and overflow: each section's cap, then the total over sections in the caps' order.
 
-    The first section is never cut by the total. Sections are cut before the total is counted, so that the one window over
+    overflow is how many rows of a section the caps have cut. The first section is never cut by the total. Sections are cut before the total is counted, so that the one window over
     all sections sees no more rows than the caps add up to.
     """
     names = list(caps)
@@ -50,7 +50,11 @@ def capped_sections(df: DataFrame, section: str, order: list[Column], caps: dict
     ranked = ranked.where(F.col("section_rank") <= max(*caps.values(), default_cap))
     within = ranked.where(F.col("section_rank") <= cap).withColumn("_place", place[F.col(section)])
     overall = within.withColumn("position", F.row_number().over(Window.orderBy("_place", "section_rank")))
-    return overall.where((F.col("position") <= total) | (F.col(section) == first)).drop("_place")
+    kept = overall.where((F.col("position") <= total) | (F.col(section) == first)).drop("_place")
+    # no more rows here than sections: what there was of each, less what is kept
+    sizes = df.where(F.col(section).isin(names)).groupBy(section).agg(F.count("*").alias("_all"))
+    left = kept.groupBy(section).agg(F.count("*").alias("_kept")).join(sizes, section).select(section, (F.col("_all") - F.col("_kept")).alias("overflow"))
+    return kept.join(F.broadcast(left), section)
 
 
 def within_budget(df: DataFrame, order: list[Column], cost: str, budget: float, calls: int, batch: int, part: str | None = None) -> DataFrame:
@@ -62,7 +66,9 @@ def within_budget(df: DataFrame, order: list[Column], cost: str, budget: float,
     keys = [part] if part else []
     w = Window.partitionBy(*keys).orderBy(*order)
     spent = F.coalesce(F.sum(cost).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = df.withColumns({"spent_before": spent, "_n": F.row_number().over(w)}).where((F.col("spent_before") < budget) & (F.col("_n") <= calls))
+    # calls first: each partition keeps no more rows of a part than may be called, and the sums run over these alone
+    few = df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= calls)
+    out = few.withColumn("spent_before", spent).where(F.col("spent_before") < budget)
     return out.withColumn("batch", F.floor((F.col("_n") - 1) / batch).cast("int")).drop("_n")
 
 
@@ -96,3 +102,16 @@ def next_attempt(attempts: Column, at: Column, retry_after: Column) -> Column:
     minutes = F.element_at(F.array(*map(F.lit, (1, 5, 15, 60, 180))), F.least(attempts, F.lit(5)))
     seconds = F.coalesce(retry_after, minutes * 60)
     return F.when(attempts < 6, F.timestamp_seconds(F.unix_timestamp(at) + seconds))
+
+
+def after_attempt(sent: Column, attempts: Column, at: Column, retry_after: Column) -> Column:
+    """struct of state (sent, retry or failed) and next_at of a delivery after an attempt."""
+    again = next_attempt(attempts, at, retry_after)
+    state = F.when(sent, "sent").when(attempts < 6, "retry").otherwise("failed")
+    return F.struct(state.alias("state"), F.when(~sent, again).alias("next_at"))
+
+
+def work_verdict(status: Column, at: Column, tries: Column, now: Column, running: str = "running", failed: str = "failed", sending: str = "sending") -> Column:
+    """retry (failed for 10 minutes, at most 3 tries), stuck (running for 30 minutes), uncertain (sending for 30 minutes) or fine."""
+    age = F.unix_timestamp(now) - F.unix_timestamp(at)
+    return F.when((status == failed) & (tries <= 3) & (age > 600), "retry").when((status == running) & (age > 1800), "stuck").when((status == sending) & (age > 1800), "uncertain").otherwise("fine")

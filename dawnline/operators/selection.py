@@ -50,9 +50,34 @@ def composed(baseline: DataFrame, selected: DataFrame, key: str, order: list[Col
     return rows.withColumn("position", F.row_number().over(Window.orderBy(*order)) - 1)
 
 
-def alerts(candidates: DataFrame, threshold: Column, quiet: Column, exempt: Column) -> DataFrame:
-    """Rows over the threshold with deferred: in quiet hours and not exempt."""
-    return candidates.where(threshold).withColumn("deferred", F.coalesce(quiet & ~exempt, F.lit(False)))
+def of_partition(rows: DataFrame, demo: bool, column: str = "is_demo") -> DataFrame:
+    """The real rows, or those of the demonstration; the two never meet. A filter on the column by which tables are partitioned."""
+    return rows.where(F.coalesce(column, F.lit(False)) == F.lit(demo))
+
+
+def with_products_on(sources: DataFrame, own: list[str], products: str = "product_ids") -> DataFrame:
+    """sources with enabled: those that name products are on if one of them is chosen, the others as they were."""
+    named = F.size(F.coalesce(products, F.array().cast("array<string>"))) > 0
+    chosen = F.arrays_overlap(products, F.array(*map(F.lit, own))) if own else F.lit(False)
+    return sources.withColumn("enabled", F.when(named, F.coalesce(chosen, F.lit(False))).otherwise(F.col("enabled")))
+
+
+def module_on(module: Column, kind: Column, evidence: Column, modules: list[str]) -> Column:
+    """Whether an item's module is switched on; reports from the field need the community module, too."""
+    field = (kind == "issue") & (evidence == "field")
+    return module.isin(modules) & (~field | F.lit("community" in modules))
+
+
+def alerts(candidates: DataFrame, event: str, order: list[Column], threshold: Column, quiet: Column, exempt: Column, excluded: DataFrame | None = None) -> DataFrame:
+    """The newest candidate of each event, if it is over the threshold, with deferred: in quiet hours and not exempt.
+
+    excluded: events (by event) that have been alerted or muted.
+    """
+    newest = candidates.withColumn("_n", F.row_number().over(Window.partitionBy(event).orderBy(*order))).where("_n = 1").drop("_n")
+    over = newest.where(threshold)
+    if excluded is not None:
+        over = over.join(excluded.select(event), event, "left_anti")
+    return over.withColumn("deferred", F.coalesce(quiet & ~exempt, F.lit(False)))
 
 
 def retained(rows: DataFrame, at: str, since: Column, referenced: DataFrame, key: str) -> DataFrame:
@@ -67,8 +92,3 @@ def carried_forward(listed: DataFrame, known: DataFrame, key: str, detail: str,
     # the first few by a take-ordered plan, so that no window sees all missing rows
     few = rows.where("missing").orderBy(order).limit(first).select(key, F.lit(True).alias("queued"))
     return rows.join(F.broadcast(few), key, "left").withColumn("queued", F.coalesce("queued", F.lit(False)))
-
-
-def write_slot(rows: DataFrame, path: str, slot: str, done: DataFrame) -> None:
-    """Append rows whose slot is not done yet, partitioned by slot; running it twice writes nothing new."""
-    rows.join(done.select(slot).distinct(), slot, "left_anti").write.mode("append").partitionBy(slot).parquet(path)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dawnline.functions import text, urls
-from dawnline.operators import daily, ranking
+from dawnline.operators import daily, generated, ranking
 from dawnline.plans.tables import Registry, table
-from dawnline.plans.text_queries import SQL_TITLE, first_line
+from dawnline.plans.text_queries import SQL_TITLE, first_line, sql_fold
 from dawnline.sources import feeds, html, markdown
 from dawnline.streaming import jobs
 from dawnline.workspace import stored
@@ -47,7 +47,7 @@ def x5_links_of_own_site(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as Markdown: front matter from the columns, every second line a heading."""
-    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.when(i % 2 == 0, F.concat(F.when(i % 4 == 0, "## ").otherwise("### "), F.substring(x, 1, 40))).otherwise(x))
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.when(i % 2 == 0, F.concat(F.when(i % 4 == 0, "## ").otherwise("### "), x)).otherwise(x))
     head = F.concat(F.lit("---\nlang: "), F.coalesce("lang", F.lit("")), F.lit("\nsource: "), F.coalesce("source", F.lit("")), F.lit("\n---\n"))
     return table(spark, sf_dir, "documents").select("doc_id", F.concat(head, F.array_join(lines, "\n")).alias("md"))
 
@@ -58,10 +58,17 @@ def io3_front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("f.meta")["lang"].alias("lang"), F.col("f.meta")["source"].alias("source"))
 
 
-@R.query()
+_MD_LINES = "list_transform(string_split(coalesce(text,''), chr(10)), lambda x, i: case when (i-1)%2=0 then (case when (i-1)%4=0 then '## ' else '### ' end)||x else x end)"
+
+
+@R.query(rf"""with m as (select doc_id, {_MD_LINES} as l from documents), h as (select doc_id, l, unnest(range(0,len(l))) as i from m),
+g as (select doc_id, l, i, l[i+1] as line, row_number() over w as section, lead(i) over w as nx from h where regexp_matches(l[i+1], '^#{{1,6}}\s+\S') window w as (partition by doc_id order by i)),
+s as (select doc_id, section, length(regexp_extract(line,'^(#+)',1)) as level, trim(regexp_replace(regexp_replace(line,'^#+\s+',''),'(?:<!--.*?-->|\s#+\s*$)','','g')) as title, length(trim(array_to_string(l[i+2:coalesce(nx,len(l))],chr(10)))) as chars from g),
+e as (select doc_id, section, least(min(case when level<=1 then section end) over w, case when level>=2 then min(case when level<=2 then section end) over w end, case when level>=3 then min(case when level<=3 then section end) over w end, case when level>=4 then min(case when level<=4 then section end) over w end, case when level>=5 then min(case when level<=5 then section end) over w end, case when level>=6 then min(section) over w end) as ends from s window w as (partition by doc_id order by section rows between 1 following and unbounded following))
+select s.doc_id, s.section, level, title, ends, chars from s join e using (doc_id, section)""".replace("\\\\", "\\"))
 def x7_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _markdown(spark, sf_dir).select("doc_id", markdown.front_matter(F.col("md"))["body"].alias("md"))
-    found = markdown.section_ends(markdown.heading_sections(docs, "doc_id", "md"), "doc_id")
+    found = markdown.heading_sections(docs, "doc_id", "md")
     return found.select("doc_id", "section", "level", "title", "ends", F.length("body").alias("chars"))
 
 
@@ -91,6 +98,61 @@ def io4_mapped_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "k", F.coalesce("none", "k").alias("first"))
 
 
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").withColumn("v", F.round("value", 2))
+
+
+@R.query("select event_id, item, case when item='USDTRY' then round(value,2)/100 else round(value,2) end as buying, case when item='USDTRY' then (round(value,2)+1)/100 else round(value,2)+1 end as selling, case when event_id%2=0 then timestamp '2024-01-05 12:30:00' else timestamp '2024-02-03 12:30:00' end as data_time from events, (select unnest(['USDTRY','EURTRY']) as item) where event_id%3<>0 or item='EURTRY'")
+def io5_reference_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values as rates documents: dollars by the hundred, euros by one, and a currency that is not followed."""
+    rate = lambda code, unit: F.concat(F.lit(f'<Currency CurrencyCode="{code}"><Unit>{unit}</Unit><ForexBuying>'), F.format_string("%.2f", "v"), F.lit("</ForexBuying><ForexSelling>"), F.format_string("%.2f", F.col("v") + 1), F.lit("</ForexSelling></Currency>"))
+    day = F.when(F.col("event_id") % 2 == 0, 'Tarih="05.01.2024"').otherwise('Date="02/03/2024"')
+    xml = F.concat(F.lit("<Rates "), day, F.lit(">"), F.when(F.col("event_id") % 3 == 0, "").otherwise(rate("USD", 100)), rate("EUR", 1), rate("JPY", 1), F.lit("</Rates>"))
+    rows = _events(spark, sf_dir).select("event_id", feeds.reference_rates(xml).alias("r"))
+    return rows.select("event_id", "r.data_time", F.explode("r.quotes").alias("q")).select("event_id", "q.item", F.round("q.buying", 9).alias("buying"), F.round("q.selling", 9).alias("selling"), "data_time")
+
+
+@R.query("select event_id, item, case when item='GRAM24' then 4000+round(value,2) else round(value,2) end as buying, case when item='GRAM24' then null else round(value,2)+0.5 end as selling, timestamp '2024-01-02 07:30:00' as data_time from events, (select unnest(['USDTRY','GRAM24']) as item) where event_id%4<>0 or item='GRAM24'")
+def io6_market_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values as market payloads that name their items in turn by key, by another key, or by a label within."""
+    turkish = lambda c: F.translate(F.format_number(c, 2), ",.", ".,")
+    name = F.when(F.col("event_id") % 3 == 0, "USD").when(F.col("event_id") % 3 == 1, "usd").otherwise("ABD DOLARI")
+    dollar = F.when(F.col("event_id") % 4 == 0, '"USD": 1').otherwise(F.concat(F.lit('"'), name, F.lit('": {"Alış": "'), turkish(F.col("v")), F.lit('", "Satış": "'), turkish(F.col("v") + 0.5), F.lit('"}')))
+    gold = F.concat(F.when(F.col("event_id") % 2 == 0, '"GRA": {').otherwise('"x": {"Name": "gram altın", '), F.lit('"Buying": "'), turkish(F.col("v") + 4000), F.lit('"}'))
+    payload = F.concat(F.lit('{"Update_Date": "2024-01-02 10:30:00", '), dollar, F.lit(", "), gold, F.lit("}"))
+    rows = _events(spark, sf_dir).select("event_id", feeds.market_quotes(payload).alias("r"))
+    return rows.select("event_id", "r.data_time", F.explode("r.quotes").alias("q")).select("event_id", "q.item", F.round("q.buying", 9).alias("buying"), F.round("q.selling", 9).alias("selling"), "data_time")
+
+
+@R.query("select event_id, round(value,2) as temperature, round(value,2)+3 as max, case event_id%4 when 0 then 'Açık' when 1 then 'Yağmur' when 2 then 'Kar' else 'Bilinmiyor' end as description, case when event_id%4=3 then null else round(value,2)/2 end as rain, timestamp '2024-01-02 06:30:00' as data_time from events")
+def io7_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values as forecasts; every fourth has an unknown code and no sum of rain."""
+    n, v = F.col("event_id") % 4, F.format_string("%.2f", "v")
+    code = F.element_at(F.array(*map(F.lit, ("0", "63", "73", "12"))), (n + 1).cast("int"))
+    rain = F.when(n == 3, "").otherwise(F.concat(F.lit(', "precipitation_sum": ['), F.format_string("%.4f", F.col("v") / 2), F.lit("]")))
+    payload = F.concat(F.lit('{"current": {"time": "2024-01-02T09:30", "temperature_2m": '), v, F.lit(', "weather_code": '), code, F.lit('}, "daily": {"temperature_2m_max": ['), F.format_string("%.2f", F.col("v") + 3), F.lit(", 1.0]"), rain, F.lit("}}"))
+    rows = _events(spark, sf_dir).select("event_id", feeds.forecast(payload).alias("f"))
+    return rows.select("event_id", "f.current.temperature", F.col("f.today.max").alias("max"), "f.current.description", F.round("f.today.precipitation_sum", 9).alias("rain"), "f.data_time")
+
+
+@R.query(f"with d as (select doc_id, source, {SQL_TITLE} as title, coalesce(text,'') as body, row_number() over (partition by source order by doc_id) as n from documents), f as (select *, row_number() over (partition by source order by doc_id) as k from d where n<=40 and contains(lower(title||' '||body), 'the')) select doc_id, source, length(substr(body,1,300)) as chars from f where k<=5")
+def p19_place_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as entries of warning feeds, a feed per source; the place is a word that many have."""
+    entries = table(spark, sf_dir, "documents").select("doc_id", "source", first_line().alias("title"), "text")
+    return feeds.warnings_for(entries, "source", "doc_id", "title", "text", F.lit("The")).select("doc_id", "source", F.length("summary").cast("long").alias("chars"))
+
+
+@R.query("select page_id, [cast(5000000 + page_id%50 as varchar)] as kbs from pages where page_id%3<>2 and page_id%5<>0")
+def p4_search_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as search results, each found twice; every third tells no issue and every fifth has no web address."""
+    n = F.col("page_id")
+    address = F.when(n % 5 == 0, F.concat(F.lit("ftp://a.org/"), n.cast("string"))).otherwise(F.concat(F.lit("https://a.org/p?utm_source=x&id="), n.cast("string")))
+    snippet = F.when(n % 3 == 2, "all is well").otherwise(F.concat(F.lit("printer stopped working after KB"), (F.lit(5000000) + n % 50).cast("string")))
+    rows = table(spark, sf_dir, "pages").select("page_id", address.alias("url"), F.lit("Report").alias("title"), snippet.alias("snippet"))
+    found = feeds.search_reports(rows.union(rows), "url", "title", "snippet")
+    return found.select("page_id", "kbs")
+
+
 @R.query("with i as (select doc_id, source, timestamp '2024-01-01 00:00:00' + to_hours(cast(doc_id % 240 as int)) as published, trim(regexp_replace(split_part(coalesce(text,''),chr(10),1), '\\s+', ' ', 'g')) as title from documents), r as (select *, row_number() over (partition by source order by published desc, 'https://example.org/'||doc_id) as n from i where title<>'' and published >= timestamp '2024-01-04 00:00:00') select doc_id, source, published from r where n<=20".replace("\\\\", "\\"))
 def io1_feed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -206,7 +268,7 @@ def st5_followed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query("select e.event_id, s.ts as signed_up from events e join events s on s.user_id=e.user_id and s.event_type='signup' and e.event_type='click' and e.ts >= s.ts and e.ts <= s.ts + interval 48 hour")
 def st7_bounded_match_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = table(spark, sf_dir, "events").where("event_type = 'signup'").select("user_id", F.col("ts").alias("signed_up"))
+    known = _stream(spark, sf_dir).where("event_type = 'signup'").select("user_id", F.col("ts").alias("signed_up"))
     found = jobs.drained(jobs.matched(_stream(spark, sf_dir).where("event_type = 'click'"), known, "user_id", "ts", "signed_up", 48), "append")
     return found.select("event_id", "signed_up")
 
@@ -218,9 +280,48 @@ def f7_canonical_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.when(english, first_line()).alias("canonical"), F.coalesce(~english, F.lit(True)).alias("queued"))
 
 
-@R.query()
+_SPACED = r"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
+_QUOTE = "case doc_id%3 when 0 then '“'||substr(coalesce(text,''),11,60)||'”.' when 1 then array_to_string(list_reverse(list_slice(string_split(coalesce(text,''),' '),2,12)),' ') else 'this never stood anywhere at all, xyzq' end"
+
+
+def _quote() -> F.Column:
+    body, n = F.coalesce("text", F.lit("")), F.col("doc_id") % 3
+    backwards = F.array_join(F.reverse(F.slice(F.split(body, " "), 2, 11)), " ")
+    return F.when(n == 0, F.concat(F.lit("“"), F.substring(body, 11, 60), F.lit("”."))).when(n == 1, backwards).otherwise("this never stood anywhere at all, xyzq")
+
+
+_QUOTED = rf"""with d as (select doc_id, {_SPACED.format(x=sql_fold(_QUOTE))} as q, {_SPACED.format(x=sql_fold('text'))} as e from documents), s as (select doc_id, regexp_replace(q, '^[ .\"''“”]+|[ .\"''“”]+$', '', 'g') as q, e from d), w as (select *, regexp_extract_all(q, '[a-z0-9]+') as w, list_distinct(regexp_extract_all(e, '[a-z0-9]+')) as h from s)
+select doc_id, length(q)>=8 and (contains(e,q) or (len(w)>=3 and len(list_filter(w, lambda x: list_contains(h,x))) >= 0.9*len(w))) as quoted from w""".replace('\\"', '"')
+
+
+@R.query(_QUOTED)
 def t30_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether each document's second line stands in its first 2,000 characters."""
-    second = F.element_at(F.concat(F.split(F.coalesce("text", F.lit("")), "\n"), F.array(F.lit(""), F.lit(""))), 2)
-    rows = table(spark, sf_dir, "documents").select("doc_id", second.alias("q"), F.coalesce("text", F.lit("")).alias("e"))
-    return rows.select("doc_id", text.quoted(F.col("q"), F.col("e")).alias("quoted"))
+    """Quotes of each text: a part of it between marks, its words backwards, or none of its words."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.quoted(_quote(), F.coalesce("text", F.lit(""))).alias("quoted"))
+
+
+_CUT = "case when length({x})<={n} then {x} else regexp_replace(substr({x},1,{n}-1), ' [^ ]*$', '') || '…' end"
+_TITLE_CUT = _CUT.format(x=_SPACED.format(x=SQL_TITLE), n=120)
+
+
+@R.query(rf"""with q as ({_QUOTED}), d as (select doc_id, {_TITLE_CUT} as title, doc_id%4=0 as unknown, trim(regexp_replace({SQL_TITLE}, '\s+', ' ', 'g'))<>'' as titled from documents)
+select doc_id, titled and not unknown as accepted, case when unknown then ['KB9999999'] else [] end as unknown, case when titled and not unknown then title end as title, case when titled and not unknown then case when quoted then ['kaynak','ai_cikarim'] else ['ai_cikarim','ai_cikarim'] end end as bases from d join q using (doc_id)""")
+def p17_validated_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generated texts about documents: updates that the text, the state or nothing knows, and advice with a quote and without."""
+    n = F.col("doc_id")
+    action = lambda what, basis, quote: F.struct(F.lit(what).alias("text"), F.lit(basis).alias("basis"), quote.alias("evidence_quote"))
+    actions = F.array(action("Install it.", "kaynak", _quote()), action("Wait.", "else", F.lit("")), action(" ", "kaynak", F.lit("x")), action("Too many.", "kaynak", F.lit("y")))
+    summary = F.when(n % 4 == 0, "KB9999999 fixes it").otherwise("KB5000001 and KB5000002 fix it")
+    evidence = F.concat(F.coalesce("text", F.lit("")), F.lit("\nKB5000001"))
+    fields = {"title_tr": first_line(), "summary_tr": summary}
+    rows = table(spark, sf_dir, "documents").select("doc_id", generated.validated(fields, actions, evidence, F.array(F.lit("5000002"))).alias("v"))
+    return rows.select("doc_id", "v.accepted", "v.unknown", F.col("v.title_tr").alias("title"), F.col("v.actions.basis").alias("bases"))
+
+
+@R.query("with v as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, struct_pack(a:=l_linestatus,b:=l_returnflag,c:=l_suppkey%3,d:=l_tax>0.05) as s, lag(struct_pack(a:=l_linestatus,b:=l_returnflag,c:=l_suppkey%3,d:=l_tax>0.05)) over (partition by l_orderkey order by l_shipdate, l_linenumber, l_partkey, l_suppkey, l_extendedprice) as p from lineitem) select l_orderkey, l_linenumber, l_partkey, l_suppkey, p is null or s<>p as means_something from v")
+def t29_semantic_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as versions of an order's record: whether the fields that carry meaning differ from the version before; prices and dates don't count."""
+    fields = {"status": F.col("l_linestatus"), "stage": F.col("l_returnflag"), "products": F.array(F.col("l_suppkey") % 3), "price": F.col("l_extendedprice")}
+    order = Window.partitionBy("l_orderkey").orderBy("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    rows = table(spark, sf_dir, "lineitem").withColumn("h", text.semantic_hash(fields, F.when(F.col("l_tax") > 0.05, "Restart")))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (~F.col("h").eqNullSafe(F.lag("h").over(order))).alias("means_something"))

@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dawnline.operators import changes, ranking
+from dawnline.operators import changes, ranking, reports, tables
 from dawnline.plans.tables import Registry, table
+from dawnline.workspace import shared_path
 
 R = Registry()
 CUT = "2024-01-16"
@@ -34,11 +35,25 @@ def j1_change_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("value", F.round("value", 6))
 
 
-@R.query(f"select event_type, change, count(*) as n from ({_CAPTURE}) where change in ('inserted','changed') group by all")
+@R.query(f"select event_type, change, date '2024-01-16' as capture_date, count(*) as n from ({_CAPTURE}) where change in ('inserted','changed') group by all")
 def io9_snapshots_to_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New and changed rows appended to a table by capture date, and read back from there."""
     current, batch = _polls(spark, sf_dir)
     out = changes.capture(current, batch, ["user_id", "event_type"], ["value", "props"], [F.col("ts"), F.col("event_id")])
-    return changes.snapshots(out).groupBy("event_type", "change").agg(F.count("*").alias("n"))
+    path = shared_path(spark, "snapshots")
+    tables.append_snapshots(changes.snapshots(out), path, F.lit(CUT).cast("date"))
+    return spark.read.parquet(path).groupBy("event_type", "change", "capture_date").agg(F.count("*").alias("n"))
+
+
+@R.query(f"select user_id, event_type, value, props from ({_CAPTURE})")
+def io10_current_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches upserted one after the other, and the first of them once more, into a table of the current state."""
+    current, batch = _polls(spark, sf_dir)
+    state = tables.CurrentState(spark, shared_path(spark, "state"), ["user_id", "event_type"], ["value", "props"])
+    order = [F.col("ts"), F.col("event_id")]
+    for part in (current, batch, batch):
+        state.upsert(part, order)
+    return state.read().select("user_id", "event_type", F.round("value", 6).alias("value"), "props")
 
 
 @R.query("select event_id, lead(ts) over w as valid_to, count(*) over (w rows between unbounded preceding and current row) as nth from events window w as (partition by user_id, event_type order by ts, event_id)")
@@ -73,15 +88,7 @@ _SOURCES = "select user_id as source, max(ts) filter (where event_type<>'error')
 
 
 def _health(events: DataFrame) -> DataFrame:
-    """Last success, status and error of each source, in one aggregate."""
-    newest, failed = F.struct("ts", "event_id"), F.col("event_type") == "error"
-    return events.groupBy(F.col("user_id").alias("source")).agg(
-        F.max(F.when(~failed, F.col("ts"))).alias("last_ok"),
-        F.max_by("event_type", newest).alias("last_status"),
-        F.max_by("event_id", F.when(failed, newest)).alias("last_error"),
-        F.count("*").alias("checks"),
-        F.count_if(failed).alias("errors"),
-    )
+    return reports.source_health(events, "user_id", "event_type", "ts", "event_id")
 
 
 @R.query(_SOURCES)
@@ -89,80 +96,60 @@ def a5_source_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _health(table(spark, sf_dir, "events"))
 
 
-@R.query(f"select count(*) as enabled, count(*) filter (where last_status<>'error' and last_ok >= timestamp '2024-01-30 00:00:00') as ok, count(*) filter (where last_status='error') as failing, list_sort(list(source) filter (where last_status='error')) as failing_sources from ({_SOURCES})")
+@R.query(f"with h as ({_SOURCES}), e as (select c_custkey as source from customer where c_custkey%2=0), j as (select e.source, h.* exclude (source) from e left join h using (source)) select count(*) as enabled, count(*) filter (where last_status<>'error' and last_ok >= timestamp '2024-01-30 00:00:00') as ok, count(*) filter (where last_status='error') as failing, count(*) filter (where checks is null) as never, coalesce((select list(source order by source) from (select source from j where last_status='error' order by source limit 100)),[]) as failing_sources, coalesce((select list(source order by source) from (select source from j where checks is null order by source limit 100)),[]) as never_sources from j")
 def a6_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many sources are well, and which fail: a list as long as the sources that fail just now."""
-    rows = _health(table(spark, sf_dir, "events"))
-    failing = F.col("last_status") == "error"
-    return rows.agg(
-        F.count("*").alias("enabled"),
-        F.count_if(~failing & (F.col("last_ok") >= "2024-01-30 00:00:00")).alias("ok"),
-        F.count_if(failing).alias("failing"),
-        F.sort_array(F.collect_list(F.when(failing, F.col("source")))).alias("failing_sources"),
-    )
+    """How many sources are well, failing or never checked; every second customer is an enabled source."""
+    sources = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("source"))
+    return reports.coverage(sources, _health(table(spark, sf_dir, "events")), F.lit("2024-01-30").cast("timestamp"))
 
 
 @R.query("select event_type as status, count(*) as n, count(*) filter (where value > 50) as changed, round(sum(value),4) as total from events group by 1")
 def a7_run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("status")).agg(F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("changed"), F.round(F.sum("value"), 4).alias("total"))
+    return reports.run_report(table(spark, sf_dir, "events"), "event_type", F.col("value") > 50, "value")
 
 
 @R.query("select cast(ts as date) as day, event_type as kind, count(*) as calls, round(sum(value),4) as units, round(sum(value)*0.003,2) as cost, count(*) filter (where event_type='error') as errors, round(greatest(100 - sum(value)*0.003, 0),2) as budget_left from events group by 1,2")
 def a8_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spent = F.sum("value") * 0.003
-    return table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day"), F.col("event_type").alias("kind")).agg(
-        F.count("*").alias("calls"), F.round(F.sum("value"), 4).alias("units"), F.round(spent, 2).alias("cost"),
-        F.count_if(F.col("event_type") == "error").alias("errors"), F.round(F.greatest(F.lit(100) - spent, F.lit(0.0)), 2).alias("budget_left"),
-    )
+    return reports.usage(table(spark, sf_dir, "events"), F.to_date("ts"), "event_type", "value", F.col("event_type") == "error", 0.003, 100)
 
 
-_ROLLUP = "case when bool_and(l_linestatus='F' and l_returnflag<>'A') then 'sent' when bool_or(l_linestatus='O') then 'pending' when bool_or(l_returnflag='R') then 'uncertain' when bool_or(l_returnflag='N') then 'partial' else 'failed' end"
+_PART = "case when l_linestatus='O' then 'pending' when l_returnflag='R' then 'uncertain' when l_returnflag='N' then 'sent' when l_linenumber%2=0 then 'sent' else 'failed' end"
+_ROLLUP = "case when bool_and(p='sent') then 'sent' when bool_or(p='pending') then 'pending' when bool_or(p='uncertain') then 'uncertain' when bool_or(p='sent') then 'partial' else 'failed' end"
 
 
-@R.query(f"select l_orderkey as delivery, {_ROLLUP} as status, count(*) as parts, count(*) filter (where l_linestatus='F') as done from lineitem group by 1")
+@R.query(f"select l_orderkey as delivery, {_ROLLUP} as status, count(*) as parts, count(*) filter (where p='sent') as done from (select l_orderkey, {_PART} as p from lineitem) group by 1")
 def a9_delivery_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     line, flag = F.col("l_linestatus"), F.col("l_returnflag")
-    status = (
-        F.when(F.bool_and((line == "F") & (flag != "A")), "sent").when(F.bool_or(line == "O"), "pending")
-        .when(F.bool_or(flag == "R"), "uncertain").when(F.bool_or(flag == "N"), "partial").otherwise("failed")
-    )
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("delivery")).agg(status.alias("status"), F.count("*").alias("parts"), F.count_if(line == "F").alias("done"))
+    part = F.when(line == "O", "pending").when(flag == "R", "uncertain").when((flag == "N") | (F.col("l_linenumber") % 2 == 0), "sent").otherwise("failed")
+    return reports.delivery_status(table(spark, sf_dir, "lineitem").withColumn("part", part), "l_orderkey", F.col("part"))
 
 
 @R.query("with o as (select o_orderkey, o_orderpriority, o_totalprice from orders where o_orderstatus='O' and o_orderpriority in ('1-URGENT','2-HIGH')), t as (select o_orderkey from o order by o_orderpriority, o_totalprice desc, o_orderkey limit 5) select (select count(*) from o) as open_count, (select list(o_orderkey order by o_orderkey) from t) as top")
 def a10_open_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    risky = table(spark, sf_dir, "orders").where("o_orderstatus = 'O' and o_orderpriority in ('1-URGENT','2-HIGH')")
-    top = risky.orderBy("o_orderpriority", F.desc("o_totalprice"), "o_orderkey").limit(5).agg(F.sort_array(F.collect_list("o_orderkey")).alias("top"))
-    count = risky.agg(F.count("*").alias("open_count"))
-    return count.join(F.broadcast(top), F.lit(True))  # one row each
+    risky = (F.col("o_orderstatus") == "O") & F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
+    return reports.open_risks(table(spark, sf_dir, "orders"), risky, [F.col("o_orderpriority"), F.desc("o_totalprice"), F.col("o_orderkey")], "o_orderkey")
 
 
 @R.query("select l_orderkey, count(distinct l_suppkey) as sources, list_sort(list_distinct(list(l_suppkey))) as source_list from lineitem group by 1")
 def a11_distinct_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count_distinct("l_suppkey").alias("sources"), F.sort_array(F.collect_set("l_suppkey")).alias("source_list"))
+    return reports.sources_of(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_suppkey")
 
 
 @R.query("select split_part(coalesce(text,''), chr(10), 1) as title, count(*) as n from documents group by 1 having count(*) > 1")
 def a11_repeated_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.substring_index(F.coalesce("text", F.lit("")), "\n", 1)
-    return table(spark, sf_dir, "documents").groupBy(title.alias("title")).agg(F.count("*").alias("n")).where("n > 1")
+    return reports.repeated(table(spark, sf_dir, "documents"), title, "title")
 
 
 @R.query("select l_orderkey, count(*) filter (where l_returnflag='R') as alert_items, count(*) as snapshots from lineitem group by 1")
 def a12_items_per_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count_if(F.col("l_returnflag") == "R").alias("alert_items"), F.count("*").alias("snapshots"))
+    return reports.counts_of(table(spark, sf_dir, "lineitem"), "l_orderkey", alert_items=F.col("l_returnflag") == "R").withColumnRenamed("rows", "snapshots")
 
 
 @R.query("with n as (select source, split_part(coalesce(text,''), chr(10), 1) as title, doc_id, row_number() over (partition by source order by doc_id) as i from documents) select source, count(*) as items, count(*) filter (where title='') as warnings, list(substr(title,1,40) order by doc_id) filter (where i<=3) as samples from n group by 1")
 def a14_validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items, empty titles and the first three titles of each source; the samples are picked before they are gathered."""
     docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.substring_index(F.coalesce("text", F.lit("")), "\n", 1).alias("title"))
-    counts = docs.groupBy("source").agg(F.count("*").alias("items"), F.count_if(F.col("title") == "").alias("warnings"))
-    from pyspark.sql import Window
-
-    few = docs.withColumn("i", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where("i <= 3")
-    samples = few.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("doc_id", F.substring("title", 1, 40).alias("t")))).alias("s"))
-    return counts.join(samples, "source").select("source", "items", "warnings", F.col("s.t").alias("samples"))
+    return reports.validation(docs, "source", "doc_id", "title")
 
 
 _VERSIONS = "select l_orderkey, l_linenumber, row_number() over w as version, lag(l_linestatus) over w as prev_l_linestatus, lag(l_quantity) over w as prev_l_quantity from lineitem window w as (partition by l_orderkey order by l_shipdate, l_linenumber, l_partkey, l_suppkey, l_extendedprice)"
@@ -209,13 +196,13 @@ _CAPS = {"critical": 6, "automobile": 3, "building": 3, "furniture": 3, "househo
     f"""with c as (select l_orderkey, {_SECTION} as section, o_orderpriority, o_totalprice from ({_CANDIDATES})),
 r as (select *, row_number() over (partition by section order by o_orderpriority, o_totalprice desc, l_orderkey) as section_rank, list_position([{",".join(f"'{s}'" for s in _CAPS)}], section) as place from c),
 k as (select *, row_number() over (order by place, section_rank) as position from r where section_rank <= case section when 'critical' then 6 else 3 end)
-select l_orderkey, section, section_rank, position from k where position <= 16 or section='critical'"""
+select l_orderkey, section, section_rank, position, (select count(*) from c where c.section=k.section) - count(*) over (partition by section) as overflow from k where position <= 16 or section='critical'"""
 )
 def w5_w6_capped_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     section = F.when((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_totalprice") > 200000), "critical").otherwise(F.lower("c_mktsegment"))
     rows = _candidates(spark, sf_dir).withColumn("section", section)
     order = [F.col("o_orderpriority"), F.desc("o_totalprice"), F.col("l_orderkey")]
-    return ranking.capped_sections(rows, "section", order, _CAPS, 3, "critical", 16).select("l_orderkey", "section", "section_rank", "position")
+    return ranking.capped_sections(rows, "section", order, _CAPS, 3, "critical", 16).select("l_orderkey", "section", "section_rank", "position", "overflow")
 
 
 @R.query(f"select l_orderkey from ({_CANDIDATES}) where l_orderkey not in (select l_orderkey from lineitem where l_returnflag='R')")
@@ -275,10 +262,12 @@ def p10_k3_archive_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.page(found, [F.desc("o_orderdate"), F.col("o_orderkey")], 2).select("o_orderkey", "total", "pages")
 
 
-@R.query("with m as (select l_partkey, max(l_shipdate) as newest from lineitem where l_returnflag='R' group by 1) select l_partkey, newest from m order by newest desc, l_partkey limit 15")
+@R.query("with m as (select l_partkey, max(l_shipdate) as newest from lineitem where l_returnflag='R' and (l_suppkey%3=0 or l_suppkey%5 in (1,2)) group by 1) select l_partkey, newest from m order by newest desc, l_partkey limit 15")
 def k4_recent_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    newest = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy("l_partkey").agg(F.max("l_shipdate").alias("newest"))
-    return newest.orderBy(F.desc("newest"), "l_partkey").limit(15)
+    """The newest parts of returned lines that name no supplier group or one of the reader's."""
+    lines = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
+    products = F.when(F.col("l_suppkey") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array((F.col("l_suppkey") % 5).cast("string")))
+    return reports.recent_targets(lines, "l_partkey", "l_shipdate", 15, products, ["1", "2"])
 
 
 @R.query(f"select o_orderkey, {_RISK} as risk from orders where o_orderpriority in ('1-URGENT','2-HIGH') and o_orderstatus<>'F' order by o_orderpriority, o_orderdate desc, o_orderkey limit 100")
@@ -294,10 +283,16 @@ def w7_budgeted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", F.col("batch").cast("long").alias("batch"))
 
 
-@R.query("select l_orderkey, l_linenumber, case when l_linenumber < 6 then l_shipdate + to_seconds(coalesce(case when l_returnflag='R' then 90 end, [60,300,900,3600,10800][least(l_linenumber,5)])) end as next_at from lineitem")
+_NEXT = "case when l_linenumber < 6 then l_shipdate + to_seconds(coalesce(case when l_returnflag='R' then 90 end, [60,300,900,3600,10800][least(l_linenumber,5)])) end"
+
+
+@R.query(f"select l_orderkey, l_linenumber, case when l_linestatus='F' and l_returnflag='A' then null else {_NEXT} end as next_at, case when l_linestatus='F' and l_returnflag='A' then 'sent' when l_linenumber < 6 then 'retry' else 'failed' end as state, coalesce(case when l_linestatus='F' and l_returnflag='A' then null else {_NEXT} end <= timestamp '1996-01-01 00:00:00', false) as due from lineitem")
 def p18_next_attempt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = F.when(F.col("l_returnflag") == "R", 90)
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", ranking.next_attempt(F.col("l_linenumber"), F.col("l_shipdate"), asked).alias("next_at"))
+    """Lines as delivery attempts: what their results make of them, when they are tried again, and which are due."""
+    asked, sent = F.when(F.col("l_returnflag") == "R", 90), (F.col("l_linestatus") == "F") & (F.col("l_returnflag") == "A")
+    tried = table(spark, sf_dir, "lineitem").withColumns({"a": ranking.after_attempt(sent, F.col("l_linenumber"), F.col("l_shipdate"), asked)})
+    due = F.coalesce(F.col("a.next_at") <= F.lit("1996-01-01").cast("timestamp"), F.lit(False))
+    return tried.select("l_orderkey", "l_linenumber", "a.next_at", "a.state", due.alias("due"))
 
 
 @R.query("select event_type, cast(floor(epoch(ts)/10800) as bigint) as slot, count(*) as n from events group by 1,2")
@@ -306,9 +301,9 @@ def st1_tumbling_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type", slot.alias("slot")).agg(F.count("*").alias("n"))
 
 
-@R.query("with l as (select user_id, arg_max(event_type, struct_pack(t:=ts,e:=event_id)) as status, max(ts) as seen, count(*) filter (where event_type='error') as tries from events group by 1) select user_id, status, case when status='error' and tries<=3 and seen < timestamp '2024-01-30 23:50:00' then 'retry' when status='view' and seen < timestamp '2024-01-30 23:30:00' then 'stuck' else 'fine' end as verdict from l")
+@R.query("with l as (select user_id, arg_max(event_type, struct_pack(t:=ts,e:=event_id)) as status, max(ts) as seen, count(*) filter (where event_type='error') as tries from events group by 1) select user_id, status, case when status='error' and tries<=3 and seen < timestamp '2024-01-30 23:50:00' then 'retry' when status='view' and seen < timestamp '2024-01-30 23:30:00' then 'stuck' when status='click' and seen < timestamp '2024-01-30 23:30:00' then 'uncertain' else 'fine' end as verdict from l")
 def st8_stuck_work(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("status"), F.max("ts").alias("at"), F.count_if(F.col("event_type") == "error").alias("tries"))
-    retry = (F.col("status") == "error") & (F.col("tries") <= 3) & (F.col("at") < "2024-01-30 23:50:00")
-    stuck = (F.col("status") == "view") & (F.col("at") < "2024-01-30 23:30:00")
-    return last.select("user_id", "status", F.when(retry, "retry").when(stuck, "stuck").otherwise("fine").alias("verdict"))
+    now = F.lit("2024-01-31").cast("timestamp")
+    verdict = ranking.work_verdict(F.col("status"), F.col("at"), F.col("tries"), now, running="view", failed="error", sending="click")
+    return last.select("user_id", "status", verdict.alias("verdict"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dawnline.functions import dates, fixed, text, urls
+from dawnline.functions import dates, fixed, labels, text, urls
 from dawnline.plans.tables import Registry, table
 
 R = Registry()
@@ -34,6 +34,20 @@ def first_line(c: str = "text") -> F.Column:
     return F.substring_index(F.coalesce(F.col(c), F.lit("")), "\n", 1)
 
 
+def told(mark: str = "doc_id") -> F.Column:
+    """The document's text after sentences with update, vulnerability, build and product names that its number tells."""
+    n = F.col(mark)
+    number = lambda base, m: (F.lit(base) + n % m).cast("string")
+    fixes = F.when(n % 3 == 0, F.concat(F.lit("The update KB"), number(5000000, 97), F.lit(" fixes it. An initial fix came in kb "), number(5000000, 89), F.lit(". ")))
+    fixes = fixes.when(n % 3 == 1, F.concat(F.lit("KB"), number(5100000, 50), F.lit(" partially resolves it. "))).otherwise("")
+    holes = F.when(n % 2 == 0, F.concat(F.lit("See CVE-2024-"), number(10000, 500), F.lit(" and cve-2023-1234. "))).otherwise("")
+    builds = F.when(n % 4 == 0, F.concat(F.lit("Windows 11, version 24H2 (OS Build 26100."), number(1000, 300), F.lit("). ")))
+    builds = builds.when(n % 4 == 1, "Windows Server 2022 has it. ").when(n % 4 == 2, "Builds 99999.123 and 17763.55 differ. ").otherwise("")
+    return F.concat(fixes, holes, builds, F.coalesce("text", F.lit("")))
+
+
+SQL_TOLD = """(case doc_id%3 when 0 then 'The update KB'||(5000000+doc_id%97)||' fixes it. An initial fix came in kb '||(5000000+doc_id%89)||'. ' when 1 then 'KB'||(5100000+doc_id%50)||' partially resolves it. ' else '' end || case when doc_id%2=0 then 'See CVE-2024-'||(10000+doc_id%500)||' and cve-2023-1234. ' else '' end
+|| case doc_id%4 when 0 then 'Windows 11, version 24H2 (OS Build 26100.'||(1000+doc_id%300)||'). ' when 1 then 'Windows Server 2022 has it. ' when 2 then 'Builds 99999.123 and 17763.55 differ. ' else '' end || coalesce(text,''))"""
 SQL_TITLE = "split_part(coalesce(text,''), chr(10), 1)"
 
 
@@ -79,31 +93,31 @@ def t8_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.select("doc_id", F.size(text.shingles(F.col("w"))).cast("long").alias("n_shingles"))
 
 
-@R.query(r"select doc_id, list_sort(list_distinct(regexp_extract_all(coalesce(text,''), '(?i)\bKB\s?(\d{6,8})\b', 1))) as kbs, list_sort(list_distinct(list_transform(regexp_extract_all(coalesce(text,''), '(?i)\bCVE-\d{4}-\d{4,7}\b'), lambda x: upper(x)))) as cves, list_sort(list_distinct(regexp_extract_all(coalesce(text,''), '\b(?:14393|17763|19044|19045|20348|22621|22631|25398|26100|26200|28000)\.\d{2,5}\b'))) as builds from documents")
+@R.query(r"""select doc_id, list_sort(list_distinct(regexp_extract_all({T}, '(?i)\bKB\s?(\d{6,8})\b', 1))) as kbs, list_sort(list_distinct(list_transform(regexp_extract_all({T}, '(?i)\bCVE-\d{4}-\d{4,7}\b'), lambda x: upper(x)))) as cves, list_sort(list_distinct(regexp_extract_all({T}, '\b(?:14393|17763|19044|19045|20348|22621|22631|25398|26100|26200|28000)\.\d{2,5}\b'))) as builds from documents""".replace("{T}", SQL_TOLD))
 def t11_t12_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.kbs("text").alias("kbs"), text.cves("text").alias("cves"), text.builds("text").alias("builds"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.kbs(told()).alias("kbs"), text.cves(told()).alias("cves"), text.builds(told()).alias("builds"))
 
 
 _PRODUCTS = "list_sort(list_distinct(list_filter([" + ",".join(
-    [f"case when regexp_matches(coalesce(text,''), '(?i){p}') then '{x}' end" for p, x in fixed.PRODUCT_PATTERNS]
-    + [rf"case when regexp_matches(coalesce(text,''), '\b(?:{'|'.join(n)})\.\d{{2,5}}\b') then '{x}' end" for x, _, n in fixed.PRODUCTS]
+    [f"case when regexp_matches({SQL_TOLD}, '(?i){p}') then '{x}' end" for p, x in fixed.PRODUCT_PATTERNS]
+    + [rf"case when regexp_matches({SQL_TOLD}, '\b(?:{'|'.join(n)})\.\d{{2,5}}\b') then '{x}' end" for x, _, n in fixed.PRODUCTS]
 ) + "], lambda x: x is not null)))"
 
 
 @R.query(f"select doc_id, {_PRODUCTS} as products from documents")
 def t13_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.products("text").alias("products"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.products(told()).alias("products"))
 
 
-_FIX = r"""with s as (select doc_id, unnest(string_split(regexp_replace(coalesce(text,''), '([.!?])\s+|\n+', '\1' || chr(1), 'g'), chr(1))) as sentence from documents),
+_FIX = r"""with s as (select doc_id, unnest(string_split(regexp_replace({T}, '([.!?])\s+|\n+', '\1' || chr(1), 'g'), chr(1))) as sentence from documents),
 k as (select doc_id, regexp_matches(sentence, '(?i)\bpartial(?:ly)?\b|\binitial (?:solution|fix)\b|\bresolved some\b') as part, unnest(regexp_extract_all(sentence, '(?i)\bKB\s?(\d{6,8})\b', 1)) as kb from s),
 f as (select doc_id, kb, bool_or(not part) as is_full from k group by all)
-select d.doc_id, coalesce(list_sort(list(kb) filter (where is_full)), []::varchar[]) as full_kbs, coalesce(list_sort(list(kb) filter (where not is_full)), []::varchar[]) as partial_kbs from documents d left join f using (doc_id) group by d.doc_id"""
+select d.doc_id, coalesce(list_sort(list(kb) filter (where is_full)), []::varchar[]) as full_kbs, coalesce(list_sort(list(kb) filter (where not is_full)), []::varchar[]) as partial_kbs from documents d left join f using (doc_id) group by d.doc_id""".replace("{T}", SQL_TOLD)
 
 
 @R.query(_FIX)
 def t14_fix_kbs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = table(spark, sf_dir, "documents").select("doc_id", text.fix_kbs("text").alias("f"))
+    found = table(spark, sf_dir, "documents").select("doc_id", text.fix_kbs(told()).alias("f"))
     return found.select("doc_id", F.col("f.full").alias("full_kbs"), F.col("f.partial").alias("partial_kbs"))
 
 
@@ -136,9 +150,15 @@ _ISSUE = "|".join(fixed.ISSUE_WORDS).replace("'", "''")
 _SCOPE = "|".join(fixed.SCOPE_WORDS)
 
 
-@R.query(f"select doc_id, regexp_matches(t, '{_ISSUE}') as issue, regexp_matches(t, '{_SCOPE}') as scope from (select doc_id, {_PAD.format(x=sql_fold('text'))} as t from documents)")
+_SCOPED = "coalesce(text,'') || case doc_id%5 when 0 then ' Intune fails' when 1 then ' sccm' else '' end"
+
+
+@R.query(f"select doc_id, regexp_matches(t, '{_ISSUE}') as issue, regexp_matches(t, '{_SCOPE}') as scope from (select doc_id, {_PAD.format(x=sql_fold(_SCOPED))} as t from documents)")
 def t20_issue_and_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.looks_like_issue("text").alias("issue"), text.in_scope("text").alias("scope"))
+    """Documents after which every fifth names the scope and fails, and every fifth only names it."""
+    n = F.col("doc_id") % 5
+    scoped = F.concat(F.coalesce("text", F.lit("")), F.when(n == 0, " Intune fails").when(n == 1, " sccm").otherwise(""))
+    return table(spark, sf_dir, "documents").select("doc_id", text.looks_like_issue(scoped).alias("issue"), text.in_scope(scoped).alias("scope"))
 
 
 @R.query(r"with n as (select doc_id, trim(regexp_replace(coalesce(text,''), '\s+', ' ', 'g')) as t from documents) select doc_id, case when length(t)<=80 then t else regexp_replace(substr(t,1,79), ' [^ ]*$', '') || '…' end as short from n")
@@ -156,11 +176,16 @@ def t23_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.language(F.col("lang"), "text").alias("guessed"), text.language(F.lit(None).cast("string"), "text").alias("by_letters"))
 
 
-@R.query("select o_orderkey, dayofweek(o_orderdate)=2 and day(o_orderdate) between 8 and 14 as patch_day, case when o_orderstatus='O' then 'oob' when dayofweek(o_orderdate)=2 and day(o_orderdate) between 8 and 14 then 'security' else 'other' end as release from orders")
+_PATCH = "dayofweek(o_orderdate)=2 and day(o_orderdate) between 8 and 14"
+
+
+@R.query(f"select o_orderkey, {_PATCH} as patch_day, case when o_orderkey%5=0 then 'oob' when o_orderkey%3=0 then 'hotpatch' when o_orderkey%5=1 then 'preview' when {_PATCH} then 'security' else 'other' end as release from orders")
 def t26_release_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders")
-    patch = dates.is_patch_tuesday(F.col("o_orderdate"))
-    return orders.select("o_orderkey", patch.alias("patch_day"), F.when(F.col("o_orderstatus") == "O", "oob").when(patch, "security").otherwise("other").alias("release"))
+    """Orders as releases; the title and whether it is a hotpatch by number, the day by its date."""
+    orders, n = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    title = F.when(n % 5 == 0, "Update (Out-of-band)").when(n % 5 == 1, "Monthly Preview").otherwise("Monthly previews")
+    day = F.col("o_orderdate")
+    return orders.select("o_orderkey", dates.is_patch_tuesday(day).alias("patch_day"), labels.release_type(title, n % 3 == 0, day).alias("release"))
 
 
 @R.query("select o_orderkey, round(o_totalprice,2) as parsed from orders")
@@ -184,11 +209,22 @@ def u2_registrable_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", urls.registrable_domain(F.col("url")).alias("domain"))
 
 
-@R.query("select page_id, 'unknown' as by_url, case when page_id%3=0 then 'official' when page_id%3=1 then 'press' else 'unknown' end as trust, case when page_id%3=0 then 'ms_official' else 'field' end as evidence, regexp_matches(trim(url),'(?i)^https?://') as safe from pages")
+_BY_URL = "case page_id%6 when 0 then 'official' when 1 then 'press' when 2 then 'community' when 3 then 'official' when 4 then 'unknown' else case when page_id%7=0 then 'unknown' else 'community' end end"
+_TRUST = "case when u='community' then 'community' when page_id%4=0 then case when u in ('official','unknown') then 'official' else u end when page_id%4=1 then 'press' else u end"
+
+
+@R.query(f"select page_id, u as by_url, {_TRUST} as trust, case when {_TRUST}='official' then 'ms_official' else 'field' end as evidence, page_id%6<>5 or page_id%7<>0 as safe from (select page_id, {_BY_URL} as u from pages)")
 def u3_u6_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
-    url, source = F.col("url"), F.when(F.col("page_id") % 3 == 0, "official").when(F.col("page_id") % 3 == 1, "press").otherwise("user")
-    trust = urls.effective_trust(source, url)
-    return table(spark, sf_dir, "pages").select("page_id", urls.trust_of_url(url).alias("by_url"), trust.alias("trust"), urls.evidence_level(F.lit("notice"), trust).alias("evidence"), urls.is_safe(url).alias("safe"))
+    """Addresses of every class, made of the page's number, under sources of three kinds."""
+    n = F.col("page_id")
+    known = [("https://learn.microsoft.com/en-us/windows/p", ""), ("https://www.bleepingcomputer.com/news/p", ""), ("https://www.reddit.com/r/sysadmin/p", ""), ("https://techcommunity.microsoft.com/blog/windows-itpro-blog/p", "")]
+    address = F.lit(None).cast("string")
+    for i, (before, after) in enumerate(known):
+        address = F.when(n % 6 == i, F.concat(F.lit(before), n.cast("string"), F.lit(after))).otherwise(address)
+    address = F.when(n % 6 == 4, F.col("url")).when(n % 6 == 5, F.when(n % 7 == 0, "javascript:alert(1)").otherwise("HTTPS://GitHub.com/a/b")).otherwise(address)
+    source = F.when(n % 4 == 0, "official").when(n % 4 == 1, "press").otherwise("user")
+    trust = urls.effective_trust(source, address)
+    return table(spark, sf_dir, "pages").select("page_id", urls.trust_of_url(address).alias("by_url"), trust.alias("trust"), urls.evidence_level(F.lit("notice"), trust).alias("evidence"), urls.is_safe(address).alias("safe"))
 
 
 @R.query("select o_orderkey, cast(o_orderdate as date) as parsed from orders")

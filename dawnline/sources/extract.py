@@ -9,17 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dawnline.functions import dates, labels, text
+from dawnline.functions import dates, fixed, labels, text
 from dawnline.sources import markdown
 
-#: A fixed value: the line of a release list. Groups: date, hotpatch, KB, builds, the rest.
-RELEASE_LINE = r"(?i)([A-Z][a-z]+\.? \d{1,2},? \d{4})\s*[—–-]+\s*(Hotpatch\s+)?KB\s?(\d{6,8})\s*(?:[^()—–]{0,80}?\s*)?\((OS Builds?[^)]*)\)\s*([^|]*)"
-
-
 def releases(lines: DataFrame, id_col: str, line: str, since: Column) -> DataFrame:
     """(id, date, kb, builds, hotpatch, release_type) of release lines since a date; of each KB the first one."""
-    part = lambda i: F.regexp_extract(line, RELEASE_LINE, i)
-    found = lines.where(F.col(line).rlike(RELEASE_LINE)).select(id_col, F.to_date(dates.parse_loose(part(1))).alias("date"), part(3).alias("kb"), text.builds(part(4)).alias("builds"), (part(2) != "").alias("hotpatch"), F.trim(part(5)).alias("suffix"))
+    part = lambda i: F.regexp_extract(line, fixed.RELEASE_LINE, i)
+    found = lines.where(F.col(line).rlike(fixed.RELEASE_LINE)).select(id_col, F.to_date(dates.parse_loose(part(1))).alias("date"), part(3).alias("kb"), text.builds(part(4)).alias("builds"), (part(2) != "").alias("hotpatch"), F.trim(part(5)).alias("suffix"))
     kept = found.where(F.col("date") >= since)
     once = kept.withColumn("_n", F.row_number().over(Window.partitionBy("kb").orderBy("date", id_col))).where("_n = 1").drop("_n")
     return once.withColumn("release_type", labels.release_type(F.col("suffix"), F.col("hotpatch"), F.col("date")))
@@ -37,17 +33,42 @@ def support_rows(docs: DataFrame, id_col: str, md: str, today: Column, gone: int
     return found.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(id_col, "version", "support_end", "days_left")
 
 
-def contents_list(docs: DataFrame, id_col: str, yml: str) -> DataFrame:
-    """(kb, title, versions) of a contents list: names under 'Version nnnn' with a link to a Markdown page after them."""
+def contents_list(docs: DataFrame, id_col: str, yml: str, since: int = 0) -> DataFrame:
+    """(kb, title, versions) of a contents list: names under 'Version nnnn' with a link to a Markdown page after them.
+
+    Updates that stand under versions before since only are left out.
+    """
     lines = docs.select(id_col, F.posexplode(F.split(yml, r"\r?\n")).alias("line", "content"))
-    name = F.nullif(F.trim(F.regexp_replace(F.regexp_extract("content", r"^\s*-\s*name:\s*(.+)$", 1), r"^\s*['\"]|['\"]\s*$", "")), F.lit(""))
-    linked = F.col("content").rlike(r"^\s*href:\s*\S+\.md\s*$")
-    marked = lines.withColumns({"name": name, "version": F.nullif(F.regexp_extract(name, r"(?i)^Version\s+(\d{4})", 1), F.lit("")), "linked": linked})
+    name = F.nullif(F.trim(F.regexp_replace(F.regexp_extract("content", fixed.CONTENTS_NAME, 1), r"^\s*['\"]|['\"]\s*$", "")), F.lit(""))
+    linked = F.col("content").rlike(fixed.CONTENTS_LINK)
+    marked = lines.withColumns({"name": name, "version": F.nullif(F.regexp_extract(name, fixed.CONTENTS_VERSION, 1), F.lit("")), "linked": linked})
     before = Window.partitionBy(id_col).orderBy("line")
     marked = markdown.carried(marked, id_col, "line", "version").withColumn("title", F.lag("name").over(before))
     rows = marked.where("linked and title is not null").withColumn("kb", F.nullif(F.regexp_extract("title", r"KB\s?(\d{6,9})", 1), F.lit("")))
     titles = F.min_by("title", F.struct(id_col, "line"))
-    return rows.where("kb is not null").groupBy("kb").agg(titles.alias("title"), F.sort_array(F.collect_set("version")).alias("versions"))
+    kept = rows.where(F.col("kb").isNotNull() & (F.coalesce(F.col("version").cast("int"), F.lit(since)) >= since))
+    return kept.groupBy("kb").agg(titles.alias("title"), F.sort_array(F.collect_set("version")).alias("versions"))
+
+
+def feature_sections(docs: DataFrame, id_col: str, md: str, weeks: int = 6) -> DataFrame:
+    """Features (level 4) of a page of news by week (level 2) and category (level 3), of its first weeks.
+
+    (id, title, category, week, service, work_items, stage, change_kind, platforms, licence, rollout, admin_action, tags).
+    """
+    rows = markdown.heading_sections(docs, id_col, md)
+    order = Window.partitionBy(id_col).orderBy("section").rowsBetween(Window.unboundedPreceding, 0)
+    top = F.last(F.when(F.col("level") == 2, F.struct("section", "title")), ignorenulls=True).over(order)
+    below = F.last(F.when(F.col("level") <= 3, F.struct("level", "title")), ignorenulls=True).over(order)
+    is_week = (F.col("level") == 2) & F.col("title").rlike(fixed.WEEK)
+    rows = rows.withColumns({"_top": top, "_below": below, "_weeks": F.sum(is_week.cast("int")).over(order)})
+    week = F.nullif(F.regexp_extract("_top.title", fixed.WEEK, 1), F.lit(""))
+    found = rows.where((F.col("level") == 4) & week.isNotNull() & (F.col("_weeks") <= weeks))
+    body, named = markdown.to_text(F.col("whole")), F.lower(F.array_join(markdown.applies_to(F.col("whole")), " "))
+    return found.select(
+        id_col, "title", F.when(F.col("_below.level") == 3, F.col("_below.title")).otherwise("").alias("category"), week.alias("week"), F.nullif(F.regexp_extract("_top.title", fixed.WEEK, 2), F.lit("")).alias("service"), F.col("ids").alias("work_items"),
+        labels.stage(F.col("title"), body).alias("stage"), labels.change_kind(F.col("title"), body).alias("change_kind"), labels.platforms(F.coalesce(F.nullif(named, F.lit("")), body)).alias("platforms"),
+        labels.licence_note(body).alias("licence"), labels.rollout_note(body).alias("rollout"), labels.admin_action(F.col("whole")).alias("admin_action"), text.symptom_tags(F.concat_ws(" ", "title", body)).alias("tags"),
+    )
 
 
 def issue_sections(sections: DataFrame, id_col: str, known: str = "known issues") -> DataFrame:
@@ -56,7 +77,7 @@ def issue_sections(sections: DataFrame, id_col: str, known: str = "known issues"
     top = F.last(F.when(F.col("level") <= 2, F.lower("title")), ignorenulls=True).over(order)
     rows = sections.withColumn("_top", top).where(F.contains("_top", F.lit(known)) & (F.col("level") > 2))
     whole = F.concat_ws(" ", "title", "body")
-    applies = F.regexp_extract(markdown.to_text(F.col("body")), r"(?i)Applies to:?\s*versions?\s*([\d,\sand]+)", 1)
+    applies = F.regexp_extract(markdown.to_text(F.col("body")), fixed.APPLIES_TO_VERSIONS, 1)
     fixes = text.fix_kbs("body")
     return rows.select(id_col, "section", "title", text.symptom_tags(whole).alias("tags"), fixes["full"].alias("fix_kbs"), fixes["partial"].alias("partial_fix_kbs"), F.regexp_extract_all(applies, F.lit(r"\d{4}"), F.lit(0)).alias("versions"))
 
@@ -65,10 +86,10 @@ def status_issues(rows: DataFrame, details: DataFrame, page: str) -> DataFrame:
     """Summary rows (page, anchor, title, status, kb) with their detail sections (page, anchor, body); structure_ok tells if one was found."""
     joined = rows.join(details, [page, "anchor"], "left")
     body = F.coalesce("body", F.lit(""))
-    fixes = text.fix_kbs(F.regexp_extract(body, r"(?is)resolution:?(.*)", 1))
+    fixes = text.fix_kbs(F.regexp_extract(body, fixed.RESOLUTION, 1))
     return joined.select(
         page, "anchor", "title", labels.status(F.col("status")).alias("status"), text.kbs("kb").alias("originating_kbs"), fixes["full"].alias("resolving_kbs"), fixes["partial"].alias("partial_fix_kbs"),
-        F.nullif(F.trim(F.regexp_extract(body, r"(?is)workaround:?\s*(.*?)(?=\n\s*(?:next steps|resolution):|$)", 1)), F.lit("")).alias("workaround"),
+        F.nullif(F.trim(F.regexp_extract(body, fixed.WORKAROUND, 1)), F.lit("")).alias("workaround"),
         text.symptom_tags(F.concat_ws(" ", "title", body)).alias("tags"), body.rlike("(?i)known issue rollback").alias("rollback"), F.col("body").isNotNull().alias("structure_ok"),
     )
 

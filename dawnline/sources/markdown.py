@@ -1,4 +1,4 @@
-"""Markdown documents: front matter, sections, tables, plain text; all as column expressions and windows."""
+"""Markdown documents: front matter, sections, tables, plain text; all as column expressions."""
 
 from __future__ import annotations
 
@@ -16,28 +16,38 @@ def front_matter(md: Column) -> Column:
 
 
 def heading_sections(docs: DataFrame, id_col: str, md_col: str) -> DataFrame:
-    """(id, section, level, title, body) of each heading, fences respected; the body ends at the next heading.
+    """(id, section, level, title, body, whole, ends, ids) of each heading, fences respected; the body goes to the next heading.
 
-    Lines are numbered within their document, and windows by document find fences and headings.
+    ends is the next section of the same or a higher level (null: the document's end); whole goes up to it, deeper headings
+    included; ids are the numbers in comments of the heading. All is found within the row, over the array of its lines.
     """
-    lines = docs.select(id_col, F.posexplode(F.split(F.coalesce(md_col, F.lit("")), r"\r?\n")).alias("line", "content"))
-    w = Window.partitionBy(id_col).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    fence = F.col("content").rlike(r"^\s*```")
-    marked = lines.withColumn("fenced", (F.sum(fence.cast("int")).over(w) % 2 == 1) | fence)
-    heading = ~F.col("fenced") & F.col("content").rlike(r"^#{1,6}\s+\S")
-    marked = marked.withColumn("heading", heading).withColumn("section", F.sum(F.col("heading").cast("int")).over(w))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("heading"), F.struct("line", "content")))), lambda x: x["content"]), "\n")
-    head = F.max(F.when(F.col("heading"), F.col("content")))
-    out = marked.where("section > 0").groupBy(id_col, "section").agg(head.alias("h"), body.alias("body"))
-    title = F.trim(F.regexp_replace(F.regexp_replace("h", r"^#+\s+", ""), r"(?:<!--.*?-->|\s#+\s*$)", ""))
-    return out.select(id_col, "section", F.length(F.regexp_extract("h", r"^(#+)", 1)).alias("level"), title.alias("title"), F.trim("body").alias("body"))
-
-
-def section_ends(sections: DataFrame, id_col: str) -> DataFrame:
-    """sections with ends: the next section of the same or a higher level (null: the document's end); deeper ones belong to it."""
-    w = Window.partitionBy(id_col).orderBy("section").rowsBetween(1, Window.unboundedFollowing)
-    by_level = [F.when(F.col("level") == n, F.least(*(F.min(F.when(F.col("level") == m, F.col("section"))).over(w) for m in range(1, n + 1)), F.lit(None).cast("long"))) for n in range(1, 7)]
-    return sections.withColumn("ends", F.coalesce(*by_level))
+    lines = docs.select(id_col, F.split(F.coalesce(md_col, F.lit("")), r"\r?\n").alias("_lines"))
+    places = F.sequence(F.lit(0), F.size("_lines") - 1)
+    at = lambda i: F.get("_lines", i)
+    fenced = lines.withColumn("_fences", F.filter(places, lambda i: at(i).rlike(r"^\s*```")))
+    open_fences = lambda i: F.size(F.filter("_fences", lambda f: f < i)) % 2
+    headed = fenced.withColumn("_heads", F.filter(places, lambda i: at(i).rlike(r"^#{1,6}\s+\S") & (open_fences(i) == 0)))
+
+    level = lambda i: F.length(F.regexp_extract(at(i), r"^(#+)", 1))
+    body = lambda h, until: F.trim(F.array_join(F.slice("_lines", h + 2, until - h - 1), "\n"))
+
+    def told(h: Column, j: Column) -> Column:
+        title = F.trim(F.regexp_replace(F.regexp_replace(at(h), r"^#+\s+", ""), r"(?:<!--.*?-->|\s#+\s*$)", ""))
+        below = F.get(F.filter("_heads", lambda x: (x > h) & (level(x) <= level(h))), F.lit(0))
+        size = F.size("_lines")
+        return F.struct(
+            (j + 1).cast("long").alias("section"), level(h).alias("level"), title.alias("title"), body(h, F.coalesce(F.get("_heads", j + 1), size)).alias("body"), body(h, F.coalesce(below, size)).alias("whole"),
+            F.when(below.isNotNull(), F.array_position("_heads", below)).alias("ends"), F.regexp_extract_all(at(h), F.lit(r"<!--\s*(\d+)\s*-->"), F.lit(1)).alias("ids"),
+        )
+
+    return headed.select(id_col, F.inline(F.transform("_heads", told)))
+
+
+def applies_to(md: Column) -> Column:
+    """array of the items listed right after a line 'Applies to:', without marks; empty if there is none."""
+    block = F.regexp_extract(F.coalesce(md, F.lit("")), r"(?im)^[>\s*]*Applies to:?\**[ \t]*\r?\n((?:[>\s]*[-*+] .*(?:\r?\n|$))+)", 1)
+    items = F.transform(F.split(block, r"\r?\n"), lambda x: F.trim(to_text(F.regexp_replace(x, r"^[>\s]*[-*+]\s+", ""))))
+    return F.filter(items, lambda x: x != "")
 
 
 def to_text(md: Column) -> Column:

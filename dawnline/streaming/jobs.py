@@ -26,15 +26,33 @@ def recent(stream: DataFrame, at: str, now: str, days: int) -> DataFrame:
     return stream.withWatermark(at, f"{days} days").where(F.col(at) >= F.expr(f"timestamp '{now}' - interval {days} days"))
 
 
-def changed_rows(stream: DataFrame, key: str, order: list[str], watched: list[str]) -> DataFrame:
-    """Rows whose watched columns differ from the key's last row that did, numbered from 1; the state is that row."""
+def _idle_ms(idle: str) -> int:
+    number, unit = idle.split()
+    return int(float(number) * {"minute": 60, "hour": 3600, "day": 86400}[unit.removesuffix("s")] * 1000)
+
+
+def _last_ms(times: pd.Series, state) -> int:
+    """The last time, in ms, or the watermark if that is later."""
+    return max(int(times.max().timestamp() * 1000), state.getCurrentWatermarkMs())
+
+
+def changed_rows(stream: DataFrame, key: str, order: list[str], watched: list[str], idle: str = "45 days", late: str = "2 days") -> DataFrame:
+    """Rows whose watched columns differ from the key's last row that did, numbered from 1; the state is that row.
+
+    order begins with the event time. The state of a key is dropped once the watermark is the time idle beyond its last row;
+    if the key comes back, it begins anew.
+    """
     ready(stream.sparkSession)
     columns = [key, *order, *watched]
     fields = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
     schema = ", ".join(f"`{c}` {fields[c]}" for c in columns) + ", version int"
     state_schema = ", ".join(f"`{c}` {fields[c]}" for c in watched) + ", version int"
+    wait = _idle_ms(idle)
 
     def fold(_key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         *last, version = state.get if state.exists else (*[None] * len(watched), 0)
         last, rows = tuple(last), pd.concat(list(frames)).sort_values(order)
         kept, versions = [], []
@@ -44,35 +62,51 @@ def changed_rows(stream: DataFrame, key: str, order: list[str], watched: list[st
                 kept.append(i)
                 versions.append(version)
         state.update((*(x.item() if hasattr(x, "item") else x for x in last), version))
+        state.setTimeoutTimestamp(_last_ms(rows[order[0]], state) + wait)
         out = rows.iloc[kept][columns].copy()
         out["version"] = pd.Series(versions, index=out.index, dtype="int32")
         yield out
 
-    return stream.select(*columns).groupBy(key).applyInPandasWithState(fold, schema, state_schema, "append", "NoTimeout")
+    return stream.select(*columns).withWatermark(order[0], late).groupBy(key).applyInPandasWithState(fold, schema, state_schema, "append", "EventTimeTimeout")
+
 
+def followed(stream: DataFrame, key: str, action: str, order: list[str], idle: str = "365 days", late: str = "2 days") -> DataFrame:
+    """After each batch, for each key seen in it: followed, and the relevance that follows and unfollows add up to.
 
-def followed(stream: DataFrame, key: str, action: str, order: list[str]) -> DataFrame:
-    """After each batch, for each key seen in it: followed, and the relevance that follows and unfollows add up to."""
+    order begins with the event time. The state of a key is dropped once the watermark is the time idle beyond its last action.
+    """
     ready(stream.sparkSession)
+    wait = _idle_ms(idle)
 
     def fold(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         on, points = state.get if state.exists else (False, 0)
-        for what in pd.concat(list(frames)).sort_values(order)[action]:
+        rows = pd.concat(list(frames)).sort_values(order)
+        for what in rows[action]:
             if what == "follow":
                 on, points = True, points + 3
             elif what == "unfollow":
                 points -= 3 * on
                 on = False
         state.update((on, points))
+        state.setTimeoutTimestamp(_last_ms(rows[order[0]], state) + wait)
         yield pd.DataFrame({key: [k[0]], "followed": [on], "relevance_delta": [points]})
 
-    return stream.select(key, action, *order).groupBy(key).applyInPandasWithState(fold, f"`{key}` long, followed boolean, relevance_delta long", "followed boolean, relevance_delta long", "update", "NoTimeout")
+    schema = f"`{key}` long, followed boolean, relevance_delta long"
+    return stream.select(key, action, *order).withWatermark(order[0], late).groupBy(key).applyInPandasWithState(fold, schema, "followed boolean, relevance_delta long", "update", "EventTimeTimeout")
+
 
+def matched(stream: DataFrame, known: DataFrame, key: str, at: str, known_at: str, hours: int, late: str = "2 days") -> DataFrame:
+    """Rows of a stream with those of another one of their key from the hours before them.
 
-def matched(stream: DataFrame, known: DataFrame, key: str, at: str, known_at: str, hours: int) -> DataFrame:
-    """Rows with what is known of their key from the hours before them."""
-    held = known.select(F.col(key), F.col(known_at))
-    return stream.join(held, key).where((F.col(at) >= F.col(known_at)) & (F.col(at) <= F.col(known_at) + F.expr(f"interval {hours} hours")))
+    Both have a watermark, and the bound on their times tells Spark when a row can meet nothing any more and leaves the state.
+    """
+    left = stream.withWatermark(at, late).alias("l")
+    right = known.select(F.col(key).alias("_key"), F.col(known_at)).withWatermark(known_at, late).alias("r")
+    near = F.expr(f"l.`{at}` >= r.`{known_at}` and l.`{at}` <= r.`{known_at}` + interval {hours} hours")
+    return left.join(right, (F.col(f"l.{key}") == F.col("r._key")) & near).select("l.*", f"r.{known_at}")
 
 
 def drained(stream: DataFrame, mode: str) -> DataFrame:
