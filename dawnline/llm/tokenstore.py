@@ -95,8 +95,8 @@ def _open(path: str):
 class ShardWriter:
     """Writes one shard; keys must come in ascending order."""
 
-    def __init__(self, path: str, attempt: int):
-        self.path = path
+    def __init__(self, path: str, attempt: int, block_bytes: int = BLOCK_BYTES):
+        self.path, self.block_bytes = path, block_bytes
         self.files, self.final = _open(path)
         self.draft = f"{self.final}.draft-{attempt}"
         self.out = self.files.open_output_stream(self.draft)
@@ -117,7 +117,7 @@ class ShardWriter:
         self.last = key
         self.docs += 1
         self.ids += len(value) // 4
-        if len(self.block) >= BLOCK_BYTES:
+        if len(self.block) >= self.block_bytes:
             self._flush()
 
     def _flush(self) -> None:
@@ -269,7 +269,7 @@ def write_shards(df: DataFrame, tokenizer_path: str, end_id: int, root: str | No
                     done()
                     shard = None
                 if shard is None:
-                    shard = ShardWriter(f"{root}/shard-{task.partitionId():06d}-{n:04d}.sst", task.taskAttemptId())
+                    shard = ShardWriter(f"{root}/shard-{task.partitionId():06d}-{n:04d}.sst", task.taskAttemptId(), BLOCK_BYTES)
                     n += 1
                 shard.add(pack_key(*key, number), encode(text.as_py() or "") + end)
         if shard is not None:
