@@ -7,17 +7,20 @@ agree on a band share a bucket. Then, in two steps:
 
 1. In each bucket every node is paired with the smallest only (a star), so pairs grow with the rows and not with their
    squares. Pairs that the signatures don't rule out are confirmed on the full sets, and links are joined to components.
-2. What a star can miss is a link between nodes of one bucket that are in different components after step 1. All such
-   pairs are compared by signature, inside the tasks, in blocks of a bucket: the members outside its largest component
-   against every member. Only pairs within reach of the threshold are emitted, once each, and confirmed like the others.
+2. What a star can miss is a link between nodes of one bucket that are in different components after step 1. In a bucket
+   of at most BLOCK members all such pairs are compared by signature, inside the task. The members of larger buckets are
+   dealt anew, by the exact prefix filter: with a set's shingles in order from the rarest on, two sets within the threshold
+   share one of the first n - ceil(t * n) + 1 of each. Pages of one template, say, that share a bucket by their common
+   part have no rare shingle in common and don't meet again; what meets is compared like the rest, the members outside of
+   a group's largest component against every member, in blocks. Only pairs within reach of the threshold are confirmed.
 
 So within the buckets no link between components is lost; a pair at Jaccard 0.85 shares none of 16 buckets with a
-probability of 7e-6, one at 0.8 none of 24 with 3e-6, and signatures rule out pairs only at 4.5 standard errors below the threshold. A second filter is
-exact: each set also has a bitmap with one bit per hash; the common bits, and the hashes that share a bit within the set,
-bound the intersection from above.
+probability of 7e-6, one at 0.8 none of 24 with 3e-6, and signatures rule out pairs only at 4.5 standard errors below the
+threshold. A second filter is exact: each set also has a bitmap with one bit per hash; the common bits, and the hashes that
+share a bit within the set, bound the intersection from above.
 
 Defined results: a document without words has an empty set and is linked with nothing; one with fewer words than a
-shingle is the whole sequence as one shingle; a null identifier can't be named, so such rows are kept, with a null
+shingle is the whole sequence as one shingle; a very long text is one set of all its shingles, never cut; a null identifier can't be named, so such rows are kept, with a null
 component; rows with one identifier are one document of the graph; extra columns are ignored; an empty table gives no rows.
 """
 
@@ -171,12 +174,35 @@ def star_pairs(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(b, "b_key").join(a, "a").where(possible("n", "m", "x", "y", "p", "q")).select("a", "b", "a_key", "b_key")
 
 
-def rest_pairs(members: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """The pairs of one bucket in different components that the signatures allow, each once: a, b, a_key, b_key."""
-    labelled = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+def _mixed_buckets(labelled: DataFrame) -> DataFrame:
+    """The rows (bucket, doc_id, set_key, label) of buckets with several components, with size and largest, the biggest one's label."""
     by_label = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     mixed = by_label.groupBy("bucket").agg(F.count("*").alias("labels"), F.sum("n").alias("size"), F.max_by("label", F.struct("n", "label")).alias("largest")).where("labels > 1")
-    rows = labelled.join(mixed, "bucket")
+    return labelled.join(mixed.drop("labels"), "bucket")
+
+
+def _by_rare_shingle(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """rows (doc_id, set_key, label) under each shingle of their prefixes, rarest first, that another row has, too: bucket, doc_id, set_key, label."""
+
+    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            arrays = [np.frombuffer(h.as_py(), np.int64) for h in batch.column(1)]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["set_key", "items"])
+
+    held = sets.join(rows.select("set_key").distinct(), "set_key", "left_semi").mapInArrow(items, "set_key binary, items array<long>")
+    held = stored(rows.sparkSession, held, "items")
+    each = held.select("set_key", F.size("items").alias("n"), F.explode("items").alias("item"))
+    shared = each.groupBy("item").agg(F.count("*").alias("freq")).where("freq > 1")
+    # shingles that no other set has come first in every order; they need no rows, only their number
+    known = each.join(shared, "item").groupBy("set_key", "n").agg(F.array_sort(F.collect_list(F.struct("freq", "item"))).alias("common"))
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + 1 - (F.col("n") - F.size("common"))
+    first = known.where(prefix > 0).select("set_key", F.explode(F.slice("common", F.lit(1), prefix.cast("int"))["item"]).alias("bucket"))
+    return first.join(rows, "set_key").select("bucket", "doc_id", "set_key", "label")
+
+
+def _compared(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs of one bucket of mixed rows, in different components, that the signatures allow: a, b, a_key, b_key."""
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     columns = ["bucket", "doc_id", "label", "set_key", "largest"]
     held = rows.select(F.pmod(F.xxhash64("set_key", "doc_id"), blocks).cast("int").alias("block"), *columns, F.lit(False).alias("probe"))
@@ -189,8 +215,6 @@ def rest_pairs(members: DataFrame, nodes: DataFrame, labels: DataFrame, percent:
                 return None
             ids, label, n, largest = (group[c].to_numpy() for c in ("doc_id", "label", "n_shingles", "largest"))
             sig, bits = _rows(group["sig"]), _rows(group["bits"])
-            band = np.array(group["bands"].to_pylist(), dtype=np.int64)
-            bucket = group["bucket"][0].as_py()
             keys = group["set_key"].to_pylist()
             held, found = np.flatnonzero(~probe), []
             for i in np.flatnonzero(probe):
@@ -198,10 +222,7 @@ def rest_pairs(members: DataFrame, nodes: DataFrame, labels: DataFrame, percent:
                 js = js[(sig[js] == sig[i]).sum(axis=1) >= _reach(n[js], n[i], percent)]
                 if len(js):
                     js = js[_common(n[js], n[i], bits[js], bits[i], percent)]
-                if len(js):
-                    # of the buckets that both share, the first one tells of the pair
-                    first = band[i][(band[js] == band[i]).argmax(axis=1)]
-                    found += [(i, j) for j in js[first == bucket]]
+                found += [(i, j) for j in js]
             if not found:
                 return None
             ends = [(i, j) if ids[i] < ids[j] else (j, i) for i, j in found]
@@ -212,8 +233,21 @@ def rest_pairs(members: DataFrame, nodes: DataFrame, labels: DataFrame, percent:
             if (out := pairs(group)) is not None:
                 yield out
 
-    dealt = held.union(probes).join(nodes, ["set_key", "doc_id"]).repartition("bucket", "block").sortWithinPartitions("bucket", "block")
-    return dealt.mapInArrow(compare, "a long, b long, a_key binary, b_key binary").distinct()
+    wide = nodes.select("set_key", "doc_id", "n_shingles", "sig", "bits")
+    dealt = held.union(probes).join(wide, ["set_key", "doc_id"]).repartition("bucket", "block").sortWithinPartitions("bucket", "block")
+    return dealt.mapInArrow(compare, "a long, b long, a_key binary, b_key binary")
+
+
+def rest_pairs(members: DataFrame, nodes: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """The pairs of one bucket in different components that the signatures allow, each once: a, b, a_key, b_key."""
+    labelled = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", "set_key", F.coalesce("label", "doc_id").alias("label"))
+    mixed = stored(members.sparkSession, _mixed_buckets(labelled), "mixed")
+    large = mixed.where(F.col("size") > BLOCK).select("doc_id", "set_key", "label").distinct()
+    pairs = _compared(mixed.where(F.col("size") <= BLOCK), nodes, percent)
+    if not large.isEmpty():
+        large = stored(members.sparkSession, large, "large")
+        pairs = pairs.union(_compared(_mixed_buckets(_by_rare_shingle(large, sets, percent)), nodes, percent))
+    return pairs.distinct()
 
 
 def near_duplicates(df: DataFrame, k: int = 5, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", count: int = BANDS) -> DataFrame:
@@ -221,8 +255,8 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 85, id_col: str =
     spark = df.sparkSession
     rows = stored(spark, signed(df, k, id_col, text_col, count), "signed")
     known = rows.where("doc_id is not null and set_key is not null")
-    copies = known.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    reps = known.join(copies.withColumnRenamed("rep", "doc_id"), ["set_key", "doc_id"], "left_semi").dropDuplicates(["doc_id", "set_key"])
+    copies = known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    reps = known.join(copies.select("set_key", F.col("rep").alias("doc_id")), ["set_key", "doc_id"], "left_semi").dropDuplicates(["doc_id", "set_key"])
 
     buckets = reps.select("doc_id", "set_key", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("size"), F.min("doc_id").alias("hub")).where("size > 1").select("bucket", "hub")
@@ -237,11 +271,13 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 85, id_col: str =
 
     star = stored(spark, confirmed(star_pairs(members, nodes, percent), sets, percent), "links")
     labels = components(star)
-    rest = stored(spark, confirmed(rest_pairs(members, nodes, labels, percent), sets, percent), "links")
+    rest = stored(spark, confirmed(rest_pairs(members, nodes, sets, labels, percent), sets, percent), "links")
     if not rest.isEmpty():
         labels = components(star.union(rest))
 
-    named = copies.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("label", "rep").alias("component"))
+    # only texts with copies or links need a name; a table, so that the rows of a much copied text are dealt over many tasks
+    named = copies.join(labels.withColumnRenamed("node", "rep"), "rep", "left").where("copies > 1 or label is not null").select("set_key", F.coalesce("label", "rep").alias("component"))
+    named = stored(spark, named, "named")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     out = rows.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
