@@ -6,8 +6,10 @@ longest matches and steps back to shorter tokens wherever two neighbours could n
 Whether two tokens may stand side by side depends on the two alone and is memoised. A position that was given up is
 never tried again, so the work is linear in the length of the match.
 
-Defined results: null or empty text has no ids and decodes to no bytes; repeated rows and repeated ids are encoded
-one by one; rows and other columns pass unchanged. An existing column named like the output is replaced.
+Defined results: null or empty text has no ids and decodes to no bytes; a very long text is encoded whole, a match at a
+time, and what a worker remembers of matches is bounded by bytes, long ones not being kept; repeated rows and repeated ids
+are encoded one by one; an empty table gives no rows; rows and other columns pass unchanged, and an existing column named
+like the output is replaced.
 """
 
 from __future__ import annotations

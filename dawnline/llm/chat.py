@@ -8,7 +8,8 @@ parsing gives the exact texts back, and a loss mask of character spans over the
 A conversation is one value of the output, so the turns of one path are gathered in one task.
 
 Defined results: null text and null role are empty; turns with equal order are ordered by role and text; a null
-conversation id is a conversation of its own; repeated rows are repeated turns; extra columns are ignored; a message
+conversation id is a conversation of its own; a very long text is one turn, never cut; repeated rows are repeated turns; ties
+of branches go to the longer one, then to the smaller leaf; extra columns are ignored; a message
 whose parent is missing is a root; an empty table gives no rows.
 """
 

@@ -114,16 +114,15 @@ def _model(samples: tuple[tuple[str, str], ...]) -> Model:
 
 def fit_samples(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS, piece_chars: int = PIECE_CHARS) -> tuple[tuple[str, str], ...]:
     """(language, sample) pairs, ordered by language."""
-    key = F.col(key_col)
-    rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & key.isNotNull())
-    hashed = F.xxhash64(key, F.lit(7))
-    picked = rows.groupBy(F.col(lang_col).alias("_lang"), F.pmod(hashed, F.lit(sample_rows)).alias("_bucket")).agg(F.min_by(key, hashed).alias("_key"))
-    picked = F.broadcast(picked.select("_lang", "_key"))  # sample_rows keys of each language
-    texts = rows.join(picked, (key == F.col("_key")) & (F.col(lang_col) == F.col("_lang")), "left_semi")
-    places = F.greatest(F.lit(1), F.ceil(F.length(text_col) / piece_chars))
-    piece = F.substring(F.col(text_col), (F.pmod(F.xxhash64(key, F.lit(8)), places) * piece_chars + 1).cast("int"), F.lit(piece_chars))
+    rows = labelled.select(F.col(key_col).alias("key"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("key is not null and lang is not null and text is not null")
+    hashed = F.xxhash64("key", F.lit(7))
+    picked = rows.groupBy("lang", F.pmod(hashed, F.lit(sample_rows)).alias("bucket")).agg(F.min_by("key", hashed).alias("key"))
+    picked = F.broadcast(picked.select("lang", "key"))  # sample_rows keys of each language
+    places = F.greatest(F.lit(1), F.ceil(F.length("text") / piece_chars))
+    piece = F.substring(F.col("text"), (F.pmod(F.xxhash64("key", F.lit(8)), places) * piece_chars + 1).cast("int"), F.lit(piece_chars))
     # rows that share a key give one piece
-    found = sorted(map(tuple, texts.groupBy(F.col(lang_col), hashed).agg(F.min(piece)).collect()))
+    texts = rows.join(picked, ["lang", "key"], "left_semi").groupBy("lang", hashed.alias("hash")).agg(F.min(piece).alias("piece"))
+    found = sorted(map(tuple, texts.collect()))
     samples = ((lang, _BETWEEN.join(letters(t) for _, _, t in group)) for lang, group in groupby(found, key=lambda r: r[0]))
     return tuple((lang, text) for lang, text in samples if text.strip())
 

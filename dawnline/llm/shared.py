@@ -10,9 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from dawnline.workspace import ready, shared_path, stored
+from dawnline.workspace import ready, scratch, shared_path, stored
 
-__all__ = ["Memo", "grouped", "held", "ready", "shared_path", "stored", "unused"]
+__all__ = ["Memo", "grouped", "held", "ready", "scratch", "shared_path", "stored", "unused"]
 
 #: What a per-worker cache holds before it starts anew, and the largest entry that it keeps; results depend on neither.
 CACHE_BYTES, ENTRY_BYTES, SLOT_BYTES = 64 << 20, 2 << 10, 104

@@ -6,8 +6,9 @@ token: the one that begins where a prefix ends whose own last token may stand be
 gives the exact token count of every prefix in one pass; truncation and budget questions are answered from the counts,
 without encoding anything again. A character outside the vocabulary counts as its UTF-8 bytes (byte fallback).
 
-Defined results: null or empty text has 0 tokens; repeated rows are counted one by one; other columns pass unchanged
-and an existing column named like the output is replaced.
+Defined results: null or empty text has 0 tokens; a very long text is counted whole, a segment at a time, and what a worker
+remembers of segments is bounded by bytes, long ones not being kept; repeated rows are counted one by one; an empty table
+gives no rows; other columns pass unchanged and an existing column named like the output is replaced.
 """
 
 from __future__ import annotations

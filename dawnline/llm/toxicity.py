@@ -6,11 +6,13 @@ words, how near they are to second-person words, and the rates of capitals, punc
 mixed with digits or symbols). Two fifths of the labelled rows name the lexicon, two fifths fit the trees, and on the last
 fifth an isotonic regression turns the trees' score into the share of toxic rows.
 
-Fitting uses a sample of at most about max_rows labelled rows of each label, picked by hash.
+Fitting uses a sample of at most about max_rows labelled rows of each label, picked by hash, and the lexicon holds the
+MAX_LEXICON terms of highest odds at most: both bound what a model is, and what is sent to the tasks.
 
-Defined results: null or empty text gets the features of no words, and a score like any other; without labelled rows of
-both labels every score is the share of toxic ones (0 with none); repeated rows are scored one by one; an existing column
-named like an output is replaced; extra columns pass unchanged.
+Defined results: null or empty text gets the features of no words, and a score like any other; a very long text is read
+whole; without labelled rows of both labels every score is the share of toxic ones (0 with none, as with an empty table);
+several labels of one key each count as a row; repeated rows are scored one by one; an empty table gives no rows; an
+existing column named like an output is replaced; extra columns pass unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dawnline.llm.shared import Memo, held, ready, stored
+from dawnline.llm.shared import Memo, held, ready, stored, unused
 
 MAX_ROWS, MAX_LEXICON = 6_000, 4_000
 STEMS = (4, 5, 6, 7, 8)
@@ -115,7 +117,8 @@ def features(text: Column | str, lexicon: Lexicon) -> Column:
 
 
 def learn_lexicon(labelled: DataFrame, text_col: str, label_col: str, added: dict[str, float] | None = None) -> Lexicon:
-    """At most MAX_LEXICON words and beginnings, by log odds of their document frequencies in toxic and other rows."""
+    """At most MAX_LEXICON words and beginnings, by log odds of their counts, TERM_CAP a text at most, in toxic and other rows."""
+
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(y, term, n) of each text, a few texts at a time."""
         for batch in batches:
@@ -189,8 +192,8 @@ def scored(df: DataFrame, scorer: Scorer, text_col: str = "text", score_col: str
     ready(df.sparkSession)
     if scorer.trees is None:
         return df.withColumn(score_col, F.lit(scorer.share))
-    # its inputs go by names that no column has
-    names = {n: f"_{n}_{abs(hash(tuple(df.columns))) % 10**6}" for n in ("features", "raw", "probability", "prediction", "p", "score")}
+    kinds = ("features", "raw", "probability", "prediction", "p", "score")
+    names = dict(zip(kinds, unused(df, *kinds), strict=True))
     trees = scorer.trees.copy()
     trees.setFeaturesCol(names["features"]).setRawPredictionCol(names["raw"]).setProbabilityCol(names["probability"]).setPredictionCol(names["prediction"])
     out = trees.transform(df.withColumn(names["features"], array_to_vector(features(F.col(text_col), scorer.lexicon))))
