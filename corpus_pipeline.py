@@ -1,8 +1,10 @@
 """Five stages from raw documents to token ids: language, toxicity, near-duplicates, benchmark items, byte-level BPE.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before has kept; its result is written as Parquet
-and read again as the next one's docs. Filtering stages return the columns of their input. Rows that share a doc_id are
-one document and stay or go together; rows without one can't be named by a near-duplicate group and stay.
+and read again as the next one's docs, and what a stage has kept beside it is deleted. Filtering stages return the columns
+of their input, whatever their names. Rows that share a doc_id are one document to the near-duplicate stage and stay or go
+together; rows without one can't be named by a group and stay. A null, empty or letterless text has no language and goes at
+the first stage; very long texts pass through every stage whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from dawnline.llm import bpe, decontaminate, langid, neardup, toxicity
 from dawnline.llm.queries import BYTE_BPE, in_fold, table
-from dawnline.llm.shared import shared_path
+from dawnline.llm.shared import scratch, shared_path, stored, unused
 
 TOXIC_FROM = 0.7
 DUPLICATE_PERCENT, DUPLICATE_BANDS = 80, 24
@@ -22,27 +24,32 @@ DUPLICATE_PERCENT, DUPLICATE_BANDS = 80, 24
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no language is found (no text or no letter) go."""
     samples = langid.fit_samples(docs.where(~in_fold("doc_id", 4, 2)))
-    found = langid.with_language(docs, samples, out="_language")
-    return found.where(F.col("_language.lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    out = unused(docs, "language")[0]
+    found = langid.with_language(docs, samples, out=out)
+    return found.where(F.col(out)["lang_pred"] != langid.UNKNOWN).select(*docs.columns)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score TOXIC_FROM or more go."""
     labels = table(spark, sf_dir, "labels").where(~in_fold("doc_id", 3, 1)).select("doc_id", "toxic")
     scorer = toxicity.fit(docs, labels, "doc_id", "text", "toxic")
-    return toxicity.scored(docs, scorer, score_col="_toxicity").where(F.col("_toxicity") < TOXIC_FROM).select(*docs.columns)
+    out = unused(docs, "toxicity")[0]
+    return toxicity.scored(docs, scorer, score_col=out).where(F.col(out) < TOXIC_FROM).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document of the smallest doc_id stays."""
     gone = neardup.near_duplicates(docs.select("doc_id", "text"), k=5, percent=DUPLICATE_PERCENT, count=DUPLICATE_BANDS).where("not kept").select("doc_id")
+    # as a table, whose size Spark knows: a short one is sent to the texts, and only a long one is worth a shuffle of them
+    gone = stored(spark, gone, "gone")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a test item go."""
     index = decontaminate.build_index(table(spark, sf_dir, "benchmark"))
-    return decontaminate.with_items(docs, index, out="_items").where(F.size("_items") == 0).select(*docs.columns)
+    out = unused(docs, "items")[0]
+    return decontaminate.with_items(docs, index, out=out).where(F.size(out) == 0).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,6 +67,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = shared_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
