@@ -193,6 +193,11 @@ def test_toxicity(spark):
     out = toxicity.scored(texts(spark, ["w1x w2x idiot you w3x", "w1x w2x w3x", None, "", "w1x w2x idiot you w3x"]), scorer, score_col="score").orderBy("doc_id").collect()
     assert out[0]["score"] > 0.7 > out[1]["score"] and out[0]["score"] == out[4]["score"] and out[0]["prediction"] == "keep"
     assert all(0 <= r["score"] <= 1 for r in out)
+    assert toxicity.scored(texts(spark, ["a"]).limit(0), scorer).count() == 0
+    clashing = texts(spark, ["w1x idiot you"]).withColumns({c: F.lit(c) for c in ("_features", "_raw", "features", "_p", "_score")})
+    assert toxicity.scored(clashing, scorer).first()["_p"] == "_p"
+    twice = toxicity.fit(df.select("doc_id", "text").union(df.select("doc_id", "text").limit(9)), df.select("doc_id", "toxic").union(df.select("doc_id", "toxic").limit(9)), "doc_id", "text", "toxic")
+    assert toxicity.scored(texts(spark, ["w1x w2x idiot you w3x"]), twice).first()["toxicity"] > 0.7
     none = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic").limit(0), "doc_id", "text", "toxic")
     assert {r["toxicity"] for r in toxicity.scored(texts(spark, ["a", None]), none).collect()} == {0.0}
 
@@ -233,6 +238,30 @@ def test_near_duplicates(spark, monkeypatch):
     assert (null["component_id"], null["kept"]) == (None, True)
 
 
+@pytest.mark.parametrize("block", [8, 4096])
+def test_near_duplicates_of_a_template(spark, monkeypatch, block):
+    """Thousands of pages that share most bins by their common part and have no link, among them a few true pairs; in large buckets and in small ones."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    shared = " ".join(f"common{i}" for i in range(60))
+    rng = random.Random(16)
+    pages = [f"{shared} " + " ".join(f"p{i}x{j}" for j in range(60)) for i in range(1500)]
+    sets = []
+    for i in range(0, 300, 10):  # copies of pages with a changed word at the end of their own part, or two
+        words = pages[i].split()
+        for at in rng.sample(range(100, 120), 1 + i % 20 // 10):
+            words[at] = f"z{at}"
+        pages.append(" ".join(words))
+    for page in pages:
+        w = page.split()
+        sets.append({tuple(w[j : j + 5]) for j in range(len(w) - 4)})
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(texts(spark, pages)).collect()}
+    for i, page in enumerate(pages):
+        twin = (i - 1500) * 10
+        linked = i >= 1500 and 100 * len(sets[i] & sets[twin]) >= 85 * len(sets[i] | sets[twin])
+        assert got[i] == (twin if linked else i)
+    assert sum(d != c for d, c in got.items()) >= 15
+
+
 def test_decontamination(spark):
     rng = random.Random(8)
     words = ["the", "of", "in"] * 20 + [f"w{i}" for i in range(300)]

@@ -1,12 +1,15 @@
 """The pipeline against a brute-force version of its decisions, and the registration of its queries."""
 
+import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
 from dawnline.llm import queries
+from dawnline.llm.shared import scratch, stored
 
 
 def test_registered():
@@ -54,6 +57,29 @@ def test_stages_return_the_columns_of_documents(spark, corpus):
         assert stage(spark, docs, corpus[0]).columns == docs.columns
 
 
+def test_stages_take_empty_tables_and_clashing_columns(spark, corpus):
+    """No rows, and columns named like what the stages use inside; then null, empty and letterless texts and repeated rows."""
+    docs = spark.read.parquet(f"{corpus[0]}/documents.parquet")
+    more = docs.where("doc_id in (1, 2, 7)").unionByName(docs.where("doc_id = 2")).unionByName(docs.where("doc_id >= 2000"))
+    for name in ("language", "_language", "toxicity", "_toxicity", "items", "_items", "features", "_bucket", "_key", "found", "kept", "component_id"):
+        more = more.withColumn(name, F.lit(name))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), corpus[0]).count() == 0
+        kept = stage(spark, more, corpus[0])
+        assert kept.columns == more.columns and {r["_items"] for r in kept.collect()} <= {"_items"}
+    assert corpus_pipeline.encode(spark, docs.limit(0), corpus[0]).count() == 0
+    odd = more.where("doc_id >= 2000")
+    assert corpus_pipeline.language(spark, odd, corpus[0]).count() == 0 and corpus_pipeline.near_duplicates(spark, odd, corpus[0]).count() == 2
+
+
+def test_stages_leave_no_tables_behind(spark, tmp_path):
+    rows = spark.range(3).select("id")
+    with scratch(spark):
+        assert stored(spark, rows, "left").count() == 3
+        path = stored(spark, rows, "left").inputFiles()[0].rsplit("/", 1)[0]
+    assert not os.path.exists(path.removeprefix("file:").replace("///", "/"))
+
+
 def test_near_duplicates_at_four_fifths(spark):
     """Of 94 distinct words, two changed ones leave 80 of 100 shingles; of 93, 79 of 99."""
     rows = []
