@@ -178,7 +178,8 @@ def _mixed_buckets(labelled: DataFrame) -> DataFrame:
     """The rows (bucket, doc_id, set_key, label) of buckets with several components, with size and largest, the biggest one's label."""
     by_label = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     mixed = by_label.groupBy("bucket").agg(F.count("*").alias("labels"), F.sum("n").alias("size"), F.max_by("label", F.struct("n", "label")).alias("largest")).where("labels > 1")
-    return labelled.join(mixed.drop("labels"), "bucket")
+    # a table, so that the members of a hot bucket are dealt over many tasks
+    return labelled.join(stored(labelled.sparkSession, mixed.drop("labels"), "sizes"), "bucket")
 
 
 def _by_rare_shingle(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -260,6 +261,8 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 85, id_col: str =
 
     buckets = reps.select("doc_id", "set_key", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("size"), F.min("doc_id").alias("hub")).where("size > 1").select("bucket", "hub")
+    # tables of their own before they meet the members again, so that those of a hot bucket are dealt over many tasks
+    shared = stored(spark, shared, "hubs")
     members = stored(spark, buckets.join(shared, "bucket"), "members")
     # what is wide is kept once a node, and joined to pairs and blocks when it is needed
     nodes = stored(spark, reps.join(members.select("set_key", "doc_id").distinct().hint("merge"), ["set_key", "doc_id"], "left_semi"), "nodes")
