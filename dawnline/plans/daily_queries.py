@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from dawnline.functions import text, urls
 from dawnline.operators import daily, generated, ranking
 from dawnline.plans.tables import Registry, table
-from dawnline.plans.text_queries import SQL_TITLE, first_line, sql_fold
+from dawnline.plans.text_queries import SQL_ISSUE, SQL_PADDED, SQL_SCOPE, SQL_TITLE, first_line, sql_fold
 from dawnline.sources import feeds, html, markdown
 from dawnline.streaming import jobs
 from dawnline.workspace import stored
@@ -162,10 +162,16 @@ def io1_feed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "source", F.col("at").alias("published"))
 
 
-@R.query()
+_ROUTED = "coalesce(text,'') || case doc_id%5 when 0 then ' Intune fails' when 1 then ' sccm' else '' end"
+
+
+@R.query(f"with t as (select doc_id, ['community','press','news','blogs'][doc_id%4+1] as m, {SQL_PADDED.format(x=sql_fold(_ROUTED))} as t from documents), k as (select doc_id, case when m in ('community','press') then case when not regexp_matches(t, '{SQL_SCOPE}') then null when regexp_matches(t, '{SQL_ISSUE}') then 'field_report' else 'article' end when m='news' then 'article' else 'content' end as kind from t) select * from k where kind is not null")
 def p3_feed_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as feed items of four modules; every fifth names the scope and fails, every fifth only names it."""
     module = F.element_at(F.array(F.lit("community"), F.lit("press"), F.lit("news"), F.lit("blogs")), (F.col("doc_id") % 4 + 1).cast("int"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", feeds.routed(module, F.coalesce("text", F.lit("")), keep_articles=True).alias("kind"))
+    n = F.col("doc_id") % 5
+    told = F.concat(F.coalesce("text", F.lit("")), F.when(n == 0, " Intune fails").when(n == 1, " sccm").otherwise(""))
+    rows = table(spark, sf_dir, "documents").select("doc_id", feeds.routed(module, told, keep_articles=True).alias("kind"))
     return rows.where("kind is not null")
 
 

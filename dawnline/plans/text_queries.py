@@ -121,7 +121,7 @@ def t14_fix_kbs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("f.full").alias("full_kbs"), F.col("f.partial").alias("partial_kbs"))
 
 
-_PAD = r"' ' || regexp_replace({x}, '\s+', ' ', 'g') || ' '"
+SQL_PADDED = r"' ' || regexp_replace({x}, '\s+', ' ', 'g') || ' '"
 
 
 def _sql_tag(keys: list[str]) -> str:
@@ -135,7 +135,7 @@ def _sql_tag(keys: list[str]) -> str:
 
 _NEGATED = fixed.NEGATED.replace("'", "''")
 _TAGS = (
-    rf"with s as (select doc_id, array_to_string(list_filter(string_split(regexp_replace(coalesce(text,''), '([.!?])\s+|\n+', '\1' || chr(1), 'g'), chr(1)), lambda x: not regexp_matches(x, '{_NEGATED}')), ' ') as t from documents), p as (select doc_id, {_PAD.format(x=sql_fold('t'))} as t from s) select doc_id, list_filter(["
+    rf"with s as (select doc_id, array_to_string(list_filter(string_split(regexp_replace(coalesce(text,''), '([.!?])\s+|\n+', '\1' || chr(1), 'g'), chr(1)), lambda x: not regexp_matches(x, '{_NEGATED}')), ' ') as t from documents), p as (select doc_id, {SQL_PADDED.format(x=sql_fold('t'))} as t from s) select doc_id, list_filter(["
     + ",".join(f"case when regexp_matches(t, '{_sql_tag(keys)}') then '{tag}' end" for tag, keys in fixed.SYMPTOM_TAGS.items())
     + "], lambda x: x is not null) as tags from p"
 )
@@ -146,14 +146,14 @@ def t16_t17_symptom_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.symptom_tags("text").alias("tags"))
 
 
-_ISSUE = "|".join(fixed.ISSUE_WORDS).replace("'", "''")
-_SCOPE = "|".join(fixed.SCOPE_WORDS)
+SQL_ISSUE = "|".join(fixed.ISSUE_WORDS).replace("'", "''")
+SQL_SCOPE = "|".join(fixed.SCOPE_WORDS)
 
 
 _SCOPED = "coalesce(text,'') || case doc_id%5 when 0 then ' Intune fails' when 1 then ' sccm' else '' end"
 
 
-@R.query(f"select doc_id, regexp_matches(t, '{_ISSUE}') as issue, regexp_matches(t, '{_SCOPE}') as scope from (select doc_id, {_PAD.format(x=sql_fold(_SCOPED))} as t from documents)")
+@R.query(f"select doc_id, regexp_matches(t, '{SQL_ISSUE}') as issue, regexp_matches(t, '{SQL_SCOPE}') as scope from (select doc_id, {SQL_PADDED.format(x=sql_fold(_SCOPED))} as t from documents)")
 def t20_issue_and_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents after which every fifth names the scope and fails, and every fifth only names it."""
     n = F.col("doc_id") % 5
