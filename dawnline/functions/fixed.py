@@ -192,3 +192,7 @@ WORKAROUND = r"(?is)workaround:?\s*(.*?)(?=\n\s*(?:next steps|resolution):|$)"
 #: The fields whose change means something, and the two kinds of advice in generated texts.
 SEMANTIC_FIELDS = ["status", "originating_kbs", "resolving_kbs", "partial_fix_kbs", "products", "tags", "kir", "stage", "change_kind", "platforms", "release_type", "builds", "versions", "support_end", "hotfix_type", "admin_action"]
 FROM_SOURCE, INFERRED = "kaynak", "ai_cikarim"
+
+#: Codes of places that are the seat of an administration, and the endings of districts' and provinces' names.
+SEAT_CODES = ["PPLC", "PPLA", "PPLA2"]
+DISTRICT_ENDING = r"\s+(?:İlçesi|ilçesi|İli|ili)$"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dawnline.functions import fixed, text
 from dawnline.operators.ordered import with_previous
 
 
@@ -57,6 +58,16 @@ def bundle(evidence: DataFrame, event: str, official: str, order: str, title: st
     return few.groupBy(event).agg(F.array_join(parts["part"], "\n\n").alias("prompt"), F.count("*").alias("sources"))
 
 
-def place_rank(name: Column, wanted: str) -> Column:
-    """1 for the name itself, 2 where it begins, 3 where it is contained; null otherwise."""
-    return F.when(name == wanted, 1).when(name.startswith(wanted), 2).when(F.contains(name, F.lit(wanted)), 3)
+def ranked_places(places: DataFrame, position: str, name: str, where: str = "", count: int = 10) -> DataFrame:
+    """The first places by a name: those so called first, then seats of an administration, then as they were listed.
+
+    places: position, name, admin1, admin2, country, feature_code. where keeps places of which a part of an administration or
+    the country is so called. Names are compared folded. The few that a reader is shown come from a take-ordered plan.
+    """
+    folded = text.fold("name")
+    if where:
+        within = [F.contains(text.fold(c), text.fold(F.lit(where))) for c in ("admin1", "admin2", "country")]
+        places = places.where(within[0] | within[1] | within[2])
+    district = text.fold(F.regexp_replace(F.coalesce("admin2", F.lit("")), fixed.DISTRICT_ENDING, ""))
+    seat = F.coalesce(F.col("feature_code").isin(fixed.SEAT_CODES), F.lit(False)) | (folded == district)
+    return places.withColumns({"exact": folded == text.fold(F.lit(name)), "seat": seat}).orderBy(F.desc("exact"), F.desc("seat"), position).limit(count)

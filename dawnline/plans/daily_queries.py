@@ -98,6 +98,19 @@ def io4_mapped_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "k", F.coalesce("none", "k").alias("first"))
 
 
+@R.query("select event_id, case when event_id%2=0 then 'USDTRY' else 'GRAM24' end as item, round(value,2) as buying, case when event_id%3=0 then null else round(value,2)+1000 end as selling, '2024-01-'||cast(10+event_id%9 as varchar) as data_time from events where event_id%4<>3")
+def io4_mapped_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values as payloads that a mapping of paths reads; some have one price, and every fourth has none."""
+    n, v = F.col("event_id"), F.round("value", 2)
+    turkish = lambda c: F.concat(F.lit('"'), F.translate(F.format_number(c, 2), ",.", ".,"), F.lit('"'))
+    row = F.concat(F.lit('{"b": '), turkish(v), F.when(n % 3 == 0, "").otherwise(F.concat(F.lit(', "s": '), turkish(v + 1000))), F.lit("}"))
+    where = F.when(n % 4 == 3, "x").when(n % 2 == 0, "usd").otherwise("gold")
+    payload = F.concat(F.lit('{"at": ["2024-01-'), (F.lit(10) + n % 9).cast("string"), F.lit('"], "'), where, F.lit('": [{}, '), row, F.lit("]}"))
+    mapping = {"USDTRY": {"buy": "usd.1.b", "sell": "usd.1.s"}, "GRAM24": {"buy": "gold.1.b", "sell": "gold.1.s"}}
+    rows = table(spark, sf_dir, "events").select("event_id", feeds.mapped_quotes(payload, mapping, "at.0").alias("r"))
+    return rows.select("event_id", "r.data_time", F.explode("r.quotes").alias("q")).select("event_id", "q.item", F.round("q.buying", 9).alias("buying"), F.round("q.selling", 9).alias("selling"), "data_time")
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("v", F.round("value", 2))
 
@@ -205,10 +218,20 @@ def j17_day_agenda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily.overlapping(events, days, "ts", "till", "day").select("event_id", "day")
 
 
-@R.query("with r as (select c_custkey, case when lower(c_name)='customer#000000012' then 1 when lower(c_name) like 'customer#00000001%' then 2 end as rank from customer) select * from r where rank is not null".replace("'customer#00000001%'", "'customer#000000012%'"))
+_PLACE, _DISTRICT, _CODE = "['Kadıköy','KADIKÖY','Kadıköy Merkez'][c_custkey%3+1]", "['Kadıköy İlçesi','Üsküdar','Kadıköy Merkez ilçesi'][c_custkey%5%3+1]", "['PPL','PPLA2','PPLX',null][c_custkey%4+1]"
+
+
+@R.query(f"with p as (select c_custkey, {_PLACE} as name, n_name as admin1, regexp_replace({_DISTRICT}, '\\s+(?:İlçesi|ilçesi|İli|ili)$', '') as d, {_CODE} as code from customer join nation on n_nationkey=c_nationkey), r as (select c_custkey, {sql_fold('name')}='kadikoy' as exact, coalesce(code in ('PPLC','PPLA','PPLA2'), false) or {sql_fold('name')}={sql_fold('d')} as seat from p where contains({sql_fold('admin1')}, 'n')) select * from r order by exact desc, seat desc, c_custkey limit 40")
 def j16_place_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rank = daily.place_rank(F.lower("c_name"), "customer#000000012")
-    return table(spark, sf_dir, "customer").select("c_custkey", rank.alias("rank")).where("rank is not null")
+    """Customers as places of their nations, by name; the list that a reader chooses from."""
+    n = F.col("c_custkey")
+    pick = lambda values, i: F.element_at(F.array(*map(F.lit, values)), (i + 1).cast("int"))
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("admin1"))
+    places = table(spark, sf_dir, "customer").join(nations, "c_nationkey").select(
+        "c_custkey", pick(["Kadıköy", "KADIKÖY", "Kadıköy Merkez"], n % 3).alias("name"), "admin1", pick(["Kadıköy İlçesi", "Üsküdar", "Kadıköy Merkez ilçesi"], n % 5 % 3).alias("admin2"),
+        F.lit(None).cast("string").alias("country"), pick(["PPL", "PPLA2", "PPLX", None], n % 4).alias("feature_code"),
+    )
+    return daily.ranked_places(places, "c_custkey", "Kadıköy", "N", 40).select("c_custkey", "exact", "seat")
 
 
 def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:

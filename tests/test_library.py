@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from dawnline.operators import changes, folding, fusion, linking, similarity
+from dawnline.operators import changes, folding, linking, ordered, similarity, tables
 from dawnline.operators.graph import components
 from dawnline.sources import feeds, html, markdown
 
@@ -90,6 +90,42 @@ def test_versions_compare_with_the_last_version(spark):
     assert folding.emitted(history.limit(0), "k", ["t"], ["kind", "x"], lambda a, b: a != b).count() == 0
 
 
+def test_places_and_predecessors_over_ranges(spark):
+    """Against sorted lists, with parts that go over several ranges."""
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b", None]), rng.randrange(50), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "part string, at long, id long").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    order = [F.col("at"), F.col("id")]
+    placed = {r["id"]: r["place"] for r in ordered.placed(df, ["part"], order).collect()}
+    before = {r["id"]: (r["previous_at"], r["previous_id"]) for r in ordered.with_previous(df, ["part"], order, ["at", "id"]).collect()}
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for part in ("a", "b", None):
+        mine = sorted((at, i) for p, at, i in rows if p == part)
+        assert [placed[i] for _, i in mine] == list(range(1, len(mine) + 1))
+        assert [before[i] for _, i in mine] == [(None, None), *mine[:-1]]
+
+
+def test_current_state_survives_a_half_written_version(spark, tmp_path):
+    state = tables.CurrentState(spark, f"file://{tmp_path}/s", ["k"], ["v"])
+    batch = lambda *rows: spark.createDataFrame([(k, v, i) for i, (k, v) in enumerate(rows)], "k long, v string, n long")
+    assert state.read() is None
+    state.upsert(batch((1, "a"), (2, "b"), (1, "late")), [F.col("n")])
+    spark.range(3).write.parquet(f"file://{tmp_path}/s/state-000002")  # a job that died before its version was listed
+    assert {(r["k"], r["v"]) for r in state.read().collect()} == {(1, "a"), (2, "b")}
+    assert {r["k"]: r["change"] for r in state.upsert(batch((2, "c"), (3, "d")), [F.col("n")]).collect()} == {1: "absent", 2: "changed", 3: "inserted"}
+    assert {(r["k"], r["v"]) for r in state.read().collect()} == {(1, "a"), (2, "c"), (3, "d")}
+
+
+def test_half_written_slots_are_written_again(spark, tmp_path):
+    root = f"file://{tmp_path}/b"
+    rows = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y")], "id long, slot string")
+    rows.where("id = 1").write.partitionBy("slot").parquet(f"{root}/rows")  # part of a slot, not listed as done
+    for _ in range(2):
+        tables.write_slots(rows, root, "slot")
+    assert sorted((r["id"], r["slot"]) for r in spark.read.parquet(f"{root}/rows").collect()) == [(1, "x"), (2, "x"), (3, "y")]
+
+
 def issues(spark, rows, **given):
     """Records or events of (id, title words, tags, kbs) with what is given for all, at one time."""
     names = {"official": False, "health": False, "article": False, "confirmed": False, "fix_kbs": [], "official_titles": []} | given
