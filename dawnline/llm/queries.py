@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dawnline.llm import ann, bpe, chat, decontaminate, langid, neardup, tokencount, tokenstore, toxicity, urlfilter
+from dawnline.llm import ann, audit, bpe, chat, decontaminate, langid, neardup, simhash, spelling, tokencount, tokenstore, toxicity, urlfilter
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -95,5 +95,84 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_language_id, op3_decontaminate, op4_toxicity, op5_url_filter, op6_token_counts, op7_nearest, op8_chat, op9_minhash, op10_token_store)}
-ORACLE_SQL: dict[str, str] = {}
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), "component_id", "kept")
+
+
+#: Failure conditions by letter, over the facts of a document.
+AUDIT_FILTERS = {"A": "words < 200", "B": "100 * distinct_words < 50 * words", "C": "100 * capitals > 3 * points", "D": "marks > 0", "E": "repeats"}
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    masks = audit.document_masks(docs, table(spark, sf_dir, "labels"), AUDIT_FILTERS)
+    return audit.audited(masks, "".join(AUDIT_FILTERS), ["good", "toxic"])
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = spelling.word_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), change=spelling.noisy)
+    return spelling.grouped_variants(counts).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+OPERATORS = (op1_byte_bpe, op2_language_id, op3_decontaminate, op4_toxicity, op5_url_filter, op6_token_counts, op7_nearest, op8_chat, op9_minhash, op10_token_store, op11_simhash, op12_filter_audit, op13_spelling)
+QUERIES = {f.__name__: f for f in OPERATORS}
+ORACLE_SQL: dict[str, str] = {
+    "op12_filter_audit": r"""
+with repeats as (select doc_id, coalesce(lang, '') part, coalesce(text, '') t, min(doc_id) over (partition by coalesce(text, '')) first_id from documents),
+words as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') w from repeats),
+failed as (
+  select doc_id, part,
+    case when len(w) < 200 then 'A' else '' end || case when 100 * len(list_distinct(w)) < 50 * len(w) then 'B' else '' end
+    || case when 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t) then 'C' else '' end
+    || case when regexp_matches(t, '[#$%&*|]') then 'D' else '' end || case when doc_id > first_id then 'E' else '' end f
+  from words),
+marks as (select doc_id, max(quality) = 1 good, max(toxic) = 1 toxic from labels group by doc_id),
+counts as (
+  select part, f, count(*) n, count(*) filter (where good) good, count(*) filter (where toxic) toxic
+  from failed left join marks using (doc_id) group by part, f),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) l),
+orders as (
+  select a.l || b.l || c.l || d.l || e.l o
+  from letters a join letters b on b.l <> a.l join letters c on c.l not in (a.l, b.l) join letters d on d.l not in (a.l, b.l, c.l)
+  join letters e on e.l not in (a.l, b.l, c.l, d.l)),
+steps as (select o, s, substr(o, s, 1) x, substr(o, 1, s - 1) earlier from orders, (select unnest([1, 2, 3, 4, 5]) s)),
+met as (
+  select part, o, s, x, n, good, toxic, contains(f, x) fails, f = x alone, length(earlier) > 0 and translate(f, earlier, '') <> f gone
+  from counts, steps),
+told as (
+  select part, o, s, x, sum(n) filter (where not fails and not gone) kept, sum(n) filter (where fails and not gone) removed,
+    sum(n) filter (where fails and gone) redundant, sum(n) filter (where alone) unique_fails,
+    sum(good) filter (where fails and not gone) good_lost, sum(toxic) filter (where fails and not gone) toxic_lost
+  from met group by part, o, s, x)
+select part, o filter_order, s step, coalesce(kept, 0)::bigint kept, coalesce(removed, 0)::bigint removed, coalesce(redundant, 0)::bigint redundant,
+  coalesce(unique_fails, 0)::bigint unique_fails, coalesce(good_lost, 0)::bigint good_lost, coalesce(toxic_lost, 0)::bigint toxic_lost,
+  coalesce(sum(removed) over (partition by part, x), 0)::bigint shapley
+from told""",
+    "op13_spelling": r"""
+with recursive tab as (
+  select list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) t),
+runs as (
+  select doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') run, count(*) c
+  from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) run from documents) where length(run) >= 7 group by 1, 2),
+bytes as (select run, c, hex(encode(coalesce(doc_id::varchar, '') || ':' || run)) x from runs),
+hashed as (
+  select run, c, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::bigint)),
+    lambda h, b: xor(h >> 8, t[(xor(h, b) & 255) + 1])), 4294967295) h
+  from bytes, tab),
+results as (select case when h % 31 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end word, c from hashed),
+words as (select word, sum(c)::bigint n from results where length(word) >= 7 group by word having sum(c) >= 2),
+cut as (select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) rest from (select word, n, unnest(range(1, length(word) + 1)) i from words)),
+near as (
+  select a.word, a.n, b.word other, b.n other_n from cut a join cut b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+  union select a.word, a.n, b.word, b.n from cut a join words b on a.rest = b.word
+  union select b.word, b.n, a.word, a.n from cut a join words b on a.rest = b.word),
+ranked as (select *, count(*) over (partition by word) n_near, row_number() over (partition by word order by other_n desc, encode(other)) place from near),
+forms as (
+  select w.word, w.n, coalesce(n_near, 0) n_near, case when other_n >= 10 * w.n then other end form, case when other_n >= 10 * w.n then other_n end form_n
+  from words w left join ranked r on r.word = w.word and place = 1),
+chain as (
+  select word, word tip, 0 depth from forms
+  union all select c.word, f.form, depth + 1 from chain c join forms f on f.word = c.tip where f.form is not null)
+select f.word, form, (select max_by(tip, depth) from chain c where c.word = f.word) root, n, n_near, form_n from forms f""",
+}

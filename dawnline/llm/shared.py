@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 from collections.abc import Callable, Iterator
 from sys import getsizeof
 
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 
 from dawnline.workspace import ready, scratch, shared_path, stored
 
-__all__ = ["Memo", "grouped", "held", "ready", "scratch", "shared_path", "stored", "unused"]
+__all__ = ["Memo", "grouped", "held", "ready", "scratch", "shared_path", "stored", "unused", "word_slices"]
 
 #: What a per-worker cache holds before it starts anew, and the largest entry that it keeps; results depend on neither.
 CACHE_BYTES, ENTRY_BYTES, SLOT_BYTES = 64 << 20, 2 << 10, 104
@@ -50,6 +51,21 @@ class Memo(dict):
         return value
 
 
+_SPACE = re.compile(rb"[ \t-\r]")
+
+
+def word_slices(data: bytes, size: int = 1 << 18) -> Iterator[list[bytes]]:
+    """The words (runs without ASCII white space) of data in order, in lists of about size bytes; words are never cut."""
+    start = 0
+    while start < len(data):
+        end = start + size
+        if end < len(data):
+            space = _SPACE.search(data, end)
+            end = space.start() if space else len(data)
+        yield data[start:end].split()
+        start = end
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """These names, each with as many underscores before it as make it differ from all of df's columns."""
     taken = {c.lower() for c in df.columns}
