@@ -186,8 +186,22 @@ CONTENTS_LINK = r"^\s*href:\s*\S+\.md\s*$"
 CONTENTS_VERSION = r"(?i)^Version\s+(\d{4})"
 WEEK = r"(?i)Week of ([A-Z][a-z]+ \d{1,2}, \d{4})(?:\s*\(Service release (\d{4})\))?"
 APPLIES_TO_VERSIONS = r"(?i)Applies to:?\s*versions?\s*([\d,\sand]+)"
-RESOLUTION = r"(?is)resolution:?(.*)"
-WORKAROUND = r"(?is)workaround:?\s*(.*?)(?=\n\s*(?:next steps|resolution):|$)"
+#: Of status pages: anchors of issues, the labels at which a labelled part ends, what the state, its rollback and its dates look like.
+ISSUE_ANCHOR = r"(?i)(\d{3,9})msgdesc"
+PART_LABELS = ["Workaround", "Resolution", "Next steps", "Affected platforms", "Status", "Originating update", "History", "Back to top", "Note", "Important"]
+AFTER_SYMPTOMS = r"(?i)(?<![A-Za-z])(?:Workaround|Resolution|Affected platforms?|Next steps)\s*:"
+STATED = r"\b(Resolved External|Resolved(?: KB\d+)?|Mitigated External|Mitigated|Confirmed|Investigating)\b"
+ROLLBACK = r"(?i)known issue rollback|\bKIR\b"
+HISTORY_DATE = r"\s*:?\s*(\d{4}-\d{2}-\d{2}(?:,?\s*\d{1,2}:\d{2}\s*(?:PT|UTC)?)?|[A-Z][a-z]+ \d{1,2}, \d{4})"
+HISTORY_LABELS = {"opened": "Opened", "resolved": "Resolved", "last_updated": "Last updated", "mitigated": "Mitigated"}
+#: Of articles: what says that there is no issue, the labels of an issue's parts, what says that it is wholly fixed.
+NO_ISSUES = r"(?i)not currently aware of any issues|no known issues"
+PART_OF = {
+    "symptom": "symptoms", "symptoms": "symptoms", "cause": "symptoms", "workaround": "workaround", "workarounds": "workaround", "mitigation": "workaround",
+    "resolution": "resolution", "resolutions": "resolution", "next step": "next_steps", "next steps": "next_steps",
+}
+WHOLLY_FIXED = r"(?i)\b(?:is|was|has been|have been|are)\s+(?:now\s+)?(?:fully\s+)?(?:resolved|fixed|addressed)\b"
+UNNAMED_ISSUE = "bilinen sorun"
 
 #: The fields whose change means something, and the two kinds of advice in generated texts.
 SEMANTIC_FIELDS = ["status", "originating_kbs", "resolving_kbs", "partial_fix_kbs", "products", "tags", "kir", "stage", "change_kind", "platforms", "release_type", "builds", "versions", "support_end", "hotfix_type", "admin_action"]
@@ -196,3 +210,24 @@ FROM_SOURCE, INFERRED = "kaynak", "ai_cikarim"
 #: Codes of places that are the seat of an administration, and the endings of districts' and provinces' names.
 SEAT_CODES = ["PPLC", "PPLA", "PPLA2"]
 DISTRICT_ENDING = r"\s+(?:İlçesi|ilçesi|İli|ili)$"
+
+#: Fixed values: (pattern, label), in the order in which they are tried.
+STATUS_RULES = [
+    ("resolved external", "resolved_external"),
+    ("resolved", "resolved"),
+    ("mitigated external", "mitigated_external"),
+    ("mitigated", "mitigated"),
+    ("confirmed", "confirmed"),
+    ("investigating|reported", "investigating"),
+]
+HOTFIX_RULES = [("summary of changes", "summary"), ("early update ring", "early_ring"), ("rollup", "rollup"), ("security", "security")]
+CHANGE_RULES = [
+    ("deprecat|retire|end of support|no longer support|will be removed|removal|sunset|kaldırıl", "deprecation"),
+    ("plan for change|action required|(?:you|admins?) (?:need|must|should) to take action|take action before", "change"),
+]
+STAGE_RULES = [(r"\(preview\)|public preview|is (?:now )?in preview|now available in preview", "public_preview")]
+#: Notes on licences, roll-outs and preparations, and the names of platforms.
+LICENCE_NOTE = r"(?i)[^.\n]*(?:licen[cs]e|Intune Suite|Intune Plan 2|add-on|E3|E5|premium|requires? (?:a |an )?subscription)[^.\n]*\."
+ROLLOUT_NOTE = r"(?i)[^.\n]*(?:gradual|rolling out|rolls out|rollout|over the coming weeks|phased)[^.\n]*\."
+ADMIN_ACTION = r"(?is)How can you prepare\??(.+?)(?=\n#{2,4} |\z)"
+PLATFORMS = {"windows": "windows", "ios": "ios|ipados", "macos": "macos", "android": "android", "linux": "linux"}

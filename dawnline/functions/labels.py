@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from dawnline.functions import dates
+from dawnline.functions import dates, fixed
 from dawnline.sources import markdown
 
 
@@ -17,44 +17,23 @@ def first_rule(value: Column, rules: list[tuple[str, str]], otherwise: str) -> C
     return out.otherwise(otherwise)
 
 
-#: Fixed values: (pattern, label), in the order in which they are tried.
-STATUS_RULES = [
-    ("resolved external", "resolved_external"),
-    ("resolved", "resolved"),
-    ("mitigated external", "mitigated_external"),
-    ("mitigated", "mitigated"),
-    ("confirmed", "confirmed"),
-    ("investigating|reported", "investigating"),
-]
-HOTFIX_RULES = [("summary of changes", "summary"), ("early update ring", "early_ring"), ("rollup", "rollup"), ("security", "security")]
-CHANGE_RULES = [
-    ("deprecat|retire|end of support|no longer support|will be removed|removal|sunset|kaldırıl", "deprecation"),
-    ("plan for change|action required|(?:you|admins?) (?:need|must|should) to take action|take action before", "change"),
-]
-STAGE_RULES = [(r"\(preview\)|public preview|is (?:now )?in preview|now available in preview", "public_preview")]
-LICENCE_NOTE = r"(?i)[^.\n]*(?:licen[cs]e|Intune Suite|Intune Plan 2|add-on|E3|E5|premium|requires? (?:a |an )?subscription)[^.\n]*\."
-ROLLOUT_NOTE = r"(?i)[^.\n]*(?:gradual|rolling out|rolls out|rollout|over the coming weeks|phased)[^.\n]*\."
-ADMIN_ACTION = r"(?is)How can you prepare\??(.+?)(?=\n#{2,4} |\z)"
-PLATFORMS = {"windows": "windows", "ios": "ios|ipados", "macos": "macos", "android": "android", "linux": "linux"}
-
-
 def status(raw: Column) -> Column:
-    return first_rule(raw, STATUS_RULES, "unknown")
+    return first_rule(raw, fixed.STATUS_RULES, "unknown")
 
 
 def hotfix_type(title: Column) -> Column:
-    return first_rule(title, HOTFIX_RULES, "hotfix")
+    return first_rule(title, fixed.HOTFIX_RULES, "hotfix")
 
 
 def change_kind(title: Column, body: Column, page: Column | None = None) -> Column:
     """deprecation, change or feature; whatever stands on the notices page and is no deprecation is a change."""
-    told = first_rule(F.concat_ws(" ", title, F.substring(body, 1, 800)), CHANGE_RULES, "feature")
+    told = first_rule(F.concat_ws(" ", title, F.substring(body, 1, 800)), fixed.CHANGE_RULES, "feature")
     return told if page is None else F.when((page == "notices") & (told == "feature"), "change").otherwise(told)
 
 
 def stage(title: Column, body: Column, page: Column | None = None) -> Column:
     """in_development and notice by the page; else public_preview or ga by the text."""
-    told = first_rule(F.concat_ws(" ", title, F.substring(body, 1, 600)), STAGE_RULES, "ga")
+    told = first_rule(F.concat_ws(" ", title, F.substring(body, 1, 600)), fixed.STAGE_RULES, "ga")
     return told if page is None else F.when(page == "in_development", "in_development").when(page == "notices", "notice").otherwise(told)
 
 
@@ -65,22 +44,22 @@ def _first_match(text: Column, pattern: str, chars: int) -> Column:
 
 def licence_note(body: Column) -> Column:
     """The first sentence that speaks of a licence, at most 400 characters; empty if none does."""
-    return _first_match(body, LICENCE_NOTE, 400)
+    return _first_match(body, fixed.LICENCE_NOTE, 400)
 
 
 def rollout_note(body: Column) -> Column:
-    return _first_match(body, ROLLOUT_NOTE, 400)
+    return _first_match(body, fixed.ROLLOUT_NOTE, 400)
 
 
 def admin_action(md: Column) -> Column:
     """What follows the question how to prepare, up to the next heading, as plain text of at most 1,200 characters."""
-    found = F.regexp_extract(F.coalesce(md, F.lit("")), ADMIN_ACTION, 1)
+    found = F.regexp_extract(F.coalesce(md, F.lit("")), fixed.ADMIN_ACTION, 1)
     return F.substring(F.trim(F.regexp_replace(markdown.to_text(found), r"\s+", " ")), 1, 1200)
 
 
 def platforms(text: Column) -> Column:
     low = F.lower(F.coalesce(text, F.lit("")))
-    return F.array_compact(F.array(*(F.when(low.rlike(p), F.lit(name)) for name, p in PLATFORMS.items())))
+    return F.array_compact(F.array(*(F.when(low.rlike(p), F.lit(name)) for name, p in fixed.PLATFORMS.items())))
 
 
 def release_type(title: Column, hotpatch: Column, day: Column) -> Column:

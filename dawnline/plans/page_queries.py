@@ -83,16 +83,16 @@ def x9_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "title", "category", "week", "service", "work_items", "stage", "change_kind", "platforms")
 
 
-@R.query("""with p as (select page_id, 5000000+page_id%83 as kb from pages), r as (select page_id, 'i1' as anchor, 'Sign in fails' as title, 'resolved' as status, [cast(kb as varchar)] as originating_kbs, [cast(kb+1 as varchar)] as resolving_kbs, 'Restart.' as workaround, true as structure_ok from p
+@R.query("""with p as (select page_id, 5000000+page_id%83 as kb from pages), r as (select page_id, 'i1' as anchor, 'Sign in fails' as title, 'resolved' as status, [cast(kb as varchar)] as originating_kbs, list_sort(list_distinct([cast(kb+1 as varchar), cast(kb+case when page_id%3=0 then 1 else 2 end as varchar)])) as resolving_kbs, 'Restart.' as workaround, true as structure_ok from p
 union all select page_id, 'i2', 'Sound is gone', 'confirmed', [], [], null, page_id%2=0 from p) select * from r""")
 def x3_status_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as status pages: two rows of a summary, with their details, of which every second page lacks one."""
     n = F.col("page_id")
     pages = table(spark, sf_dir, "pages").select("page_id", (F.lit(5000000) + n % 83).alias("kb"))
     s = lambda x: F.lit(x)
-    issue = lambda anchor, title, status, kb: F.struct(s(anchor).alias("anchor"), s(title).alias("title"), s(status).alias("status"), kb.alias("kb"))
-    rows = pages.select("page_id", F.inline(F.array(issue("i1", "Sign in fails", "Resolved KB1", F.concat(s("KB"), F.col("kb").cast("string"))), issue("i2", "Sound is gone", "Confirmed", s("")))))
-    told = F.concat(s("Users can't sign in.\nWorkaround: Restart.\nResolution: Fixed in KB"), (F.col("kb") + 1).cast("string"), s("."))
+    issue = lambda anchor, title, status, kb: F.struct(s(anchor).alias("anchor"), s(title).alias("title"), status.alias("status"), kb.alias("kb"))
+    rows = pages.select("page_id", F.inline(F.array(issue("i1", "Sign in fails", F.concat(s("Resolved KB"), (F.col("kb") + F.when(n % 3 == 0, 0).otherwise(2)).cast("string")), F.concat(s("KB"), F.col("kb").cast("string"))), issue("i2", "Sound is gone", s("Confirmed"), s("")))))
+    told = F.concat(s("Users can't sign in.\nWorkaround: Restart.\nResolution: Fixed in KB"), (F.col("kb") + 1).cast("string"), s(". Also fixed in KB"), F.col("kb").cast("string"), s("."))
     body = lambda anchor, text: F.struct(s(anchor).alias("anchor"), text.alias("body"))
     details = pages.select("page_id", F.inline(F.when(F.col("page_id") % 2 == 0, F.array(body("i1", told), body("i2", s("No sound.")))).otherwise(F.array(body("i1", told)))))
     return extract.status_issues(rows, details, "page_id").select("page_id", "anchor", "title", "status", "originating_kbs", "resolving_kbs", "workaround", "structure_ok")

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dawnline.functions import dates, fixed, labels, text
-from dawnline.sources import markdown
+from dawnline.sources import markdown, status_pages
+
 
 def releases(lines: DataFrame, id_col: str, line: str, since: Column) -> DataFrame:
     """(id, date, kb, builds, hotpatch, release_type) of release lines since a date; of each KB the first one."""
@@ -83,15 +84,12 @@ def issue_sections(sections: DataFrame, id_col: str, known: str = "known issues"
 
 
 def status_issues(rows: DataFrame, details: DataFrame, page: str) -> DataFrame:
-    """Summary rows (page, anchor, title, status, kb) with their detail sections (page, anchor, body); structure_ok tells if one was found."""
+    """Summary rows (page, anchor, title, status, kb) with their detail sections (page, anchor, body), where both are tables already; structure_ok tells if one was found."""
     joined = rows.join(details, [page, "anchor"], "left")
-    body = F.coalesce("body", F.lit(""))
-    fixes = text.fix_kbs(F.regexp_extract(body, fixed.RESOLUTION, 1))
-    return joined.select(
-        page, "anchor", "title", labels.status(F.col("status")).alias("status"), text.kbs("kb").alias("originating_kbs"), fixes["full"].alias("resolving_kbs"), fixes["partial"].alias("partial_fix_kbs"),
-        F.nullif(F.trim(F.regexp_extract(body, fixed.WORKAROUND, 1)), F.lit("")).alias("workaround"),
-        text.symptom_tags(F.concat_ws(" ", "title", body)).alias("tags"), body.rlike("(?i)known issue rollback").alias("rollback"), F.col("body").isNotNull().alias("structure_ok"),
-    )
+    empty = [F.lit(None).cast("string").alias(c) for c in ("short", "meta_status", "meta_origin", "updated_cell")]
+    joined = joined.select(page, F.col("anchor").alias("issue_id"), "anchor", "title", "body", F.col("status").alias("status_cell"), F.col("kb").alias("origin_cell"), *empty)
+    found = status_pages.issue_fields(joined, page)
+    return found.select(page, "anchor", "title", "status", "originating_kbs", "resolving_kbs", "partial_fix_kbs", F.nullif("workaround", F.lit("")).alias("workaround"), "tags", "rollback", F.col("detailed").alias("structure_ok"))
 
 
 def announcements(cells: DataFrame, page: str) -> DataFrame:

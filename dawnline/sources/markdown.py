@@ -1,10 +1,16 @@
-"""Markdown documents: front matter, sections, tables, plain text; all as column expressions."""
+"""Markdown documents: front matter, tables and plain text as column expressions, sections by one pass over the lines."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dawnline.workspace import ready
+
 
 def front_matter(md: Column) -> Column:
     """struct of meta (map) and body: a leading block between '---' lines, one 'key: value' a line."""
@@ -15,32 +21,67 @@ def front_matter(md: Column) -> Column:
     return F.struct(F.map_from_entries(firsts).alias("meta"), F.regexp_replace(md, r"^---\r?\n(?:.*\r?\n)*?---\r?\n", "").alias("body"))
 
 
+_FENCE, _HEADING = re.compile(r"\s*```", re.A), re.compile(r"(#{1,6})\s+(?=\S)", re.A)
+_MARKS, _ID = re.compile(r"<!--.*?-->|\s#+\s*$", re.A), re.compile(r"<!--\s*(\d+)\s*-->", re.A)
+SECTION = "section long, level int, title string, body string, whole string, ends long, ids array<string>"
+_TOLD = 4 << 20  # characters of a batch of sections
+
+
+def sections_of(md: str | None) -> Iterator[tuple]:
+    """(section, level, title, body, whole, ends, ids) of the headings of one document, in one pass over its lines.
+
+    A stack holds the headings whose part is not over; a heading ends those of its own level and of deeper ones, so each is
+    pushed and popped once. Parts are sliced from the lines when all ends are known.
+    """
+    lines, heads, ends, open_heads, fenced = re.split(r"\r?\n", md or ""), [], [], [], False
+    for i, line in enumerate(lines):
+        if _FENCE.match(line):
+            fenced = not fenced
+        elif not fenced and (mark := _HEADING.match(line)):
+            level = len(mark[1])
+            while open_heads and heads[open_heads[-1]][1] >= level:
+                ends[open_heads.pop()] = len(heads)
+            open_heads.append(len(heads))
+            heads.append((i, level, line[mark.end() :]))
+            ends.append(None)
+    for j, (i, level, title) in enumerate(heads):
+        until = heads[j + 1][0] if j + 1 < len(heads) else len(lines)
+        whole = heads[ends[j]][0] if ends[j] is not None else len(lines)
+        body = "\n".join(lines[i + 1 : until]).strip(" ")
+        yield j + 1, level, _MARKS.sub("", title).strip(" "), body, body if whole == until else "\n".join(lines[i + 1 : whole]).strip(" "), None if ends[j] is None else ends[j] + 1, _ID.findall(lines[i])
+
+
 def heading_sections(docs: DataFrame, id_col: str, md_col: str) -> DataFrame:
     """(id, section, level, title, body, whole, ends, ids) of each heading, fences respected; the body goes to the next heading.
 
     ends is the next section of the same or a higher level (null: the document's end); whole goes up to it, deeper headings
-    included; ids are the numbers in comments of the heading. All is found within the row, over the array of its lines.
+    included; ids are the numbers in comments of the heading. Linear in the lines of a document.
     """
-    lines = docs.select(id_col, F.split(F.coalesce(md_col, F.lit("")), r"\r?\n").alias("_lines"))
-    places = F.sequence(F.lit(0), F.size("_lines") - 1)
-    at = lambda i: F.get("_lines", i)
-    fenced = lines.withColumn("_fences", F.filter(places, lambda i: at(i).rlike(r"^\s*```")))
-    open_fences = lambda i: F.size(F.filter("_fences", lambda f: f < i)) % 2
-    headed = fenced.withColumn("_heads", F.filter(places, lambda i: at(i).rlike(r"^#{1,6}\s+\S") & (open_fences(i) == 0)))
-
-    level = lambda i: F.length(F.regexp_extract(at(i), r"^(#+)", 1))
-    body = lambda h, until: F.trim(F.array_join(F.slice("_lines", h + 2, until - h - 1), "\n"))
-
-    def told(h: Column, j: Column) -> Column:
-        title = F.trim(F.regexp_replace(F.regexp_replace(at(h), r"^#+\s+", ""), r"(?:<!--.*?-->|\s#+\s*$)", ""))
-        below = F.get(F.filter("_heads", lambda x: (x > h) & (level(x) <= level(h))), F.lit(0))
-        size = F.size("_lines")
-        return F.struct(
-            (j + 1).cast("long").alias("section"), level(h).alias("level"), title.alias("title"), body(h, F.coalesce(F.get("_heads", j + 1), size)).alias("body"), body(h, F.coalesce(below, size)).alias("whole"),
-            F.when(below.isNotNull(), F.array_position("_heads", below)).alias("ends"), F.regexp_extract_all(at(h), F.lit(r"<!--\s*(\d+)\s*-->"), F.lit(1)).alias("ids"),
-        )
-
-    return headed.select(id_col, F.inline(F.transform("_heads", told)))
+    ready(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
+    types = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.string())]
+    names = [part.split()[0] for part in SECTION.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows, size = [], [], 0
+
+            def told(batch=batch) -> pa.RecordBatch:
+                columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], names=[id_col, *names])
+
+            for i, md in enumerate(batch.column(1)):
+                for row in sections_of(md.as_py()):
+                    at.append(i)
+                    rows.append(row)
+                    size += len(row[4])
+                    if size > _TOLD:
+                        yield told()
+                        at, rows, size = [], [], 0
+            if rows:
+                yield told()
+
+    return docs.select(id_col, md_col).mapInArrow(run, f"`{id_col}` {kind}, {SECTION}")
 
 
 def applies_to(md: Column) -> Column:
