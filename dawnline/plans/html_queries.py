@@ -27,6 +27,11 @@ _SYMPTOMS = ["Users cannot sign in.", "Printing is slow.", "The VPN tunnel drops
 _RESOLUTIONS = ["Fixed in KB{fixing}.", "An initial fix is KB{fixing}.", "Fixed in KB{origin}.", "A Known Issue Rollback is on its way."]
 
 
+def parallel(spark: SparkSession) -> int:
+    """As many partitions as a shuffle has: parsing is slow for its bytes, by which small shuffles are put together."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _status_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as status pages, whose orders are issues: in the summary, in a section, or both; sections are nested in each other."""
     k = F.col("o_orderkey")
@@ -52,7 +57,8 @@ def _status_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = table(spark, sf_dir, "customer").select("c_custkey").join(parts, "c_custkey", "left")
     head = F.when(F.col("c_custkey") % 10 == 0, "").otherwise("<table><tr><th>Summary</th><th>Originating update</th><th>Status</th><th>Last updated</th></tr>")
     html = F.concat(F.lit("<html><body><nav><a href='#100msgdesc'>Menu</a></nav><main><h1>Status</h1>"), head, F.coalesce(F.when(head != "", F.col("rows")), F.lit("")), F.lit("</table><h2>Details</h2>"), F.coalesce("sections", F.lit("")), F.lit("<h2>More</h2><p>Workaround: no issue</main>"))
-    return tree.trees(found.select("c_custkey", html.alias("html")), "c_custkey", "html")
+    pages = found.select("c_custkey", html.alias("html")).repartition(parallel(spark), "c_custkey")
+    return status_pages.read(tree.trees(pages, "c_custkey", "html"), "c_custkey")
 
 
 _ISSUES = """with k as (
@@ -108,5 +114,5 @@ def x6_article_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     heading = F.when(n % 2 == 0, "<h2 id=issues>Known issues in this update</h2>").otherwise("<h2>Known issues</h2>")
     html = F.concat(F.lit("<body><main><h1>Article</h1><h2>Summary</h2><details><summary>Fixes</summary><p>KB1111111</p></details>"), heading, known, F.lit("<h2>How to get it</h2><details><summary>Not an issue</summary><p>x</p></details></main>"))
     pages = table(spark, sf_dir, "part").select("p_partkey", (F.lit(5000000) + n).cast("long").cast("string").alias("kb"), html.alias("html"))
-    found = articles.article_issues(tree.trees(pages, "p_partkey", "html", ["kb"]), "p_partkey")
+    found = articles.article_issues(articles.read(tree.trees(pages.repartition(parallel(spark)), "p_partkey", "html", ["kb"]), "p_partkey"), "p_partkey")
     return found.select("p_partkey", "kb", "anchor", "layout", "title", "body", "status", "originating_kbs", "resolving_kbs", "partial_fix_kbs", "workaround", "tags")

@@ -25,7 +25,7 @@ def _raw() -> F.Column:
     return F.when(n == 0, "Resolved External").when(n == 1, "Resolved KB1").when(n == 2, "Mitigated").when(n == 3, "Confirmed").when(n == 4, "Reported").when(n == 5, "Mitigated External").otherwise(F.col("l_returnflag"))
 
 
-@R.query(f"select l_orderkey, l_linenumber, l_partkey, {_rules(_RAW, labels.STATUS_RULES, 'unknown')} as status from lineitem")
+@R.query(f"select l_orderkey, l_linenumber, l_partkey, {_rules(_RAW, fixed.STATUS_RULES, 'unknown')} as status from lineitem")
 def t25_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", labels.status(_raw()).alias("status"))
 
@@ -33,14 +33,14 @@ def t25_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SAID = ["New feature (preview) for iOS/iPadOS. Rolling out over the coming weeks. ", "Plan for change: admins must act. ", "It will be removed soon. It needs a premium licence. ", "Summary of changes for macOS. ", "Security rollup for Android and Linux. ", "Early update ring. How can you prepare? Move **devices** first. ", ""]
 _SAID_SQL = "([" + ",".join(f"'{x}'" for x in _SAID) + "][doc_id%7+1] || coalesce(text,''))"
 _PAGES = "['whats_new','in_development','notices'][doc_id%3+1]"
-_PLATFORMS = "list_filter([" + ",".join(f"case when regexp_matches(lower({_SAID_SQL}), '{p}') then '{n}' end" for n, p in labels.PLATFORMS.items()) + "], lambda x: x is not null)"
-_CHANGE_SQL = _rules(f"substr({_SAID_SQL},1,800)", labels.CHANGE_RULES, "feature")
+_PLATFORMS = "list_filter([" + ",".join(f"case when regexp_matches(lower({_SAID_SQL}), '{p}') then '{n}' end" for n, p in fixed.PLATFORMS.items()) + "], lambda x: x is not null)"
+_CHANGE_SQL = _rules(f"substr({_SAID_SQL},1,800)", fixed.CHANGE_RULES, "feature")
 _NOTE_SQL = "substr(trim(regexp_replace(regexp_extract({s}, '{p}', 0), '\\s+', ' ', 'g')),1,400)"
 
 
 @R.query(
-    f"select doc_id, case {_PAGES} when 'in_development' then 'in_development' when 'notices' then 'notice' else {_rules(f'substr({_SAID_SQL},1,600)', labels.STAGE_RULES, 'ga')} end as stage, case when {_PAGES}='notices' and {_CHANGE_SQL}='feature' then 'change' else {_CHANGE_SQL} end as change, {_rules(_SAID_SQL, labels.HOTFIX_RULES, 'hotfix')} as hotfix, {_PLATFORMS} as platforms, "
-    f"{_NOTE_SQL.format(s=_SAID_SQL, p=labels.LICENCE_NOTE)} as licence, {_NOTE_SQL.format(s=_SAID_SQL, p=labels.ROLLOUT_NOTE)} as rollout, case when doc_id%7=5 then length(trim(substr(trim(regexp_replace(' Move devices first. '||coalesce(text,''), '\\s+', ' ', 'g')),1,1200))) > 0 else false end as action from documents"
+    f"select doc_id, case {_PAGES} when 'in_development' then 'in_development' when 'notices' then 'notice' else {_rules(f'substr({_SAID_SQL},1,600)', fixed.STAGE_RULES, 'ga')} end as stage, case when {_PAGES}='notices' and {_CHANGE_SQL}='feature' then 'change' else {_CHANGE_SQL} end as change, {_rules(_SAID_SQL, fixed.HOTFIX_RULES, 'hotfix')} as hotfix, {_PLATFORMS} as platforms, "
+    f"{_NOTE_SQL.format(s=_SAID_SQL, p=fixed.LICENCE_NOTE)} as licence, {_NOTE_SQL.format(s=_SAID_SQL, p=fixed.ROLLOUT_NOTE)} as rollout, case when doc_id%7=5 then length(trim(substr(trim(regexp_replace(' Move devices first. '||coalesce(text,''), '\\s+', ' ', 'g')),1,1200))) > 0 else false end as action from documents"
 )
 def t24_t27_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of documents after a phrase that their number tells, on one of three pages."""

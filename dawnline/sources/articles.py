@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from dawnline.functions import fixed, text
 from dawnline.sources import tree
+from dawnline.workspace import stored
 
 PARTS = ["symptoms", "workaround", "resolution", "next_steps"]
 LAYOUTS = ["details", "table", "headings", "whole"]
@@ -49,9 +50,29 @@ def _part(tag: Column, told: Column, bold: Column) -> Column:
     return F.when(is_label, F.try_element_at(labels, _plain(told)))
 
 
-def _told(e: Column) -> list[Column]:
-    """What grammars need of an element: its number, tag and texts."""
-    return [e["node"].alias("node"), e["tag"].alias("tag"), tree.text_of(e["node"]).alias("text"), tree.text_of(e["bold"]).alias("bold")]
+def _told(e: Column) -> Column:
+    """What grammars need of an element: its parent's number and its own, tag and texts."""
+    return F.struct(e["parent"].alias("parent"), e["node"].alias("node"), e["tag"].alias("tag"), tree.text_of(e["node"]).alias("text"), tree.text_of(e["bold"]).alias("bold"))
+
+
+def read(found: DataFrame, page: str = "page_id", kb: str = "kb") -> DataFrame:
+    """(page, kb, anchor, text, beside, inside, cells) of the known issues of trees of articles, as a table: one parse for all layouts.
+
+    beside are the elements next to the heading, inside the children of details blocks, cells those of tables.
+    A block inside of another one that stands beside the heading is none of its own.
+    """
+    known = F.col("known")
+    outer = lambda e: F.exists(known["nodes"], lambda n: (n["tag"] == "details") & (n["node"] < e["node"]) & (e["node"] <= n["last"]))
+    within = lambda n: (n >= known["first"]) & (n < known["stop"])
+    rows = known_issues(found)
+    blocks = tree.numbered(lambda e, i: (e["tag"] == "details") & within(i))
+    rows = rows.withColumn("_blocks", F.filter(blocks, lambda e: (e["parent"] == known["heading"]["parent"]) | ~outer(e))["node"])
+    inside = F.filter(tree.numbered(lambda e, i: within(i)), lambda e: F.array_contains("_blocks", e["parent"]))
+    rows = rows.select(
+        page, F.col(kb).alias("kb"), F.coalesce("known.heading.ident", F.lit("known-issues")).alias("anchor"), "known.text", F.transform("known.nodes", _told).alias("beside"),
+        F.transform(inside, _told).alias("inside"), tree.table_cells(lambda c: within(c["tab"])).alias("cells"),
+    )
+    return stored(found.sparkSession, rows, "articles")
 
 
 def _joined(condition: Column) -> Column:
@@ -61,28 +82,21 @@ def _joined(condition: Column) -> Column:
 
 
 def details_issues(rows: DataFrame, page: str) -> DataFrame:
-    """The details blocks: the summary is the title, labels begin parts. A block inside of another one beside the heading is none."""
-    known = F.col("known")
-    inside = lambda e: F.exists(known["nodes"], lambda n: (n["tag"] == "details") & (n["node"] < e["node"]) & (e["node"] <= n["last"]))
-    blocks = tree.numbered(lambda e, i: (e["tag"] == "details") & (i >= known["first"]) & (i < known["stop"]))
-    blocks = F.filter(blocks, lambda e: (e["parent"] == known["heading"]["parent"]) | ~inside(e))
-    rows = rows.withColumn("_blocks", blocks["node"]).where(F.size("_blocks") > 0)
-    children = F.filter(tree.numbered(lambda e, i: (i >= known["first"]) & (i < known["stop"])), lambda e: F.array_contains("_blocks", e["parent"]))
-    each = rows.select(page, F.inline(F.transform(children, lambda e: F.struct(e["parent"].alias("block"), *_told(e)))))
-    order = Window.partitionBy(page, "block").orderBy("node").rowsBetween(Window.unboundedPreceding, 0)
+    """The details blocks: the summary is the title, labels begin parts."""
+    each = rows.select(page, F.inline("inside"))
+    order = Window.partitionBy(page, "parent").orderBy("node").rowsBetween(Window.unboundedPreceding, 0)
     is_title = (F.col("tag") == "summary") & (F.sum((F.col("tag") == "summary").cast("int")).over(order) == 1)
     each = each.withColumns({"is_title": is_title, "label": _part(F.col("tag"), F.col("text"), F.col("bold"))})
     each = each.withColumn("part", F.coalesce(F.last("label", ignorenulls=True).over(order), F.lit("symptoms")))
     content = ~F.col("is_title") & F.col("label").isNull()
     parts = [_joined(content & (F.col("part") == p)).alias(p) for p in PARTS]
-    out = each.groupBy(page, F.col("block").alias("place")).agg(text.norm_space(F.max(F.when(F.col("is_title"), F.col("text")))).alias("title"), *parts)
+    out = each.groupBy(page, F.col("parent").alias("place")).agg(text.norm_space(F.max(F.when(F.col("is_title"), F.col("text")))).alias("title"), *parts)
     return out.where("title <> ''").select(page, F.lit(0).alias("layout"), F.struct("place", F.lit(0).alias("row")).alias("place"), "title", *PARTS)
 
 
 def table_issues(rows: DataFrame, page: str) -> DataFrame:
     """The rows of tables with header cells: symptoms (or the first column), workaround or resolution; the title is what is bold, or the first sentence."""
-    known = F.col("known")
-    cells = tree.table_cells(rows, page, lambda c: (c["tab"] >= known["first"]) & (c["tab"] < known["stop"]))
+    cells = rows.select(page, F.inline("cells"))
     table = Window.partitionBy(page, "tab")
     place = lambda pattern: F.min(F.when(F.col("head") & F.lower("text").rlike(pattern), F.col("col"))).over(table)
     cells = cells.select("*", F.coalesce(place("symptom"), F.lit(0)).alias("at_s"), place("workaround|resolution").alias("at_w"), F.max("head").over(table).alias("headed")).where("headed and not head")
@@ -94,7 +108,7 @@ def table_issues(rows: DataFrame, page: str) -> DataFrame:
 
 def heading_issues(rows: DataFrame, page: str) -> DataFrame:
     """Sub-headings, or paragraphs that are bold as a whole, with what follows them; labels of parts are content."""
-    each = rows.select(page, F.inline(F.transform("known.nodes", lambda e: F.struct(*_told(e)))))
+    each = rows.select(page, F.inline("beside"))
     bold = (F.col("tag") == "p") & F.col("bold").isNotNull() & (text.norm_space("bold") == text.norm_space("text"))
     is_head = (F.col("tag").isin("h3", "h4", "h5") | bold) & _part(F.col("tag"), F.col("text"), F.col("bold")).isNull()
     order = Window.partitionBy(page).orderBy("node").rowsBetween(Window.unboundedPreceding, 0)
@@ -104,23 +118,22 @@ def heading_issues(rows: DataFrame, page: str) -> DataFrame:
     return out.where("title <> '' and symptoms <> ''").select(page, F.lit(2).alias("layout"), F.struct(F.col("place").cast("int").alias("place"), F.lit(0).alias("row")).alias("place"), "title", "symptoms", *rest)
 
 
-def whole_issue(rows: DataFrame, page: str, kb: str) -> DataFrame:
+def whole_issue(rows: DataFrame, page: str) -> DataFrame:
     """The whole section as one issue."""
-    title = F.concat(F.lit("KB"), F.coalesce(kb, F.lit("")), F.lit(f" {fixed.UNNAMED_ISSUE}"))
+    title = F.concat(F.lit("KB"), F.coalesce("kb", F.lit("")), F.lit(f" {fixed.UNNAMED_ISSUE}"))
     rest = [F.lit("").alias(p) for p in PARTS[1:]]
-    return rows.where("known.text <> ''").select(page, F.lit(3).alias("layout"), F.struct(F.lit(0).alias("place"), F.lit(0).alias("row")).alias("place"), title.alias("title"), F.col("known.text").alias("symptoms"), *rest)
+    return rows.where("text <> ''").select(page, F.lit(3).alias("layout"), F.struct(F.lit(0).alias("place"), F.lit(0).alias("row")).alias("place"), title.alias("title"), F.col("text").alias("symptoms"), *rest)
 
 
-def article_issues(found: DataFrame, page: str = "page_id", kb: str = "kb") -> DataFrame:
-    """The known issues of articles (as trees with the article's KB): one row each, with layout, place and fields.
+def article_issues(rows: DataFrame, page: str = "page_id") -> DataFrame:
+    """The known issues of articles (as read): one row each, with layout, place and fields.
 
     The origin is what the symptoms name, else the article's KB. A resolution (else the symptoms) with a sentence that says it
     is fixed, and not partly, resolves the issue by the KBs it names; partial fixes mitigate it. No section: no rows.
     """
-    rows = known_issues(found)
-    every = reduce(DataFrame.unionByName, [details_issues(rows, page), table_issues(rows, page), heading_issues(rows, page), whole_issue(rows, page, kb)])
+    every = reduce(DataFrame.unionByName, [details_issues(rows, page), table_issues(rows, page), heading_issues(rows, page), whole_issue(rows, page)])
     every = every.withColumn("_first", F.min("layout").over(Window.partitionBy(page))).where("layout = _first").drop("_first")
-    heads = rows.select(page, F.col(kb).alias("kb"), F.coalesce("known.heading.ident", F.lit("known-issues")).alias("anchor"))
+    heads = rows.select(page, "kb", "anchor")
     labelled = lambda label: text.norm_space(F.regexp_extract("symptoms", rf"(?is)(?<![A-Za-z])(?:{label})\s*:\s*(.+)", 1))
     own_work, own_fix = text.without_registry_warning("workaround"), F.concat_ws("\n", F.nullif("resolution", F.lit("")), F.nullif("next_steps", F.lit("")))
     told = every.join(heads, page).withColumns({"_w": own_work, "_r": own_fix})

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from dawnline.functions import dates, fixed, labels, text
 from dawnline.sources import tree
+from dawnline.workspace import stored
 
 
 def issue_id(anchor: Column, title: Column) -> Column:
@@ -49,19 +50,29 @@ def summary_rows(cells: DataFrame, page: str) -> DataFrame:
     return told.groupBy(page, "issue_id").agg(last.alias("x")).select(page, "issue_id", "x.*")
 
 
-def sections(found: DataFrame, page: str) -> DataFrame:
-    """(page, issue_id, anchor, node, stop, body) of the sections of issues: the elements from node to before stop."""
+def _sections() -> Column:
+    """The sections that begin at anchors, of a page's tree: structs of anchor, node, stop, body."""
     is_anchor = lambda e: F.coalesce(e["ident"].rlike(fixed.ISSUE_ANCHOR), F.lit(False))
-    marks = tree.numbered(lambda e, i: is_anchor(e) | e["tag"].isin("h1", "h2"))
-    refs = F.array_distinct(F.transform("cells", lambda c: F.get("elements", c["node"])["ref"]))
-    found = found.withColumns({"_marks": marks, "_refs": F.filter(refs, lambda r: ~r.rlike(fixed.ISSUE_ANCHOR))})
-    # links to places that don't look like an issue's anchor count, too, where there are any
-    others = F.when(F.size("_refs") > 0, tree.numbered(lambda e, i: F.array_contains("_refs", e["ident"]))).otherwise(F.filter("_marks", lambda e: F.lit(False)))
     size, pieces = F.size("elements"), F.size("pieces")
     section = lambda e, nexts: F.struct(e["ident"].alias("anchor"), e["node"].alias("node"), F.coalesce(nexts["node"], size).alias("stop"), tree.between(e["at"], F.coalesce(nexts["at"], pieces)).alias("body"))
-    own = F.filter(F.transform("_marks", lambda e, i: F.struct(is_anchor(e).alias("is"), section(e, F.get("_marks", i + 1)).alias("s"))), lambda x: x["is"])["s"]
+    own = F.filter(F.transform("_marks", lambda e, i: F.struct(is_anchor(e).alias("is"), e.alias("e"), F.get("_marks", i + 1).alias("next"))), lambda x: x["is"])
+    # links to places that don't look like an issue's anchor count, too, where there are any
+    others = F.when(F.size("_refs") > 0, tree.numbered(lambda e, i: F.array_contains("_refs", e["ident"]))).otherwise(F.filter("_marks", lambda e: F.lit(False)))
     more = F.transform(others, lambda e: section(e, F.get(F.filter("_marks", lambda m: m["node"] > e["node"]), F.lit(0))))
-    rows = found.select(page, F.inline(F.concat(own, more)))
+    return F.concat(F.transform(own, lambda x: section(x["e"], x["next"])), more)
+
+
+def read(found: DataFrame, page: str = "page_id") -> DataFrame:
+    """(page, cells, sections) of trees of pages, as a table: pages are parsed once, and texts are not kept twice."""
+    is_mark = lambda e, i: F.coalesce(e["ident"].rlike(fixed.ISSUE_ANCHOR), F.lit(False)) | e["tag"].isin("h1", "h2")
+    refs = F.array_distinct(F.transform("cells", lambda c: F.get("elements", c["node"])["ref"]))
+    found = found.withColumns({"_marks": tree.numbered(is_mark), "_refs": F.filter(refs, lambda r: ~r.rlike(fixed.ISSUE_ANCHOR))})
+    return stored(found.sparkSession, found.select(page, tree.table_cells().alias("cells"), _sections().alias("sections")), "pages")
+
+
+def sections(pages: DataFrame, page: str) -> DataFrame:
+    """(page, issue_id, anchor, node, stop, body) of the sections of issues: the elements from node to before stop."""
+    rows = pages.select(page, F.inline("sections"))
     first = Window.partitionBy(page, "anchor").orderBy("node")
     rows = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1 and body <> ''").withColumn("issue_id", issue_id(F.col("anchor"), F.lit("")))
     last = F.max_by(F.struct("anchor", "node", "stop", "body"), "node")
@@ -91,10 +102,14 @@ def labelled_part(label: str, body: Column) -> Column:
     return F.btrim(text.norm_space(found), F.lit(" ·"))
 
 
-def platforms(body: Column) -> Column:
-    """map of client and server to what the last block of affected platforms says of them."""
+def affected(body: Column) -> Column:
+    """The last block of affected platforms; all of the text if there is none."""
     block = F.regexp_extract(body, r"(?is).*Affected platforms?\s*:(.+?)(?=Workaround\s*:|Resolution\s*:|Next steps\s*:|\z)", 1)
-    block = F.when(block != "", block).otherwise(body)
+    return F.coalesce(F.nullif(block, F.lit("")), body)
+
+
+def platforms(block: Column) -> Column:
+    """map of client and server to what a block of affected platforms says of them."""
 
     def of(kind: str) -> Column:
         value = F.btrim(text.norm_space(F.regexp_extract(block, rf"{kind}\s*:\s*(.+)", 1)), F.lit(" ·;"))
@@ -103,60 +118,54 @@ def platforms(body: Column) -> Column:
     return F.map_from_entries(F.array_compact(F.array(of("Client"), of("Server"))))
 
 
-def history(body: Column) -> dict[str, Column]:
-    """The dates of an issue's history, by name."""
-    found = {k: F.regexp_extract(body, label + fixed.HISTORY_DATE, 1) for k, label in fixed.HISTORY_LABELS.items()}
-    return {k: dates.parse_loose(F.nullif(F.translate(v, ",", " "), F.lit(""))) for k, v in found.items()}
-
-
 def issue_fields(rows: DataFrame, page: str) -> DataFrame:
-    """The fields of issues from (page, issue_id, anchor, title, body, short, status_cell, origin_cell, meta_status, meta_origin)."""
-    body = F.coalesce("body", F.lit(""))
-    stated = F.regexp_extract(body, fixed.STATED, 1)
-    status = text.norm_space(F.coalesce(F.nullif("status_cell", F.lit("")), F.nullif("meta_status", F.lit("")), stated))
-    named = F.coalesce("meta_origin", F.regexp_extract(body, r"(?s)Originating update\s*:(.{0,160})", 1))
+    """The fields of issues from (page, issue_id, anchor, title, body, short, status_cell, origin_cell, meta_status, meta_origin).
+
+    What is looked for in a text is a column of its own before it is read more than once.
+    """
+    rows = rows.withColumn("_body", F.coalesce("body", F.lit("")))
+    body = F.col("_body")
+    given = lambda c: F.nullif(c, F.lit(""))
+    when = {f"_{k}": F.translate(F.regexp_extract(body, label + fixed.HISTORY_DATE, 1), ",", " ") for k, label in fixed.HISTORY_LABELS.items()}
+    rows = rows.withColumns({
+        "_stated": F.when(given("status_cell").isNull() & given("meta_status").isNull(), F.regexp_extract(body, fixed.STATED, 1)), "_named": F.when(F.col("meta_origin").isNull(), F.regexp_extract(body, r"(?s)Originating update\s*:(.{0,160})", 1)).otherwise(F.col("meta_origin")),
+        "_block": affected(body), "_first": text.norm_space(F.substring_index(body, "\n", 1)), "workaround": text.without_registry_warning(labelled_part("Workaround", body)), "resolution": labelled_part("Resolution", body), "next_steps": labelled_part("Next steps", body), **when,
+    })
     origin = F.coalesce("origin_cell", F.lit(""))
-    origin = F.when(F.size(text.kbs(origin)) > 0, origin).otherwise(named)
-    first_line = text.norm_space(F.substring_index(body, "\n", 1))
-    rows = rows.select(
-        page, "issue_id", "anchor", F.coalesce("title", F.nullif(first_line, F.lit("")), "issue_id").alias("title"), F.coalesce(F.nullif("body", F.lit("")), "short", F.lit("")).alias("body"), F.col("body").isNotNull().alias("detailed"),
-        status.alias("status_raw"), text.kbs(origin).alias("originating_kbs"), text.builds(origin).alias("originating_builds"), "updated_cell",
-        text.without_registry_warning(labelled_part("Workaround", body)).alias("workaround"), labelled_part("Resolution", body).alias("resolution"), labelled_part("Next steps", body).alias("next_steps"), platforms(body).alias("platforms"),
-        *[v.alias(k) for k, v in history(body).items()],
-    )
-    fixes = text.fix_kbs("resolution")
-    rows = rows.withColumns({"_full": fixes["full"], "_partial": fixes["partial"], "_stated": text.kbs("status_raw")})
-    resolving = F.array_sort(F.array_except(F.array_union("_stated", "_full"), "originating_kbs"))
-    rows = rows.withColumn("resolving_kbs", resolving)
-    partial = F.array_except(F.array_except("_partial", "resolving_kbs"), "originating_kbs")
+    rows = rows.withColumns({
+        "_origin": F.when(F.size(text.kbs(origin)) > 0, origin).otherwise(F.col("_named")), "status_raw": text.norm_space(F.coalesce(given("status_cell"), given("meta_status"), "_stated")), "platforms": platforms(F.col("_block")),
+        "title": F.coalesce("title", given("_first"), "issue_id"), "detailed": F.col("body").isNotNull(), "body": F.coalesce(given("body"), "short", F.lit("")), "_fixes": text.fix_kbs("resolution"),
+    })
+    rows = rows.withColumns({"originating_kbs": text.kbs("_origin"), "originating_builds": text.builds("_origin"), "_kbs": text.kbs("status_raw")})
+    rows = rows.withColumn("resolving_kbs", F.array_sort(F.array_except(F.array_union("_kbs", "_fixes.full"), "originating_kbs")))
+    partial = F.array_except(F.array_except("_fixes.partial", "resolving_kbs"), "originating_kbs")
     symptoms = F.element_at(F.split("body", fixed.AFTER_SYMPTOMS, 2), 1)
     return rows.select(
         page, "issue_id", "anchor", "title", "body", labels.status(F.col("status_raw")).alias("status"), "status_raw", "originating_kbs", "originating_builds", "resolving_kbs", partial.alias("partial_fix_kbs"), "workaround", "resolution", "next_steps", "platforms",
-        text.products(F.array_join(F.map_values("platforms"), " ; ")).alias("products"), *fixed.HISTORY_LABELS, dates.parse_loose(F.col("updated_cell")).alias("updated"), text.symptom_tags(F.concat_ws(" ", "title", symptoms)).alias("tags"),
+        text.products(F.array_join(F.map_values("platforms"), " ; ")).alias("products"), *[dates.parse_loose(given(f"_{k}")).alias(k) for k in fixed.HISTORY_LABELS], dates.parse_loose(F.col("updated_cell")).alias("updated"), text.symptom_tags(F.concat_ws(" ", "title", symptoms)).alias("tags"),
         F.concat_ws(" ", "title", "body", "status_raw", "resolution").rlike(fixed.ROLLBACK).alias("rollback"), "detailed",
     )
 
 
-def status_issues(found: DataFrame, page: str = "page_id") -> DataFrame:
-    """The issues of status pages (as trees): summary rows with or without a section, and sections without a row.
+def status_issues(pages: DataFrame, page: str = "page_id") -> DataFrame:
+    """The issues of status pages (as read): summary rows with or without a section, and sections without a row.
 
     Origin updates are those of the summary's cell, else of the section's table, else of its text. Resolving updates are those
     of the status cell and the full fixes of the resolution, without the origin; partial fixes without either. Tags come from
     the symptoms only. A page without summary table and sections gives no rows; structure() tells it from one without issues.
     """
-    cells = tree.table_cells(found, page)
-    parts = sections(found, page)
-    rows = summary_rows(cells, page)
+    cells = pages.select(page, F.inline("cells"))
+    parts = sections(pages, page)
     told = parts.join(section_tables(parts, cells, page), [page, "node"], "left").withColumnRenamed("anchor", "_anchor")
-    joined = rows.join(told, [page, "issue_id"], "full_outer").withColumn("anchor", F.coalesce("anchor", "_anchor"))
+    joined = summary_rows(cells, page).join(told, [page, "issue_id"], "full_outer").withColumn("anchor", F.coalesce("anchor", "_anchor"))
     return issue_fields(joined, page)
 
 
-def structure(found: DataFrame, issues: DataFrame, page: str = "page_id") -> DataFrame:
-    """(page, tables, issues, structure_ok) of every page: whether it has a summary table or an issue."""
-    cells = tree.table_cells(found, page).withColumn("name", F.lower("text"))
-    has = lambda word: F.max(F.contains("name", F.lit(word)))
-    tables = cells.where("head or row = 0").groupBy(page, "tab").agg(has("summary").alias("s"), has("status").alias("t")).where("s and t").groupBy(page).agg(F.count("*").alias("tables"))
+def structure(pages: DataFrame, issues: DataFrame, page: str = "page_id") -> DataFrame:
+    """(page, tables, issues, structure_ok) of every page read: whether it has a summary table or an issue."""
+    heads = F.filter("cells", lambda c: c["head"] | (c["row"] == 0))
+    named = lambda word: F.array_distinct(F.filter(heads, lambda c: F.contains(F.lower(c["text"]), F.lit(word)))["tab"])
     counts = issues.groupBy(page).agg(F.count("*").alias("issues"))
-    out = found.select(page).join(tables, page, "left").join(counts, page, "left").fillna(0, ["tables", "issues"])
+    tables = F.size(F.array_intersect(named("summary"), named("status"))).cast("long")
+    out = pages.select(page, tables.alias("tables")).join(counts, page, "left").fillna(0, ["issues"])
     return out.withColumn("structure_ok", F.expr("tables > 0 or issues > 0"))

@@ -208,10 +208,10 @@ def numbered(keep) -> Column:
     return F.filter(every, lambda e: keep(e, e["node"]))
 
 
-def table_cells(found: DataFrame, id_col: str = "page_id", where=None) -> DataFrame:
-    """(id, tab, row, col, head, node, text, lead, bold, ref) of the cells of the main content's tables.
+def table_cells(where=None) -> Column:
+    """The cells of the main content's tables that where accepts: structs of tab, row, col, head, node, text, lead, bold, ref.
 
-    where, if given, keeps the cells that it accepts. tab is the table's number among the elements; lead and bold are the texts of the first such element of the cell, or empty.
+    tab is the table's number among the elements; lead and bold are the texts of the first such element of the cell, or empty.
     """
 
     def told(c: Column) -> Column:
@@ -221,4 +221,4 @@ def table_cells(found: DataFrame, id_col: str = "page_id", where=None) -> DataFr
             text.norm_space(text_of(e["lead"])).alias("lead"), text.norm_space(text_of(e["bold"])).alias("bold"), e["ref"].alias("ref"),
         )
 
-    return found.select(id_col, F.inline(F.transform(F.filter("cells", lambda c: in_root(c["node"]) if where is None else in_root(c["node"]) & where(c)), told)))
+    return F.transform(F.filter("cells", lambda c: in_root(c["node"]) if where is None else in_root(c["node"]) & where(c)), told)

@@ -72,7 +72,7 @@ STATUS = f"""<html><body><nav><table><tr><th>Summary</th><th>Status</th></tr><tr
 
 def test_status_page(spark):
     pages = spark.createDataFrame([("p", STATUS), ("q", None), ("r", ""), ("s", "<table><tr><td>Summary</td><td>Status</td></tr><tr><td>Disk is slow</td><td>Reported</td></tr></table>")], "page_id string, html string")
-    found = tree.trees(pages)
+    found = status_pages.read(tree.trees(pages))
     issues = status_pages.status_issues(found)
     rows = {(r["page_id"], r["issue_id"]): r for r in issues.collect()}
     assert set(rows) == {("p", "4990"), ("p", "4984"), ("p", "late"), ("p", "4777"), ("s", "t-disk-is-slow")}
@@ -88,7 +88,7 @@ def test_status_page(spark):
     assert (disk["status"], disk["detailed"], disk["body"]) == ("investigating", False, "")
     ok = {r["page_id"]: (r["tables"], r["issues"], r["structure_ok"]) for r in status_pages.structure(found, issues).collect()}
     assert ok == {"p": (1, 4, True), "q": (0, 0, False), "r": (0, 0, False), "s": (1, 1, True)}
-    assert status_pages.status_issues(found.limit(0)).count() == 0
+    assert status_pages.status_issues(status_pages.read(tree.trees(pages.limit(0)))).count() == 0
 
 
 def article(known, before=""):
@@ -108,7 +108,7 @@ def test_articles(spark):
         8: article("<p>No known issues" + " and so on" * 50 + "</p>"), 9: "<h3>Known issues</h3><h3>Not one</h3><p>x</p>", 10: article("   "),
     }
     pages = spark.createDataFrame([(i, str(5000100 + i), h) for i, h in kbs.items()], "page_id long, kb string, html string")
-    rows = articles.article_issues(tree.trees(pages, keep=["kb"])).orderBy("page_id", "place").collect()
+    rows = articles.article_issues(articles.read(tree.trees(pages, keep=["kb"]))).orderBy("page_id", "place").collect()
     assert [(r["page_id"], r["layout"], r["title"], r["status"]) for r in rows] == [
         (1, "details", "Trust with the domain is lost", "confirmed"), (1, "details", "USB sound", "mitigated"), (1, "details", "Inner", "confirmed"), (2, "table", "Shares vanish", "confirmed"),
         (3, "headings", "VPN ends", "resolved"), (4, "whole", "KB5000104 bilinen sorun", "resolved"), (8, "whole", "KB5000108 bilinen sorun", "confirmed"),
@@ -162,6 +162,6 @@ def test_text_between_is_linear(spark):
     html = "<main>" + "".join(f'<div id="{1000 + i}msgdesc"></div><p>Issue {i} is slow.</p>' for i in range(3000)) + "</main>"
     found = tree.trees(spark.createDataFrame([(1, html)], "page_id long, html string"))
     began = time.time()
-    assert status_pages.sections(found, "page_id").where(F.contains("body", F.lit("is slow"))).count() == 3000
+    assert status_pages.sections(status_pages.read(found), "page_id").where(F.contains("body", F.lit("is slow"))).count() == 3000
     assert time.time() - began < 60
     assert found.select(text.norm_space(tree.text_of(F.lit(2)))).first()[0] == "Issue 0 is slow."
