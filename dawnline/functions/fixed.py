@@ -231,3 +231,10 @@ LICENCE_NOTE = r"(?i)[^.\n]*(?:licen[cs]e|Intune Suite|Intune Plan 2|add-on|E3|E
 ROLLOUT_NOTE = r"(?i)[^.\n]*(?:gradual|rolling out|rolls out|rollout|over the coming weeks|phased)[^.\n]*\."
 ADMIN_ACTION = r"(?is)How can you prepare\??(.+?)(?=\n#{2,4} |\z)"
 PLATFORMS = {"windows": "windows", "ios": "ios|ipados", "macos": "macos", "android": "android", "linux": "linux"}
+
+#: The order in which kinds of observations are matched, and the kind of the event that each begins.
+KIND_PRIORITY = {"known_issue": 0, "cm_known_issue": 0, "kb_release": 1, "cm_version": 1, "cm_hotfix": 1, "feature": 2, "notice": 2, "announcement": 3, "field_report": 4, "article": 5, "content": 6}
+EVENT_KIND = {
+    "known_issue": "issue", "cm_known_issue": "issue", "field_report": "issue", "kb_release": "release", "cm_version": "version", "cm_hotfix": "hotfix",
+    "feature": "feature", "notice": "notice", "announcement": "notice", "article": "news", "content": "content",
+}

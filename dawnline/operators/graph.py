@@ -32,3 +32,18 @@ def components(edges: DataFrame) -> DataFrame:
         rows = hung.select("v", "u")
         if hung.where("changed").isEmpty():
             return rows.select(F.col("v").alias("node"), F.col("u").alias("label")).union(rows.select("u", "u").distinct())
+
+
+def roots(links: DataFrame) -> DataFrame:
+    """node and root: where the chain of parents ends, of links (node long, parent long) with one parent a node and no cycle.
+
+    Each round doubles the steps that a link spans, so that a chain of n links takes log n rounds. What is no node is an end.
+    """
+    spark = links.sparkSession
+    rows = stored(spark, links.select("node", F.col("parent").alias("root")), "roots")
+    while True:
+        after = rows.select(F.col("node").alias("root"), F.col("root").alias("_after"))
+        rows = rows.join(after, "root", "left").select("node", F.coalesce("_after", "root").alias("root"), F.col("_after").isNotNull().alias("_moved"))
+        rows = stored(spark, rows, "roots")
+        if rows.where("_moved").isEmpty():
+            return rows.select("node", "root")
