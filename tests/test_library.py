@@ -46,16 +46,6 @@ def test_set_pairs_lose_nothing(spark):
     assert {(r["a"], r["b"]) for r in similarity.near_duplicate_pairs(df).collect()} == want
 
 
-def test_replay_matches_one_pass(spark):
-    rng = random.Random(3)
-    ids = list(range(40))
-    scores = {(a, b): round(rng.random(), 3) for a in ids for b in ids if a < b and rng.random() < 0.08}
-    items = spark.createDataFrame([(i, 40 - i) for i in ids], "id long, place long")
-    pairs = spark.createDataFrame([(a, b, s) for (a, b), s in scores.items()], "a long, b long, score double")
-    want = linking.replay(sorted(ids, key=lambda i: 40 - i), scores, 0.5)
-    assert {r["id"]: r["cluster"] for r in linking.replayed(items, pairs).collect()} == want
-
-
 def test_capture_twice_changes_nothing(spark):
     current = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
     batch = spark.createDataFrame([(2, "c", 1), (2, "d", 2), (3, "e", 1), (1, None, 1)], "k long, v string, n long")
