@@ -33,6 +33,20 @@ def _of_tier(name: str, top: Column, tiers: int) -> Column:
     return F.element_at(F.array(*(F.col(f"{name}_{i}") for i in range(tiers))), (top + 1).cast("int")).alias(name)
 
 
+def united(rows: DataFrame, key: str, sets: dict[str, Column]) -> DataFrame:
+    """key and, by name, the sorted union of each array over the key's rows.
+
+    Values are made distinct as rows of their own, with partial aggregation, so that a hot key sends each value once a task
+    and only its distinct values meet.
+    """
+    none = F.array().cast("array<struct<k: int, v: string>>")
+    named = lambda i, c: F.coalesce(F.transform(c, lambda v: F.struct(F.lit(i).alias("k"), v.alias("v"))), none)
+    each = rows.select(key, F.inline(F.concat(*(named(i, c) for i, c in enumerate(sets.values()))))).distinct()
+    lists = each.groupBy(key).agg(F.collect_list(F.struct("k", "v")).alias("_each"))
+    of = lambda i: F.array_sort(F.transform(F.filter("_each", lambda x: x["k"] == i), lambda x: x["v"]))
+    return lists.select(key, *(of(i).alias(name) for i, name in enumerate(sets)))
+
+
 def issue_states(evidence: DataFrame, event: str, independent: DataFrame | None = None) -> DataFrame:
     """The state of each issue event, from its evidence rows; only the strongest level of evidence adds to the sets.
 
@@ -41,32 +55,32 @@ def issue_states(evidence: DataFrame, event: str, independent: DataFrame | None
     independent: event and independent, the number of independent reports.
     """
     level = F.array_position(F.array(*map(F.lit, fixed.EVIDENCES)), F.col("level")) - 1
-    tiers = [level == i for i in range(3)]
-    origin = F.when(F.size("originating_kbs") > 0, F.col("originating_kbs")).when(F.col("kb").isNotNull() & (F.col("kind") == "known_issue"), F.array("kb")).otherwise(F.array().cast("array<string>"))
-    rows = evidence.withColumn("originating_kbs", F.when(level == 0, F.array_union(origin, F.col("kbs"))).otherwise(origin))
-    known = tiers[2]
+    rows = evidence.withColumn("_level", level.cast("int"))
+    # one number an event goes back to its rows, so that what weaker levels say is dropped before sets are made
+    tops = rows.groupBy(event).agg(F.max("_level").alias("_top"))
+    strong = rows.join(tops, event).where("_level = _top")
+    official, nothing = F.col("_top") > 0, F.array().cast("array<string>")
+    own = F.when(F.size("originating_kbs") > 0, F.col("originating_kbs")).when(F.col("kb").isNotNull() & (F.col("kind") == "known_issue"), F.array("kb")).otherwise(nothing)
+    told = official & (F.trim("workaround") != "")
+    sets = {
+        "products": F.col("products"), "tags": F.col("tags"), "versions": F.col("versions"), "originating_kbs": F.when(official, own).otherwise(F.array_union(own, F.coalesce("kbs", nothing))),
+        "resolving_kbs": F.when(official, F.col("resolving_kbs")), "partial_fix_kbs": F.when(official, F.col("partial_fix_kbs")), "workaround_tokens": F.when(told, text.token_set("workaround", noise=fixed.DOMAIN_NOISE)),
+    }
     newest = F.struct(F.col("health").cast("int"), F.coalesce("updated", F.lit("")), "id")
-    texts = [F.transform(F.array_sort(F.collect_list(F.when(t & (F.trim("workaround") != ""), F.struct("id", "workaround")))), lambda x: x["workaround"]).alias(f"workaround_{i}") for i, t in enumerate(tiers)]
-    sets = ["products", "tags", "versions", "originating_kbs", "resolving_kbs", "partial_fix_kbs"]
-    rollback = [F.coalesce(F.bool_or(t & F.col("rollback")), F.lit(False)).alias(f"rollback_{i}") for i, t in enumerate(tiers)]
-    found = rows.groupBy(event).agg(F.max(level).alias("_top"), F.max_by("status", F.when(known, newest)).alias("_status"), *_tiered(sets, tiers), *texts, *rollback)
-    top, official = F.col("_top"), F.col("_top") > 0
-    nothing = F.array().cast("array<string>")
-    status = F.when(top == 2, F.coalesce(F.nullif("_status", F.lit("unknown")), F.lit("confirmed"))).when(top == 1, "confirmed").otherwise("reported")
-    out = found.select(event, F.element_at(F.array(*map(F.lit, fixed.EVIDENCES)), (top + 1).cast("int")).alias("evidence"), status.alias("status"), official.alias("_official"), *(_of_tier(c, top, 3) for c in (*sets, "workaround", "rollback")))
-    for c in ("resolving_kbs", "partial_fix_kbs", "workaround"):
-        out = out.withColumn(c, F.when(F.col("_official"), F.col(c)).otherwise(nothing))
-    out = out.withColumns({"kir": F.col("_official") & F.col("rollback"), "_told": F.array_join("workaround", " ")})
+    found = strong.groupBy(event).agg(F.max("_top").alias("_top"), F.max_by("status", newest).alias("_status"), F.coalesce(F.bool_or(told), F.lit(False)).alias("_told"), F.coalesce(F.bool_or(official & F.col("rollback")), F.lit(False)).alias("kir"))
+    found = found.join(united(strong, event, sets), event, "left")
+    status = F.when(F.col("_top") == 2, F.coalesce(F.nullif("_status", F.lit("unknown")), F.lit("confirmed"))).when(F.col("_top") == 1, "confirmed").otherwise("reported")
+    name = F.element_at(F.array(*map(F.lit, fixed.EVIDENCES)), F.col("_top") + 1)
+    out = found.select(event, name.alias("evidence"), status.alias("status"), "kir", "_told", *(F.coalesce(c, nothing).alias(c) for c in sets))
     counts = independent.select(event, F.col("independent").alias("field_sources")) if independent is not None else None
     out = out.join(counts, event, "left") if counts is not None else out.withColumn("field_sources", F.lit(0))
     out = out.withColumns({
-        "field_bucket": dates.source_bucket(F.coalesce("field_sources", F.lit(0))), "workaround": (F.size("workaround") > 0) | F.col("kir"),
-        "workaround_tokens": F.array_sort(text.token_set("_told", noise=fixed.DOMAIN_NOISE)), "partial_fix_kbs": F.array_except("partial_fix_kbs", "resolving_kbs"),
+        "field_bucket": dates.source_bucket(F.coalesce("field_sources", F.lit(0))), "workaround": F.col("_told") | F.col("kir"), "partial_fix_kbs": F.array_except("partial_fix_kbs", "resolving_kbs"),
         "fix": F.col("status").isin(fixed.RESOLVED) | (F.size("resolving_kbs") > 0),
     })
     servers = [p for p, family, _ in fixed.PRODUCTS if family == "server"]
     server = F.arrays_overlap("products", F.array(*map(F.lit, servers)))
-    return out.drop("_official", "_told", "rollback").withColumn("risk", risk_of_issue(F.col("tags"), server, F.col("status"), F.col("workaround")))
+    return out.drop("_told").withColumn("risk", risk_of_issue(F.col("tags"), server, F.col("status"), F.col("workaround")))
 
 
 def main_states(records: DataFrame, event: str) -> DataFrame:
