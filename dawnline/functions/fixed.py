@@ -238,3 +238,6 @@ EVENT_KIND = {
     "known_issue": "issue", "cm_known_issue": "issue", "field_report": "issue", "kb_release": "release", "cm_version": "version", "cm_hotfix": "hotfix",
     "feature": "feature", "notice": "notice", "announcement": "notice", "article": "news", "content": "content",
 }
+
+#: The order in which adapters depend on each other.
+ADAPTER_ORDER = {"ms_update_history": 0, "wrh_status": 1, "wrh_resolved": 1, "wrh_messages": 2, "intune": 2, "cm_versions": 2, "cm_hotfix": 2, "cm_release_notes": 2, "cm_tp": 3, "ms_kb": 4, "rss": 5, "web_search": 6}

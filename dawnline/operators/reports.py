@@ -14,22 +14,18 @@ def source_health(checks: DataFrame, source: str, status: str, at: str, check_id
     )
 
 
-def _first(rows: DataFrame, key: str, name: str, top: int) -> DataFrame:
-    """One row with the first keys, by a take-ordered plan."""
-    return rows.select(key).orderBy(key).limit(top).agg(F.sort_array(F.collect_list(key)).alias(name))
-
+def coverage(sources: DataFrame, health: DataFrame, since: Column, failed: str = "error") -> DataFrame:
+    """One row: how many sources are enabled, ok (checked well since then), failing and never checked. sources: the enabled ones, by source."""
+    rows = sources.select("source").distinct().join(health, "source", "left")
+    never, failing = F.col("checks").isNull(), F.col("last_status") == failed
+    return rows.agg(F.count("*").alias("enabled"), F.count_if(~never & ~failing & (F.col("last_ok") >= since)).alias("ok"), F.count_if(failing).alias("failing"), F.count_if(never).alias("never"))
 
-def coverage(sources: DataFrame, health: DataFrame, since: Column, top: int = 100, failed: str = "error") -> DataFrame:
-    """One row: enabled, ok (checked well since then), failing and never checked sources, and the first ones of both lists.
 
-    sources: the enabled ones, by source. The lists are for a reader and hold at most top names; the counts tell of all.
-    """
+def unhealthy(sources: DataFrame, health: DataFrame, failed: str = "error") -> DataFrame:
+    """source, state (failing or never), last_ok and last_error of every enabled source that is not well."""
     rows = sources.select("source").distinct().join(health, "source", "left")
-    never, failing = F.col("checks").isNull(), F.col("last_status") == failed
-    counts = rows.agg(F.count("*").alias("enabled"), F.count_if(~never & ~failing & (F.col("last_ok") >= since)).alias("ok"), F.count_if(failing).alias("failing"), F.count_if(never).alias("never"))
-    for where, name in ((failing, "failing_sources"), (never, "never_sources")):
-        counts = counts.join(F.broadcast(_first(rows.where(where), "source", name, top)), F.lit(True))  # one row each
-    return counts
+    state = F.when(F.col("checks").isNull(), "never").when(F.col("last_status") == failed, "failing")
+    return rows.select("source", state.alias("state"), "last_ok", "last_error").where("state is not null")
 
 
 def run_report(results: DataFrame, status: str, changed: Column, amount: str) -> DataFrame:

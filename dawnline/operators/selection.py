@@ -5,13 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dawnline.functions import fixed, urls
+
 
 def chosen_sources(sources: DataFrame, modules: list[str], tracked: list[str], critical_only: bool = False) -> DataFrame:
-    """Enabled sources of switched-on modules; community sources need a tracked module; in the order of dependency."""
+    """Enabled sources of switched-on modules; community sources need a tracked module.
+
+    With an adapter column they come in the order of dependency: what others read comes first, then by source.
+    """
     module = F.col("module")
     on = module.isin(modules) & ((module != "community") | F.lit(any(m in modules for m in tracked)))
     rows = sources.where(F.col("enabled") & on)
-    return rows.where("critical") if critical_only else rows
+    rows = rows.where("critical") if critical_only else rows
+    return rows.orderBy(dependency(F.col("adapter")), "source") if "adapter" in sources.columns else rows
+
+
+def dependency(adapter: Column) -> Column:
+    """The place of a source's adapter among those that depend on each other."""
+    table = F.create_map(*(F.lit(x) for pair in fixed.ADAPTER_ORDER.items() for x in pair))
+    return F.coalesce(F.try_element_at(table, adapter), F.lit(9))
+
+
+def critical_view(events: DataFrame, since: Column, top: int = 50) -> DataFrame:
+    """The risky, relevant events that something has happened to since then: critical ones first, then the newest; top of them."""
+    rows = events.where(F.col("risk").isin("high", "critical") & (F.col("relevance") > 0) & (F.coalesce("changed_at", "first_seen") >= since))
+    return rows.orderBy(F.when(F.col("risk") == "critical", 0).otherwise(1), F.desc("changed_at"), "event").limit(top)
+
+
+def followed_view(events: DataFrame, top: int = 50) -> DataFrame:
+    """Followed events, the newest first."""
+    return events.where("followed").orderBy(F.desc("changed_at"), "event").limit(top)
+
+
+def open_risk_view(events: DataFrame, top: int = 50) -> DataFrame:
+    """Open, risky, relevant issues that are neither followed nor muted; a null status is not open."""
+    rows = events.where((F.col("kind") == "issue") & ~F.col("status").isin(fixed.RESOLVED) & F.col("risk").isin("high", "critical") & (F.col("relevance") > 0))
+    rows = rows.where(~F.coalesce("followed", F.lit(False)) & F.col("muted_at").isNull())
+    return rows.orderBy(F.when(F.col("risk") == "critical", 0).otherwise(1), F.desc("changed_at"), "event").limit(top)
 
 
 def relevant(module: Column, score: Column, followed: Column, has_products: bool) -> Column:
@@ -37,9 +67,9 @@ def critical_for_reader(followed: Column, kind: Column, status: Column, risk: Co
 
 
 def references(evidence: DataFrame, event: str, trust: str, order: str, url: str, top: int = 8) -> DataFrame:
-    """Each event's distinct links, official ones first, at most top; picked before they are gathered."""
+    """Each event's distinct safe links, official ones first, at most top; picked before they are gathered."""
     rank = F.when(F.col(trust) == "official", 0).when(F.col(trust) == "press", 1).otherwise(2)
-    once = evidence.where(F.col(url).isNotNull()).groupBy(event, url).agg(F.min(F.struct(rank.alias("r"), F.col(order).alias("o"))).alias("_k"))
+    once = evidence.where(F.coalesce(urls.is_safe(F.col(url)), F.lit(False))).groupBy(event, url).agg(F.min(F.struct(rank.alias("r"), F.col(order).alias("o"))).alias("_k"))
     few = once.withColumn("_n", F.row_number().over(Window.partitionBy(event).orderBy("_k", url))).where(F.col("_n") <= top)
     return few.groupBy(event).agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", url))), lambda x: x[url]).alias("links"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dawnline.functions import text, urls
 from dawnline.operators import daily, generated, ranking
+from dawnline.plans import state_queries
 from dawnline.plans.tables import Registry, table
 from dawnline.plans.text_queries import SQL_ISSUE, SQL_PADDED, SQL_SCOPE, SQL_TITLE, first_line, sql_fold
 from dawnline.sources import feeds, html, markdown
@@ -26,6 +27,21 @@ def x1_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).select("page_id", "title", F.length("text").alias("chars"), F.size(html.sections(F.col("text"))).alias("blocks"), "updated")
 
 
+_DATED = [
+    '<meta name="updated_at" content="2024-01-01"><meta name="ms.date" content="2024-02-{d}">', '<meta property="article:modified_time" content="2024-03-{d}"><time>2020-01-01</time>', '<p>Of <time datetime="2024-04-{d}">April</time></p>',
+    "<time> 2024-05-{d} </time><time>2019-01-01</time>", '<time>2018-01-01</time><time data-article-date datetime="2024-06-{d}">x</time>', '<meta name="date" content="2017-01-01"><p>none</p>',
+]
+
+
+@R.query("select doc_id, case when doc_id%6<5 then '2024-0'||(2+doc_id%6)||'-'||(10+doc_id%19) end as updated from documents")
+def x13_page_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages that tell their date by a meta element, a time element or its text, or don't."""
+    day = (F.lit(10) + F.col("doc_id") % 19).cast("string")
+    form = F.element_at(F.array(*map(F.lit, _DATED)), (F.col("doc_id") % 6 + 1).cast("int"))
+    pages = table(spark, sf_dir, "documents").select("doc_id", F.lit("https://a.org").alias("url"), F.replace(form, F.lit("{d}"), day).alias("html"))
+    return html.parsed(pages, "doc_id").select("doc_id", "updated")
+
+
 @R.query()
 def x2_page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html.links(_pages(spark, sf_dir))
@@ -289,6 +305,13 @@ def st4_st6_changes_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("user_id", "event_id", "event_type", "large", "version")
 
 
+@R.query(state_queries.R.sql["w4_f5_material_versions"])
+def st6_material_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions of a stream: an error after none, or a value 25 away from that of the last version."""
+    material = lambda new, last: (new[0] == "error" and last[0] != "error") or abs(new[1] - last[1]) >= 25
+    return jobs.drained(jobs.changed_rows(_stream(spark, sf_dir), "user_id", ["ts", "event_id"], ["event_type", "value"], material=material), "append").select("user_id", "ts", "event_id", "event_type", "value", "version")
+
+
 @R.query("with a as (select user_id, ts, event_id, event_type as action, last_value(case when event_type in ('purchase','signup') then event_type end ignore nulls) over (partition by user_id order by ts,event_id rows between unbounded preceding and 1 preceding) as before from events) select user_id, coalesce(arg_max(action='purchase', struct_pack(t:=ts,e:=event_id)) filter (where action in ('purchase','signup')), false) as followed, cast(sum(case when action='purchase' then 3 when action='signup' and before='purchase' then -3 else 0 end) as bigint) as relevance_delta from a group by 1")
 def st5_followed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     action = F.when(F.col("event_type") == "purchase", "follow").when(F.col("event_type") == "signup", "unfollow").otherwise("view")

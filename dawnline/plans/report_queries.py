@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dawnline.operators import changes, ranking, reports, tables
+from dawnline.operators import changes, ranking, reports, selection, tables
 from dawnline.plans.tables import Registry, table
 from dawnline.workspace import shared_path
 
@@ -17,13 +17,16 @@ CUT = "2024-01-16"
 
 
 def _polls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    events = table(spark, sf_dir, "events").select("user_id", "event_type", "value", "props", "ts", "event_id")
-    current = ranking.latest(events.where(F.col("ts") < CUT), ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")])
-    return current, events.where(F.col("ts") >= CUT)
+    """What is known of users' kinds of events by a day, and what comes after it: some users are on one side only, some contents stay as they are."""
+    user = F.col("user_id")
+    events = table(spark, sf_dir, "events").select(user, "event_type", F.floor(F.col("value") / 50).cast("double").alias("value"), F.when(user % 3 == 0, F.col("props")).alias("props"), "ts", "event_id")
+    current = ranking.latest(events.where((F.col("ts") < CUT) & (user % 7 != 0)), ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")])
+    return current, events.where((F.col("ts") >= CUT) & (user % 5 != 0))
 
 
-_CAPTURE = f"""with c as (select * from (select *, row_number() over (partition by user_id,event_type order by ts desc,event_id desc) n from events where ts < '{CUT}') where n=1),
-b as (select * from (select *, row_number() over (partition by user_id,event_type order by ts,event_id) n from events where ts >= '{CUT}') where n=1),
+_CAPTURE = f"""with ev as (select user_id, event_type, floor(value/50) as value, case when user_id%3=0 then props end as props, ts, event_id from events),
+c as (select * from (select *, row_number() over (partition by user_id,event_type order by ts desc,event_id desc) n from ev where ts < '{CUT}' and user_id%7<>0) where n=1),
+b as (select * from (select *, row_number() over (partition by user_id,event_type order by ts,event_id) n from ev where ts >= '{CUT}' and user_id%5<>0) where n=1),
 j as (select coalesce(c.user_id,b.user_id) as user_id, coalesce(c.event_type,b.event_type) as event_type, c.event_id as ci, b.event_id as bi, c.value as cv, c.props as cp, coalesce(b.value,c.value) as value, coalesce(b.props,c.props) as props from c full outer join b on c.user_id=b.user_id and c.event_type=b.event_type)
 select user_id, event_type, case when ci is null then 'inserted' when bi is null then 'absent' when cv is not distinct from value and cp is not distinct from props then 'unchanged' else 'changed' end as change, round(value,6) as value, props from j"""
 
@@ -68,18 +71,23 @@ def w8_first_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.with_first_run(events, runs, "user_id", "ts", "ok_at").select("event_id", "first_run")
 
 
-_ACTION = "case event_type when 'view' then 'view' when 'click' then 'read' when 'purchase' then 'follow' when 'signup' then 'unfollow' else 'mute' end"
+_ACTION = "case event_type when 'view' then 'view' when 'click' then case when value < 30 then 'unread' else 'read' end when 'purchase' then 'follow' when 'signup' then 'unfollow' else case when value < 30 then 'unmute' else 'mute' end end"
+
+
+def _sql_held(on: str, off: str, name: str) -> str:
+    """SQL of whether an action holds since the last one that takes it back, and since when."""
+    holds = f"action='{on}' and (r_{name} is null or struct_pack(t:=ts,e:=event_id) > r_{name})"
+    return f"coalesce(bool_or({holds}), false) as {name}, min(ts) filter (where {holds}) as {name}_at"
 
 
 @R.query(f"""with a as (select user_id, ts, event_id, {_ACTION} as action from events),
-r as (select *, max(case when action='unfollow' then struct_pack(t:=ts,e:=event_id) end) over (partition by user_id) as reset, last_value(case when action in ('follow','unfollow') then action end ignore nulls) over (partition by user_id order by ts,event_id rows between unbounded preceding and 1 preceding) as before from a)
-select user_id, max(ts) filter (where action='view') as viewed_at, coalesce(bool_or(action='read'),false) as read, min(ts) filter (where action='read') as read_at,
-coalesce(bool_or(action='follow' and (reset is null or struct_pack(t:=ts,e:=event_id) > reset)), false) as followed, min(ts) filter (where action='follow' and (reset is null or struct_pack(t:=ts,e:=event_id) > reset)) as followed_at,
-coalesce(bool_or(action='mute'),false) as muted, min(ts) filter (where action='mute') as muted_at,
+r as (select *, {", ".join(f"max(case when action='{off}' then struct_pack(t:=ts,e:=event_id) end) over (partition by user_id) as r_{name}" for name, off in (("read", "unread"), ("followed", "unfollow"), ("muted", "unmute")))},
+  last_value(case when action in ('follow','unfollow') then action end ignore nulls) over (partition by user_id order by ts,event_id rows between unbounded preceding and 1 preceding) as before from a)
+select user_id, max(ts) filter (where action='view') as viewed_at, {_sql_held("read", "unread", "read")}, {_sql_held("follow", "unfollow", "followed")}, {_sql_held("mute", "unmute", "muted")},
 cast(sum(case when action='follow' then 3 when action='unfollow' and before='follow' then -3 else 0 end) as bigint) as relevance_delta from r group by user_id""")
 def a13_user_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.col("event_type")
-    action = F.when(kind == "view", "view").when(kind == "click", "read").when(kind == "purchase", "follow").when(kind == "signup", "unfollow").otherwise("mute")
+    kind, back = F.col("event_type"), F.col("value") < 30
+    action = F.when(kind == "view", "view").when(kind == "click", F.when(back, "unread").otherwise("read")).when(kind == "purchase", "follow").when(kind == "signup", "unfollow").otherwise(F.when(back, "unmute").otherwise("mute"))
     log = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", action.alias("action"))
     return changes.user_states(log, ["user_id"], "action", "ts", "event_id")
 
@@ -96,13 +104,20 @@ def a5_source_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _health(table(spark, sf_dir, "events"))
 
 
-@R.query(f"with h as ({_SOURCES}), e as (select c_custkey as source from customer where c_custkey%2=0), j as (select e.source, h.* exclude (source) from e left join h using (source)) select count(*) as enabled, count(*) filter (where last_status<>'error' and last_ok >= timestamp '2024-01-30 00:00:00') as ok, count(*) filter (where last_status='error') as failing, count(*) filter (where checks is null) as never, coalesce((select list(source order by source) from (select source from j where last_status='error' order by source limit 100)),[]) as failing_sources, coalesce((select list(source order by source) from (select source from j where checks is null order by source limit 100)),[]) as never_sources from j")
+@R.query(f"with h as ({_SOURCES}), e as (select c_custkey as source from customer where c_custkey%2=0), j as (select e.source, h.* exclude (source) from e left join h using (source)) select count(*) as enabled, count(*) filter (where last_status<>'error' and last_ok >= timestamp '2024-01-30 00:00:00') as ok, count(*) filter (where last_status='error') as failing, count(*) filter (where checks is null) as never from j")
 def a6_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many sources are well, failing or never checked; every second customer is an enabled source."""
     sources = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("source"))
     return reports.coverage(sources, _health(table(spark, sf_dir, "events")), F.lit("2024-01-30").cast("timestamp"))
 
 
+@R.query(f"with h as ({_SOURCES}), e as (select c_custkey as source from customer where c_custkey%2=0) select e.source, case when h.source is null then 'never' else 'failing' end as state, last_ok, last_error from e left join h using (source) where h.source is null or last_status='error'")
+def a6_unhealthy_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sources that are failing or were never checked."""
+    sources = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("source"))
+    return reports.unhealthy(sources, _health(table(spark, sf_dir, "events")))
+
+
 @R.query("select event_type as status, count(*) as n, count(*) filter (where value > 50) as changed, round(sum(value),4) as total from events group by 1")
 def a7_run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.run_report(table(spark, sf_dir, "events"), "event_type", F.col("value") > 50, "value")
@@ -270,10 +285,32 @@ def k4_recent_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.recent_targets(lines, "l_partkey", "l_shipdate", 15, products, ["1", "2"])
 
 
-@R.query(f"select o_orderkey, {_RISK} as risk from orders where o_orderpriority in ('1-URGENT','2-HIGH') and o_orderstatus<>'F' order by o_orderpriority, o_orderdate desc, o_orderkey limit 100")
+_TOLD = f"select o_orderkey, {_RISK} as risk, o_totalprice > 20000 as relevant, o_orderdate, o_custkey%9=0 as followed, o_custkey%8=0 as muted, o_orderkey%2=0 as issue, o_orderstatus from orders"
+_NEWEST = "case risk when 'critical' then 0 else 1 end, o_orderdate desc, o_orderkey limit 50"
+
+
+def _told(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as events."""
+    who, day = F.col("o_custkey"), F.col("o_orderdate")
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("event"), _risk().alias("risk"), F.when(F.col("o_totalprice") > 20000, 1.0).otherwise(0.0).alias("relevance"), day.alias("changed_at"), day.alias("first_seen"), (who % 9 == 0).alias("followed"),
+        F.when(who % 8 == 0, day).alias("muted_at"), F.when(F.col("o_orderkey") % 2 == 0, "issue").otherwise("release").alias("kind"), F.when(F.col("o_orderstatus") == "F", "resolved").otherwise("confirmed").alias("status"),
+    )
+
+
+@R.query(f"with t as ({_TOLD}) select o_orderkey, risk from t where risk in ('high','critical') and relevant and o_orderdate >= timestamp '1998-05-01 00:00:00' - interval 21 day order by {_NEWEST}")
 def k5_critical_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").where("o_orderpriority in ('1-URGENT','2-HIGH') and o_orderstatus <> 'F'")
-    return rows.orderBy("o_orderpriority", F.desc("o_orderdate"), "o_orderkey").select("o_orderkey", _risk().alias("risk")).limit(100)
+    """What is risky and has changed within 21 days; the first fifty."""
+    since = F.lit("1998-05-01").cast("timestamp") - F.expr("interval 21 days")
+    return selection.critical_view(_told(spark, sf_dir), since).select(F.col("event").alias("o_orderkey"), "risk")
+
+
+@R.query(f"with t as ({_TOLD}) select * from (select 'followed' as list, o_orderkey from t where followed order by o_orderdate desc, o_orderkey limit 50) union all select * from (select 'open' as list, o_orderkey from t where issue and o_orderstatus<>'F' and risk in ('high','critical') and relevant and not followed and not muted order by {_NEWEST})")
+def k5_tracking_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the reader follows, and open risks that they don't."""
+    rows = _told(spark, sf_dir)
+    lists = {"followed": selection.followed_view(rows), "open": selection.open_risk_view(rows)}
+    return lists["followed"].select(F.lit("followed").alias("list"), F.col("event").alias("o_orderkey")).union(lists["open"].select(F.lit("open"), "event"))
 
 
 @R.query("with s as (select event_id, cast(ts as date) as day, value*0.01 as cost, row_number() over w as n, coalesce(sum(value*0.01) over (w rows between unbounded preceding and 1 preceding),0) as spent from events window w as (partition by cast(ts as date) order by event_type, event_id)) select event_id, (n-1)//25 as batch from s where spent < 20 and n <= 60")

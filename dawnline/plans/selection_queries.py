@@ -133,11 +133,11 @@ def p5_p7_relevance_and_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@R.query("with o as (select l_orderkey, 'p'||l_suppkey as url, min(case l_returnflag when 'R' then 0 when 'A' then 1 else 2 end * 1000000000 + l_partkey) as k from lineitem group by 1,2), r as (select *, row_number() over (partition by l_orderkey order by k, url) as n from o) select l_orderkey, list(url order by n) as links from r where n<=3 group by 1")
+@R.query("with o as (select l_orderkey, case l_suppkey%5 when 0 then 'javascript:' when 1 then 'http://p' else 'https://p' end||l_suppkey as url, min(case l_returnflag when 'R' then 0 when 'A' then 1 else 2 end * 1000000000 + l_partkey) as k from lineitem where l_suppkey%5<>0 group by 1,2), r as (select *, row_number() over (partition by l_orderkey order by k, url) as n from o) select l_orderkey, list(url order by n) as links from r where n<=3 group by 1")
 def p12_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     flag = F.col("l_returnflag")
     trust = F.when(flag == "R", "official").when(flag == "A", "press").otherwise("community")
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", trust.alias("trust"), F.concat(F.lit("p"), F.col("l_suppkey").cast("string")).alias("url"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", trust.alias("trust"), F.concat(F.when(F.col("l_suppkey") % 5 == 0, "javascript:").when(F.col("l_suppkey") % 5 == 1, "http://p").otherwise("https://p"), F.col("l_suppkey").cast("string")).alias("url"))
     return selection.references(rows, "l_orderkey", "trust", "l_partkey", "url", top=3)
 
 

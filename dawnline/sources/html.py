@@ -15,6 +15,8 @@ from dawnline.workspace import ready
 SKIPPED = frozenset("script style noscript template svg nav header footer aside form button".split())
 BLOCKS = frozenset("p div section article main ul ol table tr h1 h2 h3 h4 h5 h6 br hr pre blockquote details summary dl dt dd".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+#: The names of meta elements that tell a page's date, the strongest first.
+DATE_NAMES = ["ms.date", "updated_at", "article:modified_time"]
 PARSED = "title string, text string, updated string, links array<struct<href: string, text: string>>, cells array<struct<tab: int, row: int, col: int, head: boolean, text: string>>"
 
 
@@ -23,16 +25,20 @@ class Page(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.text, self.links, self.cells, self.title, self.updated = [], [], [], "", None
+        self.text, self.links, self.cells, self.title = [], [], [], ""
+        self.dates, self.open_time = {}, None
         self.skip, self.open_link, self.open_cell, self.in_title = 0, None, None, False
         self.table, self.row, self.col = -1, -1, -1
 
     def handle_starttag(self, tag, attrs):
         at = dict(attrs)
-        if tag == "meta" and (at.get("property") or at.get("name") or "").lower() in ("article:modified_time", "last-modified", "date", "updated_at"):
-            self.updated = self.updated or at.get("content")
-        if tag == "time" and at.get("datetime"):
-            self.updated = self.updated or at["datetime"]
+        if tag == "meta":
+            for kind in ("name", "property"):
+                if at.get(kind) in DATE_NAMES and at.get("content"):
+                    self.dates.setdefault((DATE_NAMES.index(at[kind]), kind), at["content"])
+        if tag == "time":
+            rank = len(DATE_NAMES) + ("data-article-date" not in at)
+            self.open_time = [(rank, ""), at.get("datetime"), []]
         if tag in SKIPPED:
             self.skip += 1
         if tag == "title":
@@ -60,6 +66,10 @@ class Page(HTMLParser):
             self.in_title = False
         if tag in BLOCKS:
             self.text.append("\n")
+        if tag == "time" and self.open_time:
+            rank, told, parts = self.open_time
+            self.dates.setdefault(rank, told or "".join(parts).strip() or None)
+            self.open_time = None
         if tag == "a" and self.open_link:
             self.links.append((self.open_link[0], " ".join("".join(self.open_link[1]).split())))
             self.open_link = None
@@ -72,6 +82,8 @@ class Page(HTMLParser):
         if self.in_title:
             self.title += data
             return
+        if self.open_time:
+            self.open_time[-1].append(data)
         if self.open_link:  # links of menus count, their text doesn't
             self.open_link[-1].append(data)
         if not self.skip:
@@ -80,6 +92,11 @@ class Page(HTMLParser):
                 self.open_cell[-1].append(data)
 
 
+def told_date(page: Page) -> str | None:
+    """The page's date: of the strongest meta element, else of the article's time element, else of the first one."""
+    return page.dates[min(page.dates)] if page.dates else None
+
+
 def parse(html: str | None, url: str | None) -> tuple:
     """title, block text, date, (absolute link, text) pairs and table cells; empty for null or empty html."""
     page = Page()
@@ -92,7 +109,7 @@ def parse(html: str | None, url: str | None) -> tuple:
             links.append((urljoin(url or "", href), text))
         except ValueError:  # no URL
             links.append((href, text))
-    return " ".join(page.title.split()), "\n".join(x for x in lines if x), page.updated, links, page.cells
+    return " ".join(page.title.split()), "\n".join(x for x in lines if x), told_date(page), links, page.cells
 
 
 def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

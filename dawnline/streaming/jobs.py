@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -36,10 +36,11 @@ def _last_ms(times: pd.Series, state) -> int:
     return max(int(times.max().timestamp() * 1000), state.getCurrentWatermarkMs())
 
 
-def changed_rows(stream: DataFrame, key: str, order: list[str], watched: list[str], idle: str = "45 days", late: str = "2 days") -> DataFrame:
-    """Rows whose watched columns differ from the key's last row that did, numbered from 1; the state is that row.
+def changed_rows(stream: DataFrame, key: str, order: list[str], watched: list[str], idle: str = "45 days", late: str = "2 days", material: Callable[[tuple, tuple], bool] | None = None) -> DataFrame:
+    """Rows whose watched columns are a material change against the key's last row that was emitted, numbered from 1; the state is that row.
 
-    order begins with the event time. The state of a key is dropped once the watermark is the time idle beyond its last row;
+    material(new, last) of the watched values decides; without it, any difference does. Small changes that are no material
+    ones add up, for they are not what the next row is compared with. order begins with the event time. The state of a key is dropped once the watermark is the time idle beyond its last row;
     if the key comes back, it begins anew.
     """
     ready(stream.sparkSession)
@@ -57,7 +58,7 @@ def changed_rows(stream: DataFrame, key: str, order: list[str], watched: list[st
         last, rows = tuple(last), pd.concat(list(frames)).sort_values(order)
         kept, versions = [], []
         for i, row in enumerate(rows[watched].itertuples(index=False, name=None)):
-            if not version or row != last:
+            if not version or (row != last if material is None else material(row, last)):
                 last, version = row, version + 1
                 kept.append(i)
                 versions.append(version)

@@ -198,7 +198,7 @@ def test_news_pairs_are_all_pairs(spark):
 
 def test_html_page():
     title, text, updated, links, cells = html.parse(
-        '<title>T x</title><meta name="date" content="2026-01-02"><nav><a href="/n">nav</a></nav><p>one<br>two</p><ul><li>b</li></ul>'
+        '<title>T x</title><meta name="ms.date" content="2026-01-02"><nav><a href="/n">nav</a></nav><p>one<br>two</p><ul><li>b</li></ul>'
         '<table><tr><th>H</th><th>I</th></tr><tr><td>1</td><td>2</td></tr></table><script>x</script>',
         "https://a.org/p",
     )
