@@ -67,6 +67,23 @@ def age_label(ts: Column, now: Column) -> Column:
     )
 
 
+def _named(values: list[str], n: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), n)
+
+
+def long_label(ts: Column, with_time: bool = True, zone: str = "Europe/Istanbul") -> Column:
+    """'26 Eylül 2026 08:00' in a zone; a dash for null."""
+    local = F.from_utc_timestamp(ts, zone)
+    parts = [F.dayofmonth(local).cast("string"), _named(fixed.MONTHS_TR, F.month(local)), F.year(local).cast("string")]
+    parts += [F.date_format(local, "HH:mm")] if with_time else []
+    return F.when(ts.isNull(), "—").otherwise(F.concat_ws(" ", *parts))
+
+
+def day_label(day: Column) -> Column:
+    """'26 Eylül 2026, Cumartesi'; null for null."""
+    return F.concat(F.dayofmonth(day).cast("string"), F.lit(" "), _named(fixed.MONTHS_TR, F.month(day)), F.lit(" "), F.year(day).cast("string"), F.lit(", "), _named(fixed.DAYS_TR, F.weekday(day) + 1))
+
+
 def support_bucket(days_left: Column) -> Column:
     out = F.when(days_left.isNull(), "unknown").when(days_left < 0, "ended")
     for limit in (7, 30, 90, 180):

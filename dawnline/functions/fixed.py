@@ -241,3 +241,30 @@ EVENT_KIND = {
 
 #: The order in which adapters depend on each other.
 ADAPTER_ORDER = {"ms_update_history": 0, "wrh_status": 1, "wrh_resolved": 1, "wrh_messages": 2, "intune": 2, "cm_versions": 2, "cm_hotfix": 2, "cm_release_notes": 2, "cm_tp": 3, "ms_kb": 4, "rss": 5, "web_search": 6}
+
+#: Turkish names of months and days; what labels are called in texts.
+MONTHS_TR = ["Ocak", "Şubat", "Mart", "Nisan", "Mayıs", "Haziran", "Temmuz", "Ağustos", "Eylül", "Ekim", "Kasım", "Aralık"]
+DAYS_TR = ["Pazartesi", "Salı", "Çarşamba", "Perşembe", "Cuma", "Cumartesi", "Pazar"]
+PRODUCT_NAMES = {
+    "win11-26h1": "Windows 11, sürüm 26H1", "win11-25h2": "Windows 11, sürüm 25H2", "win11-24h2": "Windows 11, sürüm 24H2", "win11-23h2": "Windows 11, sürüm 23H2", "win10-22h2": "Windows 10, sürüm 22H2 (ESU)", "win10-ltsc2021": "Windows 10 Enterprise LTSC 2021",
+    "ws2025": "Windows Server 2025", "ws2022": "Windows Server 2022", "ws23h2": "Windows Server, sürüm 23H2", "ws2019": "Windows Server 2019 / Windows 10 1809", "ws2016": "Windows Server 2016 / Windows 10 1607",
+}
+TAG_NAMES = {
+    "rds": "Uzak Masaüstü (RDS/RDP)", "dc": "Etki alanı denetleyicisi", "auth": "Kimlik doğrulama", "vpn": "VPN", "bitlocker": "BitLocker", "boot": "Açılış/başlatma", "network": "Ağ", "update_install": "Güncelleme kurulumu",
+    "printing": "Yazdırma", "hyperv": "Hyper-V/küme", "avd": "AVD/FSLogix", "performance": "Performans", "audio": "Ses", "backup": "Yedekleme", "display": "Görüntü", "storage": "Depolama/dosya", "security": "Güvenlik (istismar)",
+    "configmgr": "ConfigMgr", "intune": "Intune", "gpo": "Grup İlkesi", "iis": "IIS", "adcs": "Sertifika hizmetleri", "apps": "Uygulamalar", "shell": "Masaüstü/Explorer",
+}
+STATUS_NAMES = {
+    "investigating": "İnceleniyor", "confirmed": "Doğrulandı (açık)", "mitigated": "Hafifletildi", "mitigated_external": "Hafifletildi (harici)", "resolved": "Çözüldü", "resolved_external": "Çözüldü (harici)",
+    "reported": "Bildirildi (teyitsiz)", "unknown": "Bilinmiyor", "info": "Bilgi",
+}
+STAGE_NAMES = {"in_development": "Geliştirme aşamasında", "public_preview": "Public preview", "ga": "Genel kullanıma açıldı", "notice": "Önemli duyuru"}
+RELEASE_NAMES = {"security": "Aylık güvenlik güncellemesi", "preview": "Preview (isteğe bağlı, güvenlik dışı)", "oob": "OOB (plan dışı)", "hotpatch": "Hotpatch güvenlik güncellemesi", "other": "Diğer güncelleme"}
+HOTFIX_NAMES = {"summary": "Sürüm özeti (Current Branch)", "early_ring": "Early update ring", "rollup": "Update rollup", "security": "Güvenlik güncellemesi", "hotfix": "Hotfix", "current": "Current Branch", "tp": "Technical Preview"}
+ROLE_NAMES = {
+    "dc": "Etki alanı denetleyicisi (AD DS)", "rds": "Uzak Masaüstü Hizmetleri (RDS/RDP)", "hyperv": "Hyper-V / küme", "wsus": "WSUS / güncelleme dağıtımı", "print": "Yazdırma sunucusu", "vpn": "VPN / RRAS / Always On VPN", "iis": "IIS / web sunucusu",
+    "fileserver": "Dosya sunucusu (SMB/DFS)", "adcs": "Sertifika hizmetleri (AD CS)", "sql": "SQL Server", "avd": "Azure Virtual Desktop / FSLogix", "bitlocker": "BitLocker kullanan istemciler", "autopilot": "Windows Autopilot", "comanagement": "Co-management (ConfigMgr + Intune)",
+}
+PLATFORM_NAMES = {"windows": "Windows", "ios": "iOS/iPadOS", "macos": "macOS", "android": "Android", "linux": "Linux"}
+#: The lines of a detail text that only repeat its state.
+STATUS_LINE = r"^[ \u00b7]*(?:Status|Originating update|History|Mitigated|Confirmed|Resolved|Investigating|OS Build|KB\d+|\d{4}-\d{2}-\d{2}|Last updated|Opened)\b"
