@@ -18,6 +18,8 @@ from dawnline.llm.queries import BYTE_BPE, in_fold, table
 from dawnline.llm.shared import scratch, shared_path, stored, unused
 
 TOXIC_FROM = 0.7
+#: Of each cache of the last stage; its workers have run four stages before, whose memory the system has not all got back.
+CACHE_BYTES = 16 << 20
 DUPLICATE_PERCENT, DUPLICATE_BANDS = 80, 24
 
 
@@ -54,7 +56,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the bytes decoded from them."""
-    return bpe.digests(bpe.encode_and_decode(docs.select("doc_id", "text"), BYTE_BPE, public_tokenizers.PATTERN))
+    return bpe.digests(bpe.encode_and_decode(docs.select("doc_id", "text"), BYTE_BPE, public_tokenizers.PATTERN, cache_bytes=CACHE_BYTES))
 
 
 STAGES = [("language", language), ("toxicity", toxic), ("near_duplicates", near_duplicates), ("decontamination", contaminated), ("byte_bpe", encode)]

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dawnline.llm.shared import Memo, held, ready
+from dawnline.llm.shared import CACHE_BYTES, Memo, held, ready
 
 #: A fixed value: the public pattern whose matches hold a space at their start only, so that a single space between
 #: other characters always begins a match and words can be looked up whole.
@@ -44,9 +44,9 @@ def merged(data: str, ranks: dict[str, int]) -> list[str]:
 
 
 class Codec:
-    """Encoder and decoder for a file of base64 tokens and ranks."""
+    """Encoder and decoder for a file of base64 tokens and ranks; each of its four caches holds cache_bytes at most."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, cache_bytes: int = CACHE_BYTES):
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a).decode("latin-1"): int(b) for a, b in (x.split() for x in lines if x.strip())}
         self.pattern = pattern
@@ -56,10 +56,10 @@ class Codec:
             self.trie.add_word(token, token)
         self.trie.make_automaton()
         self.bytes = {i: t.encode("latin-1") for t, i in self.ranks.items()}
-        self.shorter = Memo(self._shorter)
-        self.fits = Memo(self._fits)
-        self.ids = Memo(self._ids)
-        self.words = Memo(self._word)
+        self.shorter = Memo(self._shorter, cache_bytes)
+        self.fits = Memo(self._fits, cache_bytes)
+        self.ids = Memo(self._ids, cache_bytes)
+        self.words = Memo(self._word, cache_bytes)
 
     def _shorter(self, token: str) -> str | None:
         return next((token[:n] for n in range(len(token) - 1, 0, -1) if token[:n] in self.ranks), None)
@@ -113,8 +113,8 @@ class Codec:
         return b"".join(map(self.bytes.__getitem__, ids))
 
 
-def codec(path: str, pattern: str) -> Codec:
-    return held(Codec, path, pattern)
+def codec(path: str, pattern: str, cache_bytes: int = CACHE_BYTES) -> Codec:
+    return held(Codec, path, pattern, cache_bytes)
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -146,13 +146,13 @@ def decode_column(ids: Column | str, path: str, pattern: str) -> Column:
     return decode(ids)
 
 
-def encode_and_decode(df: DataFrame, path: str, pattern: str, text_col: str = "text", out: str = "bpe") -> DataFrame:
-    """df with a struct of ids (array<int>) and decoded (binary), both made in one pass over the text."""
+def encode_and_decode(df: DataFrame, path: str, pattern: str, text_col: str = "text", out: str = "bpe", cache_bytes: int = CACHE_BYTES) -> DataFrame:
+    """df with a struct of ids (array<int>) and decoded (binary), both made in one pass over the text; results don't depend on cache_bytes."""
     ready(df.sparkSession)
 
     @F.arrow_udf("struct<ids: array<int>, decoded: binary>")
     def both(texts: pa.Array) -> pa.Array:
-        code = codec(path, pattern)
+        code = codec(path, pattern, cache_bytes)
         ids = [code.encode(t.as_py() or "") for t in texts]
         decoded = pa.array([code.decode(x.tolist()) for x in ids], type=pa.binary())
         return pa.StructArray.from_arrays([_lists(ids), decoded], ["ids", "decoded"])

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dawnline.llm.shared import grouped, ready, stored
+from dawnline.llm.shared import forget, grouped, ready, stored
 from dawnline.operators.graph import components
 
 BINS, BANDS, ROWS = 256, 16, 4
@@ -90,6 +90,7 @@ def signed(df: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text"
     ready(df.sparkSession)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             sizes, keys, band_keys, sigs, bitmaps = [], [], [], [], []
             for text in batch.column(1):

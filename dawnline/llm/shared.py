@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 from collections.abc import Callable, Iterator
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 
 from dawnline.workspace import ready, scratch, shared_path, stored
 
-__all__ = ["Memo", "grouped", "held", "ready", "scratch", "shared_path", "stored", "unused", "word_slices"]
+__all__ = ["CACHE_BYTES", "Memo", "forget", "grouped", "held", "ready", "scratch", "shared_path", "stored", "unused", "word_slices"]
 
 #: What a per-worker cache holds before it starts anew, and the largest entry that it keeps; results depend on neither.
 CACHE_BYTES, ENTRY_BYTES, SLOT_BYTES = 64 << 20, 2 << 10, 104
@@ -25,12 +26,20 @@ _held: list = []
 def held(make: Callable, *args):
     """make(*args), kept in this worker until something else is asked for: one model and its caches at a time."""
     if not _held or _held[0] != (make, args):
-        _held.clear()
-        gc.collect()
+        forget()
         _held[:] = [(make, args), make(*args)]
     return _held[1]
 
 
+def forget() -> None:
+    """Give back what this worker keeps of a model and has freed since, also to the system: it outlives the stage that it has worked for."""
+    _held.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
+
+
 class Memo(dict):
     """A dict that fills itself through make(key) and starts anew when limit bytes are full; large entries are not kept."""
 
