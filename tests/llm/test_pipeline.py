@@ -72,6 +72,24 @@ def test_stages_take_empty_tables_and_clashing_columns(spark, corpus):
     assert corpus_pipeline.language(spark, odd, corpus[0]).count() == 0 and corpus_pipeline.near_duplicates(spark, odd, corpus[0]).count() == 2
 
 
+def test_texts_that_no_learned_language_explains_go(spark, corpus):
+    """Unlearned letters go, also with a few learned words or digits between; a text with some such words, one word and one letter stay."""
+    english = "the house and the walking river and houses "
+    texts = {
+        1: "мы идём к реке за домом и обратно",
+        2: "мы идём к реке the 2024 за домом и обратно, " * 2000,
+        3: "το σπίτι και το ποτάμι",
+        4: english + "дом",
+        5: "river",
+        6: "a",
+        7: english * 5000,
+    }
+    labelled = spark.read.parquet(f"{corpus[0]}/documents.parquet").where("lang is not null and doc_id < 300")
+    more = labelled.select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(5000 + k, t, None) for k, t in texts.items()], "doc_id long, text string, lang string"))
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, more, corpus[0]).collect()}
+    assert kept == set(range(300)) | {5004, 5005, 5006, 5007}
+
+
 def test_stages_leave_no_tables_behind(spark, tmp_path):
     rows = spark.range(3).select("id")
     with scratch(spark):
