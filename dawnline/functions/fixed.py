@@ -181,6 +181,8 @@ ATTRIBUTION = r"(?i)(?:via|according to|reported by|kaynak:?)\s+\S*"
 
 #: Patterns of the lines and parts of pages. The groups of a release line: date, hotpatch, KB, builds, the rest.
 RELEASE_LINE = r"(?i)([A-Z][a-z]+\.? \d{1,2},? \d{4})\s*[—–-]+\s*(Hotpatch\s+)?KB\s?(\d{6,8})\s*(?:[^()—–]{0,80}?\s*)?\((OS Builds?[^)]*)\)\s*([^|]*)"
+FIXED_ISSUE = r"(?m)^\s*-\s+\*\*(.+?)\*\*"
+PREVIEW_VERSION = r"(?i)^Technical preview version (\d{4})"
 CONTENTS_NAME = r"^\s*-\s*name:\s*(.+)$"
 CONTENTS_LINK = r"^\s*href:\s*\S+\.md\s*$"
 CONTENTS_VERSION = r"(?i)^Version\s+(\d{4})"

@@ -43,9 +43,9 @@ def x10_support_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.support_rows(docs, "c_custkey", "md", F.lit("2024-03-01").cast("date"))
 
 
-@R.query("""with c as (select c_custkey, 10000000+c_custkey//2 as kb, 2400+c_custkey%5 as v from customer) select cast(kb as varchar) as kb, 'KB'||kb||': Rollup '||min(c_custkey) as title, list_sort(list_distinct(list(cast(v as varchar)))) as versions from c where v >= 2402 group by kb""")
+@R.query("""with c as (select c_custkey, 10000000+c_custkey//2 as kb, 2400+c_custkey%5 as v from customer) select cast(kb as varchar) as kb, 'KB'||kb||': Rollup '||min(c_custkey) as title, list_sort(list_distinct(list(cast(v as varchar)))) as versions from c group by kb having max(v) >= 2402""")
 def x11_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as contents lists of one hotfix under a version; an update may stand in two lists; old versions are cut off."""
+    """Customers as contents lists of one hotfix under a version; an update may stand in two lists; those of old versions only are left out."""
     n = F.col("c_custkey")
     name = F.concat(F.lit("KB"), (F.lit(10000000) + F.floor(n / 2)).cast("string"), F.lit(": Rollup "), n.cast("string"))
     yml = F.concat(F.lit("items:\n- name: Version "), (F.lit(2400) + n % 5).cast("string"), F.lit("\n  items:\n  - name: '"), name, F.lit("'\n    href: kb.md\n  - name: No page\n    href: https://x"))
@@ -53,6 +53,32 @@ def x11_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.contents_list(docs, "c_custkey", "yml", since=2402)
 
 
+@R.query("""with d as (select doc_id, doc_id%45 as k from documents) select doc_id, case when doc_id%5<>0 then date '2024-01-01' + cast(doc_id%28 as int) end as date,
+list_transform(range(least(k + case when doc_id%3=0 then 1 else 0 end, 40)), lambda i: case when i<k then 'Setup stops at step '||i else 'Console is slow' end) as fixed_issues,
+case when doc_id%4=0 then '' else 'Update '||doc_id||' for sites.' end as summary, doc_id%4 = 0 and k = 0 and doc_id%3<>0 as bare from d""")
+def x11_hotfix_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as hotfix pages of up to 44 fixed issues; some have a second such part, none of it, no summary, or no date."""
+    n = F.col("doc_id")
+    date = F.when(n % 5 == 0, "soon").otherwise(F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (n % 28).cast("int")), "MM/dd/yyyy"))
+    items = F.transform(F.sequence(F.lit(0), F.lit(44)), lambda i: F.when(i < n % 45, F.concat(F.lit("\n- **Setup  stops at step "), i.cast("string"), F.lit("** and waits."))).otherwise(""))
+    more = F.when(n % 3 == 0, "\n## Also Fixed\n* **No dash**\n- **Console is slow**").otherwise("")
+    summary = F.when(n % 4 == 0, "").otherwise(F.concat(F.lit("\n## Summary of the update\n**Update "), n.cast("string"), F.lit("** for [sites](a.md).")))
+    md = F.concat(F.lit("---\ntitle: x\nms.date: "), date, F.lit("\n---\n# Update"), summary, F.lit("\n## Issues that are fixed"), F.array_join(items, ""), F.lit("\n### Fixed below\n- **Not of the part**"), more, F.lit("\n## Files\n- **Not an issue**"))
+    found = extract.hotfix_details(table(spark, sf_dir, "documents").select("doc_id", md.alias("md")), "doc_id", "md")
+    return found.select("doc_id", "date", "fixed_issues", "summary", ((F.size("fixed_issues") == 0) & (F.col("summary") == "")).alias("bare"))
+
+
+@R.query("""with d as (select doc_id, unnest(range(least(doc_id%6, 3))) as i from documents) select doc_id, cast(2409+2*i as varchar) as version, case when i<2 then make_date(2024, cast(9+2*i as int), 1) end as published,
+'Feature '||i||' of '||doc_id||chr(10)||'Details'||chr(10)||'more' as body from d""")
+def x12_preview_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages of up to five preview versions, of which the first three are read; a third one has no month."""
+    n = F.col("doc_id")
+    note = lambda i: F.concat(F.lit("\n### Technical preview version "), (2409 + 2 * i).cast("string"), F.lit("\nFeature "), i.cast("string"), F.lit(" of "), n.cast("string"), F.lit("\n#### Details\n**more**\n### Other notes\nx"))
+    notes = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.when(i < n % 6, note(i)).otherwise(""))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("# Previews"), F.array_join(notes, "")).alias("md"))
+    return extract.preview_notes(docs, "doc_id", "md")
+
+
 _DONE, _PARTLY = "Fixed in KB", "KB{} resolves it partially."
 
 

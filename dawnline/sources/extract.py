@@ -37,7 +37,7 @@ def support_rows(docs: DataFrame, id_col: str, md: str, today: Column, gone: int
 def contents_list(docs: DataFrame, id_col: str, yml: str, since: int = 0) -> DataFrame:
     """(kb, title, versions) of a contents list: names under 'Version nnnn' with a link to a Markdown page after them.
 
-    Updates that stand under versions before since only are left out.
+    Updates that stand under versions before since only are left out; of the others all versions are told.
     """
     lines = docs.select(id_col, F.posexplode(F.split(yml, r"\r?\n")).alias("line", "content"))
     name = F.nullif(F.trim(F.regexp_replace(F.regexp_extract("content", fixed.CONTENTS_NAME, 1), r"^\s*['\"]|['\"]\s*$", "")), F.lit(""))
@@ -47,8 +47,49 @@ def contents_list(docs: DataFrame, id_col: str, yml: str, since: int = 0) -> Dat
     marked = markdown.carried(marked, id_col, "line", "version").withColumn("title", F.lag("name").over(before))
     rows = marked.where("linked and title is not null").withColumn("kb", F.nullif(F.regexp_extract("title", r"KB\s?(\d{6,9})", 1), F.lit("")))
     titles = F.min_by("title", F.struct(id_col, "line"))
-    kept = rows.where(F.col("kb").isNotNull() & (F.coalesce(F.col("version").cast("int"), F.lit(since)) >= since))
-    return kept.groupBy("kb").agg(titles.alias("title"), F.sort_array(F.collect_set("version")).alias("versions"))
+    found = rows.where("kb is not null").groupBy("kb").agg(titles.alias("title"), F.sort_array(F.collect_set("version")).alias("versions"))
+    return found.where((F.size("versions") == 0) | (F.array_max("versions").cast("int") >= since))
+
+
+def first_version(today: Column, years: int = 2) -> Column:
+    """The number that the versions of the year so many years ago begin with, as '2400'."""
+    return F.date_format(F.add_months(today, -12 * years), "yy'00'").cast("int")
+
+
+def hotfix_details(docs: DataFrame, id_col: str, md: str, issues: int = 40) -> DataFrame:
+    """(id, date, fixed_issues, summary, text) of hotfix pages in Markdown, one row a page.
+
+    fixed_issues are the first bold items in lists of the parts (level 2) whose title tells of fixes, in page order; the
+    summary is the last part that begins so, cut at 1,500 characters, text the whole page, cut at 8,000. Null or empty pages
+    and pages without such parts have an empty list and an empty summary; id_col names a page.
+    """
+    pages = docs.select(F.col(id_col).alias("_page"), markdown.front_matter(F.coalesce(F.col(md), F.lit(""))).alias("_parts"))
+    pages = pages.select("_page", F.to_date(dates.parse_loose(F.col("_parts.meta")["ms.date"])).alias("date"), F.col("_parts.body").alias("_body"))
+    parts = markdown.heading_sections(pages, "_page", "_body").where("level = 2")
+    told, low = F.struct("section", "body"), F.lower("title")
+    fixes = F.array_sort(F.collect_list(F.when(low.contains("fixed"), told)))
+    lists = parts.groupBy(F.col("_page").alias("_of")).agg(fixes.alias("_fixes"), F.max_by("body", F.when(low.startswith("summary"), F.col("section"))).alias("_summary"))
+    items = F.flatten(F.transform("_fixes", lambda p: F.regexp_extract_all(p["body"], F.lit(fixed.FIXED_ISSUE), F.lit(1))))
+    names = F.transform(F.slice(items, 1, issues), text.norm_space)
+    summary = F.substring(markdown.to_text(F.coalesce(F.col("_summary"), F.lit(""))), 1, 1500)
+    found = pages.join(lists, F.expr("_page <=> _of"), "left")
+    return found.select(F.col("_page").alias(id_col), "date", F.coalesce(names, F.array().cast("array<string>")).alias("fixed_issues"), summary.alias("summary"), F.substring(markdown.to_text(F.col("_body")), 1, 8000).alias("text"))
+
+
+def preview_notes(docs: DataFrame, id_col: str, md: str, versions: int = 3) -> DataFrame:
+    """(id, version, published, body) of the first versions of each page of preview notes.
+
+    A version is a heading of level 3 with its number, of year and month; published is the first day of that month, null for
+    a month that is none; the body has what is below, deeper headings included, cut at 5,000 characters.
+    """
+    pages = docs.select(id_col, markdown.front_matter(F.coalesce(F.col(md), F.lit("")))["body"].alias("_body"))
+    number = F.regexp_extract("title", fixed.PREVIEW_VERSION, 1)
+    rows = markdown.heading_sections(pages, id_col, "_body").where("level = 3").withColumn("version", number).where("version <> ''")
+    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy(id_col).orderBy("section"))).where(F.col("_n") <= versions)
+    published = F.to_date(F.try_to_timestamp(F.concat(F.lit("20"), F.col("version"), F.lit("01")), F.lit("yyyyMMdd")))
+    return first.select(id_col, "version", published.alias("published"), F.substring(markdown.to_text(F.col("whole")), 1, 5000).alias("body"))
+
+
 
 
 def feature_sections(docs: DataFrame, id_col: str, md: str, weeks: int = 6) -> DataFrame:

@@ -57,3 +57,30 @@ def test_announcements(spark):
 def test_summary_text(spark):
     row = spark.createDataFrame([("issue", "T", "It fails. Always.", ["vpn"], ["1234567"])], "k string, t string, b string, g array<string>, f array<string>")
     assert row.select(extract.summary_text(*map(F.col, "ktbgf"))).first()[0] == "It fails. Always. Touches: vpn. Fixed by KB1234567."
+
+
+def test_contents_list_tells_all_versions_of_what_it_keeps(spark):
+    yml = "- name: Version 2503\n  items:\n  - name: KB31909343 rollup\n    href: a.md\n- name: Version 2203\n  items:\n  - name: KB31909343 rollup\n    href: b.md\n  - name: KB14480034 old\n    href: c.md"
+    docs = spark.createDataFrame([(1, yml), (2, "- name: KB30385346 of no version\n  href: d.md")], "d long, y string")
+    got = {r["kb"]: r["versions"] for r in extract.contents_list(docs, "d", "y", since=2400).collect()}
+    assert got == {"31909343": ["2203", "2503"], "30385346": []}
+    assert spark.range(1).select(extract.first_version(F.lit("2026-11-28").cast("date")).alias("v")).collect()[0]["v"] == 2400
+
+
+def test_hotfix_details(spark):
+    page = "---\ntitle: Rollup\nms.date: 04/22/2025\n---\n# KB1\n## Summary of KB1\nThis **rollup** is for `2503`.\n\n## Issues that are fixed\n\n- **Client   setup** fails.\n  - **Nested** one.\n* **Star** is none\n- plain\n### Details\n- **Not this**\n## Also FIXED\n- **Last**\n## Files\n- **No**"
+    fenced = "## Fixed\n```\n## Files\n- **In code**\n```\n- **After code**"
+    docs = spark.createDataFrame([(1, page), (2, None), (3, ""), (4, fenced), (5, "## Fixed\n" + "- **x**\n" * 50000)], "d long, md string")
+    got = {r["d"]: r for r in extract.hotfix_details(docs, "d", "md").collect()}
+    assert got[1]["fixed_issues"] == ["Client setup", "Nested", "Last"] and got[1]["date"] == datetime.date(2025, 4, 22)
+    assert got[1]["summary"].strip() == "This rollup is for 2503." and "KB1" in got[1]["text"] and "ms.date" not in got[1]["text"]
+    assert all(got[d]["fixed_issues"] == [] and got[d]["summary"] == "" and got[d]["date"] is None for d in (2, 3))
+    assert got[4]["fixed_issues"] == ["In code", "After code"] and len(got[5]["fixed_issues"]) == 40 and len(got[5]["text"]) == 8000
+
+
+def test_preview_notes(spark):
+    page = "---\na: b\n---\n## Notes\n### Technical preview version 2411\nNew\n#### Deeper\nmore\n### technical Preview version 2413\n### Not one\n### Technical preview version 2405\n### Technical preview version 2403\n## Technical preview version 2401"
+    docs = spark.createDataFrame([(1, page), (2, None)], "d long, md string")
+    got = extract.preview_notes(docs, "d", "md").orderBy(F.desc("version")).collect()
+    assert [(r["version"], r["published"]) for r in got] == [("2413", None), ("2411", datetime.date(2024, 11, 1)), ("2405", datetime.date(2024, 5, 1))]
+    assert got[1]["body"] == "New\nDeeper\nmore"
