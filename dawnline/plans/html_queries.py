@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dawnline.plans import page_queries
 from dawnline.plans.tables import Registry, table
-from dawnline.sources import articles, status_pages, tree
+from dawnline.sources import articles, extract, status_pages, tree
 
 R = Registry()
 
@@ -116,3 +117,28 @@ def x6_article_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "part").select("p_partkey", (F.lit(5000000) + n).cast("long").cast("string").alias("kb"), html.alias("html"))
     found = articles.article_issues(articles.read(tree.trees(pages.repartition(parallel(spark)), "p_partkey", "html", ["kb"]), "p_partkey"), "p_partkey")
     return found.select("p_partkey", "kb", "anchor", "layout", "title", "body", "status", "originating_kbs", "resolving_kbs", "partial_fix_kbs", "workaround", "tags")
+
+
+@R.query(page_queries.R.sql["x10_support_rows"])
+def x10_support_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The version tables of customers as HTML, after one that is none, with a row of two cells and before a second table."""
+    n = F.col("c_custkey")
+    end = lambda first, m: F.date_format(F.date_add(F.lit(first).cast("date"), (n % m).cast("int")), "MMMM d, yyyy")
+    head = "<table><tr><th>Version</th><th>Availability</th><th>Support end date</th></tr>"
+    html = F.concat(
+        F.lit("<main><table><tr><th>Version</th><th>Notes</th></tr><tr><td>2111</td><td>x</td><td>y</td></tr></table>" + head + "<tr><td><b>2403</b><br>(5.00.9128)</td><td>April 22, 2024</td><td>"), end("2024-01-01", 900),
+        F.lit("</td></tr><tr><td>2207</td><td>short</td></tr><tr><td>2309</td><td>October 9, 2023</td><td>"), end("2023-01-01", 500),
+        F.lit("</td></tr><tr><td>2303</td><td>April 10, 2023</td><td>n/a</td></tr><tr><td>2403</td><td>again</td><td>January 1, 2030</td></tr></table>" + head + "<tr><td>2503</td><td>x</td><td>n/a</td></tr></table></main>"),
+    )
+    pages = table(spark, sf_dir, "customer").select("c_custkey", html.alias("html")).repartition(parallel(spark), "c_custkey")
+    return extract.support_tables(tree.trees(pages, "c_custkey", "html"), "c_custkey", F.lit("2024-03-01").cast("date"))
+
+
+@R.query(page_queries.R.sql["x11_contents"])
+def x11_contents_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contents lists of customers as HTML: a link under a version and a heading without one, after a link outside of the content."""
+    n = F.col("c_custkey")
+    name = F.concat(F.lit("KB"), (F.lit(10000000) + F.floor(n / 2)).cast("string"), F.lit(": Rollup "), n.cast("string"))
+    html = F.concat(F.lit("<nav><a href='x'>KB99999999 elsewhere</a></nav><main><h2>Version "), (F.lit(2400) + n % 5).cast("string"), F.lit("</h2><h3>Updates</h3><ul><li><a href='a'>"), name, F.lit("</a></li><li><a>KB88888888 no link</a></li><li><a href='b'>No number</a></li></ul></main>"))
+    pages = table(spark, sf_dir, "customer").select("c_custkey", html.alias("html")).repartition(parallel(spark), "c_custkey")
+    return extract.contents_pages(tree.trees(pages, "c_custkey", "html"), "c_custkey", since=2402)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dawnline.functions import dates, fixed, labels, text
-from dawnline.sources import markdown, status_pages
+from dawnline.sources import markdown, status_pages, tree
 
 
 def releases(lines: DataFrame, id_col: str, line: str, since: Column) -> DataFrame:
@@ -34,6 +34,21 @@ def support_rows(docs: DataFrame, id_col: str, md: str, today: Column, gone: int
     return found.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(id_col, "version", "support_end", "days_left")
 
 
+def support_tables(trees: DataFrame, id_col: str, today: Column, gone: int = 120) -> DataFrame:
+    """As support_rows, of HTML pages: the first table with rows to keep whose first head names versions and another one the support's end."""
+    cells = trees.select(id_col, F.inline(tree.table_cells()))
+    of_table, low = Window.partitionBy(id_col, "tab"), F.lower(text.norm_space("text"))
+    told = lambda found: F.max(F.col("head") & found).over(of_table)
+    cells = cells.withColumns({"_versions": told((F.col("col") == 0) & low.contains("version")), "_ends": told(low.contains("support end"))})
+    at = lambda i: F.max(F.when(F.col("col") == i, text.norm_space("text")))
+    rows = cells.where("_versions and _ends and not head").groupBy(id_col, "tab", "row").agg(at(0).alias("first"), at(2).alias("third"))
+    version = F.nullif(F.regexp_extract("first", r"\b(2\d{3})\b", 1), F.lit(""))
+    found = rows.where("third is not null").withColumns({"version": version, "support_end": F.to_date(dates.parse_loose(F.col("third")))}).where("version is not null")
+    found = found.withColumn("days_left", F.date_diff("support_end", today)).where(F.col("days_left").isNull() | (F.col("days_left") > -gone))
+    found = found.withColumn("_n", F.row_number().over(Window.partitionBy(id_col, "version").orderBy("tab", "row"))).withColumn("_tab", F.min("tab").over(Window.partitionBy(id_col)))
+    return found.where("_n = 1 and tab = _tab").select(id_col, "version", "support_end", "days_left")
+
+
 def contents_list(docs: DataFrame, id_col: str, yml: str, since: int = 0) -> DataFrame:
     """(kb, title, versions) of a contents list: names under 'Version nnnn' with a link to a Markdown page after them.
 
@@ -46,7 +61,23 @@ def contents_list(docs: DataFrame, id_col: str, yml: str, since: int = 0) -> Dat
     before = Window.partitionBy(id_col).orderBy("line")
     marked = markdown.carried(marked, id_col, "line", "version").withColumn("title", F.lag("name").over(before))
     rows = marked.where("linked and title is not null").withColumn("kb", F.nullif(F.regexp_extract("title", r"KB\s?(\d{6,9})", 1), F.lit("")))
-    titles = F.min_by("title", F.struct(id_col, "line"))
+    return _listed(rows.select(id_col, F.col("line").alias("at"), "kb", "title", "version"), id_col, since)
+
+
+def contents_pages(trees: DataFrame, id_col: str, since: int = 0) -> DataFrame:
+    """As contents_list, of HTML pages: links that name an update, each under the last heading (level 2 or 3) that names a version."""
+    kept = tree.numbered(lambda e, i: e["tag"].isin("h2", "h3", "a") & tree.in_root(i))
+    told = F.transform(kept, lambda e: F.struct(e["node"].alias("at"), e["tag"].alias("tag"), e["href"].alias("href"), text.norm_space(tree.text_of(e["node"])).alias("title")))
+    rows = trees.select(id_col, F.inline(told))
+    number = F.when(F.col("tag") != "a", F.nullif(F.regexp_extract("title", r"\b(2\d{3})\b", 1), F.lit("")))
+    rows = markdown.carried(rows.withColumn("version", number), id_col, "at", "version")
+    rows = rows.where("tag = 'a' and href <> ''").withColumn("kb", F.nullif(F.regexp_extract("title", r"KB\s?(\d{6,9})", 1), F.lit("")))
+    return _listed(rows, id_col, since)
+
+
+def _listed(rows: DataFrame, id_col: str, since: int) -> DataFrame:
+    """(kb, title, versions) of rows (id, at, kb, title, version): the first title, all versions, if the last one is since or later."""
+    titles = F.min_by("title", F.struct(id_col, "at"))
     found = rows.where("kb is not null").groupBy("kb").agg(titles.alias("title"), F.sort_array(F.collect_set("version")).alias("versions"))
     return found.where((F.size("versions") == 0) | (F.array_max("versions").cast("int") >= since))
 

@@ -4,7 +4,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from dawnline.sources import extract, html, markdown
+from dawnline.sources import extract, html, markdown, tree
 
 
 def test_releases(spark):
@@ -84,3 +84,18 @@ def test_preview_notes(spark):
     got = extract.preview_notes(docs, "d", "md").orderBy(F.desc("version")).collect()
     assert [(r["version"], r["published"]) for r in got] == [("2413", None), ("2411", datetime.date(2024, 11, 1)), ("2405", datetime.date(2024, 5, 1))]
     assert got[1]["body"] == "New\nDeeper\nmore"
+
+
+def test_support_tables_of_html(spark):
+    head = "<table><thead><tr><th>Version</th><th>Available</th><th>Support  end date</th></tr></thead>"
+    page = f"<main>{head}<tr><td>2103</td><td>x</td><td>October 5, 2022</td></tr></table>{head}<tr><td><strong>2503</strong><br>(5.00.9135)</td><td>March 31, 2025</td><td>September 30, 2026</td></tr><tr><td>no number</td><td>x</td><td>y</td></tr></table></main>"
+    pages = tree.trees(spark.createDataFrame([(1, page), (2, None), (3, ""), (4, "<p>2503</p>")], "d long, html string"), "d", "html")
+    got = extract.support_tables(pages, "d", F.lit("2026-09-01").cast("date")).collect()
+    assert [(r["d"], r["version"], r["support_end"], r["days_left"]) for r in got] == [(1, "2503", datetime.date(2026, 9, 30), 29)]  # the first table has no row to keep
+
+
+def test_contents_pages(spark):
+    page = "<main><a href='z'>KB30000001 before</a><h2>Version 2503</h2><a href='a'>KB31909343  rollup</a><h3>More</h3><a href='b'>KB 30385346 fix</a><h2>Version 2203</h2><a href='c'>KB31909343 again</a><a href='d'>KB14480034 old</a></main>"
+    pages = tree.trees(spark.createDataFrame([(1, page), (2, None)], "d long, html string"), "d", "html")
+    got = {r["kb"]: (r["title"], r["versions"]) for r in extract.contents_pages(pages, "d", since=2400).collect()}
+    assert got == {"30000001": ("KB30000001 before", []), "31909343": ("KB31909343 rollup", ["2203", "2503"]), "30385346": ("KB 30385346 fix", ["2503"])}
