@@ -14,18 +14,28 @@ def source_health(checks: DataFrame, source: str, status: str, at: str, check_id
     )
 
 
+def _states(sources: DataFrame, health: DataFrame, failed: str) -> DataFrame:
+    """Every enabled source with its health and its state: never, failing, or null."""
+    state = F.when(F.col("checks").isNull(), "never").when(F.col("last_status") == failed, "failing")
+    return sources.select("source").distinct().join(health, "source", "left").withColumn("state", state)
+
+
 def coverage(sources: DataFrame, health: DataFrame, since: Column, failed: str = "error") -> DataFrame:
-    """One row: how many sources are enabled, ok (checked well since then), failing and never checked. sources: the enabled ones, by source."""
-    rows = sources.select("source").distinct().join(health, "source", "left")
+    """How many sources are enabled, ok (checked well since then), failing and never checked; sources: the enabled ones, by source.
+
+    These counts are told with each source, state, last_status and last_ok that is failing or was never checked, and once without a source if there is none.
+    """
+    rows = _states(sources, health, failed)
     never, failing = F.col("checks").isNull(), F.col("last_status") == failed
-    return rows.agg(F.count("*").alias("enabled"), F.count_if(~never & ~failing & (F.col("last_ok") >= since)).alias("ok"), F.count_if(failing).alias("failing"), F.count_if(never).alias("never"))
+    counts = rows.agg(F.count("*").alias("enabled"), F.count_if(~never & ~failing & (F.col("last_ok") >= since)).alias("ok"), F.count_if(failing).alias("failing"), F.count_if(never).alias("never"))
+    listed = rows.where("state is not null").select("source", "state", "last_status", "last_ok")
+    told = listed.join(F.broadcast(counts), F.lit(True), "right")  # the counts are one row
+    return told.select(*counts.columns, *listed.columns)
 
 
 def unhealthy(sources: DataFrame, health: DataFrame, failed: str = "error") -> DataFrame:
     """source, state (failing or never), last_ok and last_error of every enabled source that is not well."""
-    rows = sources.select("source").distinct().join(health, "source", "left")
-    state = F.when(F.col("checks").isNull(), "never").when(F.col("last_status") == failed, "failing")
-    return rows.select("source", state.alias("state"), "last_ok", "last_error").where("state is not null")
+    return _states(sources, health, failed).where("state is not null").select("source", "state", "last_ok", "last_error")
 
 
 def run_report(results: DataFrame, status: str, changed: Column, amount: str) -> DataFrame:
