@@ -26,10 +26,12 @@ def dependency(adapter: Column) -> Column:
     return F.coalesce(F.try_element_at(table, adapter), F.lit(9))
 
 
-def critical_view(events: DataFrame, since: Column, top: int = 50) -> DataFrame:
-    """The risky, relevant events that something has happened to since then: critical ones first, then the newest; top of them."""
-    rows = events.where(F.col("risk").isin("high", "critical") & (F.col("relevance") > 0) & (F.coalesce("changed_at", "first_seen") >= since))
-    return rows.orderBy(F.when(F.col("risk") == "critical", 0).otherwise(1), F.desc("changed_at"), "event").limit(top)
+def critical_view(events: DataFrame, since: Column) -> DataFrame:
+    """All risky events, critical ones first, then the newest, with relevant and recent (something has happened to it since then); a reader is shown those that are both."""
+    relevant, recent = F.col("relevance") > 0, F.coalesce("changed_at", "first_seen") >= since
+    rows = events.where(F.col("risk").isin("high", "critical"))
+    rows = rows.withColumns({"relevant": F.coalesce(relevant, F.lit(False)), "recent": F.coalesce(recent, F.lit(False))})
+    return rows.orderBy(F.when(F.col("risk") == "critical", 0).otherwise(1), F.desc("changed_at"), "event")
 
 
 def followed_view(events: DataFrame, top: int = 50) -> DataFrame:

@@ -303,11 +303,11 @@ def _told(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@R.query(f"with t as ({_TOLD}) select o_orderkey, risk from t where risk in ('high','critical') and relevant and o_orderdate >= timestamp '1998-05-01 00:00:00' - interval 21 day order by {_NEWEST}")
+@R.query(f"with t as ({_TOLD}) select o_orderkey, risk, coalesce(relevant, false) as relevant, coalesce(o_orderdate >= timestamp '1998-05-01 00:00:00' - interval 21 day, false) as recent from t where risk in ('high','critical') order by case risk when 'critical' then 0 else 1 end, o_orderdate desc, o_orderkey")
 def k5_critical_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is risky and has changed within 21 days; the first fifty."""
+    """All that is risky, and whether it concerns the reader and has changed within 21 days."""
     since = F.lit("1998-05-01").cast("timestamp") - F.expr("interval 21 days")
-    return selection.critical_view(_told(spark, sf_dir), since).select(F.col("event").alias("o_orderkey"), "risk")
+    return selection.critical_view(_told(spark, sf_dir), since).select(F.col("event").alias("o_orderkey"), "risk", "relevant", "recent")
 
 
 @R.query(f"with t as ({_TOLD}) select * from (select 'followed' as list, o_orderkey from t where followed order by o_orderdate desc, o_orderkey limit 50) union all select * from (select 'open' as list, o_orderkey from t where issue and o_orderstatus<>'F' and risk in ('high','critical') and relevant and not followed and not muted order by {_NEWEST})")
