@@ -33,10 +33,16 @@ def completeness(wanted: Column, present: Column) -> Column:
 
 
 def overlapping(intervals: DataFrame, days: DataFrame, start: str, end: str, day: str, hours: int = 24) -> DataFrame:
-    """Intervals with each day that they overlap. An interval is sent to the days that it touches and joined by equality."""
-    first, last = F.floor(F.unix_timestamp(start) / (hours * 3600)), F.floor((F.unix_timestamp(end) - 1) / (hours * 3600))
+    """Intervals with each day that they overlap, to the microsecond. An interval is sent to the days that it touches and joined by equality."""
+    length = F.lit(hours * 3600 * 1_000_000)
+
+    def slot(at: str, before: int = 0) -> Column:
+        micros = F.unix_micros(F.col(at).cast("timestamp")) - before
+        return ((micros - F.pmod(micros, length)) / length).cast("long")
+
+    first, last = slot(start), slot(end, before=1)
     spread = intervals.withColumn("_slot", F.explode(F.sequence(first, F.greatest(first, last))))
-    slots = days.withColumn("_slot", F.floor(F.unix_timestamp(day) / (hours * 3600)))
+    slots = days.withColumn("_slot", slot(day))
     return spread.join(slots, "_slot").drop("_slot")
 
 

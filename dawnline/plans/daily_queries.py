@@ -229,7 +229,7 @@ def p20_quote_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.query("with d as (select distinct date_trunc('day', ts) as day from events) select e.event_id, d.day from events e join d on e.ts < d.day + interval 1 day and e.ts + to_hours(cast(1 + e.event_id%30 as int)) > d.day")
 def j17_day_agenda(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intervals of 1 to 30 hours with the days that they overlap."""
-    events = table(spark, sf_dir, "events").select("event_id", "ts", F.timestamp_seconds(F.unix_timestamp("ts") + (1 + F.col("event_id") % 30) * 3600).alias("till"))
+    events = table(spark, sf_dir, "events").select("event_id", "ts", F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + (1 + F.col("event_id") % 30) * 3_600_000_000).alias("till"))
     days = table(spark, sf_dir, "events").select(F.date_trunc("day", "ts").alias("day")).distinct()
     return daily.overlapping(events, days, "ts", "till", "day").select("event_id", "day")
 

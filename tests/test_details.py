@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from dawnline.functions import dates
-from dawnline.operators import detail, summaries
+from dawnline.operators import daily, detail, summaries
 from dawnline.operators.fusion import Profile
+from dawnline.plans import daily_queries
 
 
 @pytest.fixture
@@ -58,3 +59,23 @@ def test_long_labels(spark):
     day = F.lit("2026-09-26 05:00:00").cast("timestamp")
     row = spark.range(1).select(dates.long_label(day), dates.long_label(day, False), dates.long_label(F.lit(None).cast("timestamp")), dates.day_label(F.lit("2026-09-26").cast("date"))).first()
     assert list(row) == ["26 Eylül 2026 08:00", "26 Eylül 2026", "—", "26 Eylül 2026, Cumartesi"]
+
+
+def test_intervals_overlap_days_by_the_microsecond(spark):
+    """Ends a microsecond after midnight, at it and before it; a start before 1970; an interval of several days."""
+    day, micro = (lambda n: datetime.datetime(2024, 1, n)), datetime.timedelta(microseconds=1)
+    rows = [(1, day(1), day(2) + micro), (2, day(1), day(2)), (3, day(2) - micro, day(2) - micro), (4, day(2) - micro, day(2) + micro), (5, datetime.datetime(1969, 12, 31, 23, 59, 59, 999999), day(1) + micro), (6, day(1) + 5 * micro, day(4) + micro)]
+    intervals = spark.createDataFrame(rows, "id long, at timestamp, till timestamp")
+    days = spark.createDataFrame([(datetime.datetime(1969, 12, 31),), *((day(n),) for n in (1, 2, 3, 4))], "day timestamp")
+    got = {}
+    for r in daily.overlapping(intervals, days, "at", "till", "day").collect():
+        got.setdefault(r["id"], []).append(r["day"].day)
+    assert {k: sorted(v) for k, v in got.items()} == {1: [1, 2], 2: [1], 3: [1], 4: [1, 2], 5: [1, 31], 6: [1, 2, 3, 4]}
+
+
+def test_agenda_of_events_that_end_within_a_second_after_midnight(spark, tmp_path):
+    """An event of one hour from 23:00:00.4 on ends on the next day."""
+    events = spark.createDataFrame([(0, datetime.datetime(2024, 1, 1, 23, 0, 0, 400000)), (30, datetime.datetime(2024, 1, 2, 1))], "event_id long, ts timestamp")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted((r["event_id"], r["day"].day) for r in daily_queries.j17_day_agenda(spark, str(tmp_path)).collect())
+    assert got == [(0, 1), (0, 2), (30, 2)]
