@@ -22,16 +22,20 @@ def validated(fields: dict[str, Column], actions: Column, evidence: Column, know
     field = lambda name: F.coalesce(fields.get(name, F.lit(None).cast("string")), F.lit(""))
     advice = F.coalesce(actions, F.array().cast("array<struct<text: string, basis: string, evidence_quote: string>>"))
     said = F.concat_ws(" ", *(field(n) for n in ("title_tr", "summary_tr", "why_tr", "details_tr", "what_changed_tr")), F.array_join(advice["text"], " "))
-    updates = F.transform(F.array_except(text.kbs(said), F.array_union(text.kbs(evidence), known_kbs)), lambda k: F.concat(F.lit("KB"), k))
-    unknown = F.concat(updates, F.array_except(text.cves(said), text.cves(evidence)))
-    accepted = (F.size(unknown) == 0) & (text.norm_space(field("summary_tr")) != "") & (text.norm_space(field("title_tr")) != "")
-
-    def checked(a: Column) -> Column:
-        quote = text.truncate(a["evidence_quote"], QUOTE_CHARS)
-        sourced = (a["basis"] == fixed.FROM_SOURCE) & text.quoted(quote, evidence)
-        sourced = F.coalesce(sourced, F.lit(False))
-        return F.struct(text.truncate(a["text"], ACTION_CHARS).alias("text"), F.when(sourced, fixed.FROM_SOURCE).otherwise(fixed.INFERRED).alias("basis"), F.when(sourced, quote).otherwise("").alias("evidence_quote"))
-
-    kept = F.filter(F.transform(F.slice(advice, 1, ACTIONS), checked), lambda a: a["text"] != "")
-    cut = [F.when(accepted, text.truncate(field(n), chars)).alias(n) for n, chars in FIELDS.items()]
-    return F.struct(accepted.alias("accepted"), unknown.alias("unknown"), *cut, F.when(accepted, kept).alias("actions"))
+    # what the evidence names is looked for only if the text names something, and the evidence is folded once for all quotes
+    missing = lambda names, known: text.once(names, lambda n: F.when(F.size(n) == 0, n).otherwise(F.array_except(n, known)))
+    updates = F.transform(missing(text.kbs(said), F.array_union(text.kbs(evidence), known_kbs)), lambda k: F.concat(F.lit("KB"), k))
+    unknown = F.concat(updates, missing(text.cves(said), text.cves(evidence)))
+
+    def checked(a: Column, folded: Column) -> Column:
+        of = lambda quote, sourced: F.struct(text.truncate(a["text"], ACTION_CHARS).alias("text"), F.when(sourced, fixed.FROM_SOURCE).otherwise(fixed.INFERRED).alias("basis"), F.when(sourced, quote).otherwise("").alias("evidence_quote"))
+        stands = lambda quote: F.coalesce((a["basis"] == fixed.FROM_SOURCE) & text.quoted_in(quote, folded), F.lit(False))
+        return text.once(text.truncate(a["evidence_quote"], QUOTE_CHARS), lambda quote: text.once(stands(quote), lambda sourced: of(quote, sourced)))
+
+    def result(unknown: Column, accepted: Column) -> Column:
+        kept = text.once(text.norm_space(text.fold(evidence)), lambda e: F.filter(F.transform(F.slice(advice, 1, ACTIONS), lambda a: checked(a, e)), lambda a: a["text"] != ""))
+        cut = [F.when(accepted, text.truncate(field(n), chars)).alias(n) for n, chars in FIELDS.items()]
+        return F.struct(accepted.alias("accepted"), unknown.alias("unknown"), *cut, F.when(accepted, kept).alias("actions"))
+
+    fits = lambda unknown: (F.size(unknown) == 0) & (text.norm_space(field("summary_tr")) != "") & (text.norm_space(field("title_tr")) != "")
+    return text.once(unknown, lambda u: text.once(fits(u), lambda accepted: result(u, accepted)))
