@@ -149,7 +149,9 @@ def io6_market_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     dollar = F.when(F.col("event_id") % 4 == 0, '"USD": 1').otherwise(F.concat(F.lit('"'), name, F.lit('": {"Alış": "'), turkish(F.col("v")), F.lit('", "Satış": "'), turkish(F.col("v") + 0.5), F.lit('"}')))
     gold = F.concat(F.when(F.col("event_id") % 2 == 0, '"GRA": {').otherwise('"x": {"Name": "gram altın", '), F.lit('"Buying": "'), turkish(F.col("v") + 4000), F.lit('"}'))
     payload = F.concat(F.lit('{"Update_Date": "2024-01-02 10:30:00", '), dollar, F.lit(", "), gold, F.lit("}"))
-    rows = _events(spark, sf_dir).select("event_id", feeds.market_quotes(payload).alias("r"))
+    # a small table is one task's, and payloads are slow to read for their bytes
+    dealt = _events(spark, sf_dir).select("event_id", "v").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "event_id")
+    rows = dealt.select("event_id", feeds.market_quotes(payload).alias("r"))
     return rows.select("event_id", "r.data_time", F.explode("r.quotes").alias("q")).select("event_id", "q.item", F.round("q.buying", 9).alias("buying"), F.round("q.selling", 9).alias("selling"), "data_time")
 
 

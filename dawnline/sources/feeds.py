@@ -62,19 +62,27 @@ def market_quotes(payload: Column, names: dict[str, list[str]] | None = None, zo
 
     An item is what stands under the first of its names that holds an object, else the first object of its last name.
     """
-    whole = F.from_json(payload, "map<string,string>")
-    label = lambda v: F.lower(F.coalesce(F.get_json_object(v, "$.Name"), F.from_json(v, "map<string,string>")["İsim"], F.lit("")))
-    rows = []
-    for item, keys in (names or fixed.MARKET_NAMES).items():
-        named = F.coalesce(*(F.when(whole[k].startswith("{"), whole[k]) for k in keys))
-        last = F.lit(keys[-1].lower())
-        labelled = F.get(F.filter(F.map_values(whole), lambda v: v.startswith("{") & (label(v) == last)), F.lit(0))  # noqa: B023
-        entry = F.from_json(F.coalesce(named, labelled), "map<string,string>")
-        price = lambda a, b, e=entry: text.locale_number(F.when(F.map_contains_key(e, a), e[a]).otherwise(e[b]))
-        rows.append(F.when(entry.isNotNull(), F.struct(F.lit(item).alias("item"), price("Alış", "Buying").alias("buying"), price("Satış", "Selling").alias("selling"))))
-    told = F.coalesce(whole["Update_Date"], whole["Update_Date_Time"], F.get_json_object(payload, "$.Meta_Data.Update_Date"))
-    at = F.to_utc_timestamp(F.try_to_timestamp(F.substring(told, 1, 19), F.lit("yyyy-MM-dd HH:mm:ss")), zone)
-    return F.struct(at.alias("data_time"), F.array_compact(F.array(*rows)).alias("quotes"))
+    price = lambda e, a, b: text.locale_number(F.when(F.map_contains_key(e, a), e[a]).otherwise(e[b]))
+
+    def object_of(entry: Column) -> Column:
+        of = lambda m: F.struct(entry["key"].alias("key"), m.alias("m"), F.lower(F.coalesce(m["Name"], m["İsim"], F.lit(""))).alias("label"))
+        return text.once(F.from_json(entry["value"], "map<string,string>"), of)
+
+    def quote(item: str, keys: list[str], whole: Column, objects: Column) -> Column:
+        first = lambda keep: F.get(F.filter(objects, keep), F.lit(0))["m"]
+        under = lambda k: F.when(whole[k].startswith("{"), first(lambda o: o["key"] == k))
+        of = lambda e: F.when(e.isNotNull(), F.struct(F.lit(item).alias("item"), price(e, "Alış", "Buying").alias("buying"), price(e, "Satış", "Selling").alias("selling")))
+        return text.once(F.coalesce(*map(under, keys), first(lambda o: o["label"] == keys[-1].lower())), of)
+
+    def read(whole: Column) -> Column:
+        told = F.coalesce(whole["Update_Date"], whole["Update_Date_Time"], F.get_json_object(payload, "$.Meta_Data.Update_Date"))
+        at = F.to_utc_timestamp(F.try_to_timestamp(F.substring(told, 1, 19), F.lit("yyyy-MM-dd HH:mm:ss")), zone)
+        objects = F.transform(F.filter(F.map_entries(whole), lambda e: e["value"].startswith("{")), object_of)
+        quotes = text.once(objects, lambda o: F.array_compact(F.array(*(quote(item, keys, whole, o) for item, keys in (names or fixed.MARKET_NAMES).items()))))
+        return F.struct(at.alias("data_time"), quotes.alias("quotes"))
+
+    # each object is parsed once, however many names, labels and prices are looked up in it
+    return text.once(F.from_json(payload, "map<string,string>"), read)
 
 
 _RATES = "struct<_Tarih: string, _Date: string, Currency: array<struct<_CurrencyCode: string, _Kod: string, Unit: string, ForexBuying: string, ForexSelling: string, BanknoteBuying: string, BanknoteSelling: string>>>"
