@@ -38,7 +38,8 @@ def stage(title: Column, body: Column, page: Column | None = None) -> Column:
 
 
 def _first_match(text: Column, pattern: str, chars: int) -> Column:
-    found = F.regexp_extract(F.coalesce(text, F.lit("")), pattern, 0)
+    # no sentence is begun in its middle: from there, nothing is found that is not found from its start, which comes first
+    found = F.regexp_extract(F.coalesce(text, F.lit("")), r"(?<![^.\n])" + pattern, 0)
     return F.substring(F.trim(F.regexp_replace(found, r"\s+", " ")), 1, chars)
 
 
