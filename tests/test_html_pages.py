@@ -4,6 +4,7 @@ import datetime
 import random
 import time
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from dawnline.functions import text
@@ -165,3 +166,28 @@ def test_text_between_is_linear(spark):
     assert status_pages.sections(status_pages.read(found), "page_id").where(F.contains("body", F.lit("is slow"))).count() == 3000
     assert time.time() - began < 60
     assert found.select(text.norm_space(tree.text_of(F.lit(2)))).first()[0] == "Issue 0 is slow."
+
+
+def test_few_trees_are_held_at_once(spark, monkeypatch):
+    """A task gives on the trees of its pages as soon as they tell some number of characters, and none is lost or told twice."""
+    import weakref
+
+    monkeypatch.setattr(tree, "HELD_CHARS", 1000, raising=False)
+    held, most, make = weakref.WeakSet(), [0], tree.Tree
+
+    class Counted(make):
+        def __init__(self):
+            super().__init__()
+            held.add(self)
+            most[0] = max(most[0], len(held))
+
+    monkeypatch.setattr(tree, "Tree", Counted)
+    pages = spark.createDataFrame([(i, None if i % 50 == 0 else f"<main><p>{'x' * 200}{i}</p></main>", i % 3) for i in range(400)], "page_id long, html string, k long")
+    taken = {}
+    monkeypatch.setattr(type(pages), "mapInArrow", lambda self, run, kinds: taken.update(run=run))
+    tree.trees(pages, keep=["k"])
+    batch = pa.RecordBatch.from_pylist([{"html": r["html"], "page_id": r["page_id"], "k": r["k"]} for r in pages.collect()])
+    got = [row for part in taken["run"](iter([batch])) for row in part.select(["page_id", "k", "pieces"]).to_pylist()]
+    assert [(r["page_id"], r["k"]) for r in got] == [(i, i % 3) for i in range(400)]
+    assert all(bool(r["pieces"]) == (r["page_id"] % 50 != 0) for r in got)
+    assert most[0] <= 20
